@@ -114,3 +114,17 @@ def auc_sql(src: str, group_cols: list[str], event_label: int = 0, direction: st
   _auc AS (SELECT {gsel}CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN {auc} END AS auc,
                   CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg
            FROM _cum{medjoin} GROUP BY ALL)"""
+
+
+def fixed_bin_sql(x: str, breaks: list[float], labels: list[str] | None = None) -> str:
+    parts = []
+    for i in range(1, len(breaks)):
+        val = f"'{labels[i - 1]}'" if labels else str(i)
+        parts.append(f"WHEN {x} > {float(breaks[i - 1])!r} AND {x} <= {float(breaks[i])!r} THEN {val}")
+    return "(CASE " + " ".join(parts) + " END)"
+
+
+def count_above_sql(x: str, breaks_list: str, k: int) -> str:
+    """1 + number of interior breaks (list elements 2..k) strictly below x."""
+    terms = " + ".join(f"(CASE WHEN {breaks_list}[{i}] < {x} THEN 1 ELSE 0 END)" for i in range(2, k + 1))
+    return f"(1 + {terms})"

@@ -67,15 +67,18 @@ def q_rule_hits(spark, sf_dir):
     return match_rules(td.cases(spark, sf_dir), td.RULES, keep=("case_id",))
 
 
-def _rule_risk_sql() -> str:
+def _rule_risk_ctes() -> list[str]:
     rules_vals = S.values_cte("r", "rule_id", [r.rule_id for r in td.RULES])
     ds_vals = S.values_cte("d", "dataset", S.DATASETS)
-    return S.with_ctes(S.cases_cte(), S.datasets_cte(),
-                       S.hits_cte(td.RULES, "ds", "case_id, y, dataset"), rules_vals, ds_vals) + """
-, agg AS (SELECT rule_id, dataset, count(*) AS n,
-                 sum(CASE WHEN y = 0 THEN 1 ELSE 0 END) AS n_event
-          FROM hits GROUP BY rule_id, dataset),
-  tot AS (SELECT dataset, count(*) AS n_total FROM ds GROUP BY dataset)
+    return [S.cases_cte(), S.datasets_cte(), S.hits_cte(td.RULES, "ds", "case_id, y, dataset"),
+            rules_vals, ds_vals, """
+agg AS (SELECT rule_id, dataset, count(*) AS n,
+               sum(CASE WHEN y = 0 THEN 1 ELSE 0 END) AS n_event
+        FROM hits GROUP BY rule_id, dataset)""", """
+tot AS (SELECT dataset, count(*) AS n_total FROM ds GROUP BY dataset)"""]
+
+
+_RULE_RISK_BODY = """
 SELECT r.rule_id, d.dataset,
        CAST(coalesce(a.n, 0) AS BIGINT) AS n,
        CAST(coalesce(a.n_event, 0) AS BIGINT) AS n_event,
@@ -86,6 +89,10 @@ LEFT JOIN agg a ON a.rule_id = r.rule_id AND a.dataset = d.dataset
 LEFT JOIN tot t ON t.dataset = d.dataset"""
 
 
+def _rule_risk_sql() -> str:
+    return S.with_ctes(*_rule_risk_ctes()) + _RULE_RISK_BODY
+
+
 @register("rule_risk", _rule_risk_sql())
 def q_rule_risk(spark, sf_dir):
     """A18 (actual) + A10 + A4: per rule and data set – matched cases, events,
@@ -137,3 +144,169 @@ def q_rule_model(spark, sf_dir):
     predicted risk and AUC inside the rule's subpopulation."""
     c = td.cases(spark, sf_dir)
     return rule_model_table(td.scores(spark, sf_dir), c, td.RULES, event_label=0)
+
+
+# ---------------------------------------------------------------------------
+# Bins, calibration, grouped intervals, distributions
+# ---------------------------------------------------------------------------
+
+from .functions.bins import RISK_BREAKS, RISK_LABELS, equal_width_bins  # noqa: E402
+from .functions.tquantile import t975_sql  # noqa: E402
+from .operators import calibration as cal  # noqa: E402
+from .operators import density as dens  # noqa: E402
+from .operators import stats as st  # noqa: E402
+
+_PREDS = S.with_ctes(S.cases_cte(), S.datasets_cte(), S.scores_cte())
+
+
+def _calib_long_sql(binned_cte: str) -> str:
+    return _PREDS + "," + binned_cte + """,
+  w AS (SELECT dataset, model, bin, count(*) AS n, avg(prob) AS Predicted,
+               avg(CASE WHEN y = 0 THEN 1.0 ELSE 0.0 END) AS Actual
+        FROM b WHERE bin IS NOT NULL GROUP BY ALL)
+SELECT dataset, model, bin, CAST(n AS BIGINT) AS n, 'Actual' AS var, round(Actual, 6) AS value FROM w
+UNION ALL
+SELECT dataset, model, bin, CAST(n AS BIGINT) AS n, 'Predicted' AS var, round(Predicted, 6) AS value FROM w"""
+
+
+@register("calibration_fixed_bins", _calib_long_sql(
+    f"\n  b AS (SELECT *, {S.fixed_bin_sql('prob', RISK_BREAKS, RISK_LABELS)} AS bin FROM preds)"))
+def q_calibration_fixed(spark, sf_dir):
+    """A11 + A15 + O5: right-closed fixed risk bins (0,.2],…,(.8,1]; per data
+    set, model and bin the mean predicted risk and actual event share, long."""
+    p = cal.with_fixed_bins(td.scores(spark, sf_dir))
+    return cal.calibration(p, ["dataset", "model"]).withColumn("value", _r("value"))
+
+
+@register("calibration_quantile_bins", _calib_long_sql(f"""
+  qb AS (SELECT dataset, model, quantile_cont(prob, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS br
+         FROM preds GROUP BY ALL),
+  b AS (SELECT p.*, CAST({S.count_above_sql('p.prob', 'qb.br', 5)} AS INTEGER) AS bin
+        FROM preds p JOIN qb USING (dataset, model))"""))
+def q_calibration_quantile(spark, sf_dir):
+    """A13 + A15: equal-count (quintile) bins per data set and model, then
+    the calibration table."""
+    p = cal.with_quantile_bins(td.scores(spark, sf_dir), ["dataset", "model"], k=5)
+    return cal.calibration(p, ["dataset", "model"]).withColumn("value", _r("value"))
+
+
+@register("equal_width_bins", S.with_ctes(S.cases_cte(), S.datasets_cte()) + """,
+  rng AS (SELECT dataset, min(acctbal) AS mn, max(acctbal) AS mx FROM ds GROUP BY dataset),
+  b AS (SELECT ds.dataset, acctbal,
+               CAST(1 + (CASE WHEN acctbal > mn + 1 * ((mx - mn) / 5) THEN 1 ELSE 0 END)
+                      + (CASE WHEN acctbal > mn + 2 * ((mx - mn) / 5) THEN 1 ELSE 0 END)
+                      + (CASE WHEN acctbal > mn + 3 * ((mx - mn) / 5) THEN 1 ELSE 0 END)
+                      + (CASE WHEN acctbal > mn + 4 * ((mx - mn) / 5) THEN 1 ELSE 0 END) AS INTEGER) AS bin
+        FROM ds JOIN rng USING (dataset))
+SELECT dataset, bin, CAST(count(*) AS BIGINT) AS n, min(acctbal) AS min_value, max(acctbal) AS max_value
+FROM b GROUP BY ALL""")
+def q_equal_width_bins(spark, sf_dir):
+    """``cut(x, 5)`` equal-width bins of acctbal within each data set."""
+    c = td.with_datasets(td.cases(spark, sf_dir).select("case_id", "start_date", "acctbal"))
+    b = equal_width_bins(c, "acctbal", 5, ["dataset"])
+    return b.groupBy("dataset", "bin").agg(F.count(F.lit(1)).cast("bigint").alias("n"),
+                                           F.min("acctbal").alias("min_value"),
+                                           F.max("acctbal").alias("max_value"))
+
+
+def _ci_select_sql(src: str, g: str) -> str:
+    return f"""
+SELECT {g}, round(mean, 6) AS mean, round(sd, 6) AS sd, CAST(n AS BIGINT) AS n, round(se, 6) AS se,
+       round(mean - {t975_sql('n - 1')} * se, 6) AS ci_lower,
+       round(mean + {t975_sql('n - 1')} * se, 6) AS ci_upper
+FROM (SELECT *, sd / sqrt(n) AS se FROM {src})"""
+
+
+def _round_all(df, keep):
+    return df.select(*[F.col(c) if c in keep or dict(df.dtypes)[c] != "double" else _r(c).alias(c)
+                       for c in df.columns])
+
+
+@register("grouped_ci", S.with_ctes(S.cases_cte(), S.datasets_cte()) + """,
+  a AS (SELECT dataset, segment, avg(totalprice) AS mean, stddev_samp(totalprice) AS sd,
+               count(totalprice) AS n FROM ds GROUP BY ALL)""" + _ci_select_sql("a", "dataset, segment"))
+def q_grouped_ci(spark, sf_dir):
+    """A2 + A3: mean, sd, n, se and 95 % t interval of totalprice per data set
+    and segment (large n: the t quantile comes from the expansion)."""
+    c = td.with_datasets(td.cases(spark, sf_dir).select("case_id", "start_date", "totalprice",
+                                                       "segment"))
+    return _round_all(st.grouped_summary(c, ["dataset", "segment"], "totalprice"), [])
+
+
+def _rule_risk_cte() -> str:
+    """rule_risk as a CTE named _x (same SQL as the rule_risk twin)."""
+    return S.with_ctes(*_rule_risk_ctes(), f"\n_x AS ({_RULE_RISK_BODY})") + ","
+
+
+@register("rule_risk_bin_ci", _rule_risk_cte() + f"""
+  rb AS (SELECT dataset, {S.fixed_bin_sql('actual_risk', RISK_BREAKS, RISK_LABELS)} AS bin, actual_risk
+         FROM _x),
+  a AS (SELECT dataset, bin, avg(actual_risk) AS mean, stddev_samp(actual_risk) AS sd,
+               count(actual_risk) AS n FROM rb GROUP BY ALL)""" + _ci_select_sql("a", "dataset, bin"))
+def q_rule_risk_bin_ci(spark, sf_dir):
+    """A11 + A2 + A3 on the rule table: rules binned by their actual risk,
+    mean risk with its 95 % t interval per data set and bin (small n: the
+    t table)."""
+    rr = q_rule_risk(spark, sf_dir)
+    b = cal.with_fixed_bins(rr, prob="actual_risk")
+    return _round_all(st.grouped_summary(b, ["dataset", "bin"], "actual_risk"), [])
+
+
+@register("box_stats", _PREDS + """,
+  q AS (SELECT dataset, model, quantile_cont(prob, [0.25, 0.5, 0.75]) AS qq FROM preds GROUP BY ALL),
+  j AS (SELECT p.*, qq[1] AS q1, qq[2] AS median, qq[3] AS q3 FROM preds p JOIN q USING (dataset, model)),
+  k AS (SELECT *, prob >= q1 - 1.5 * (q3 - q1) AND prob <= q3 + 1.5 * (q3 - q1) AS inside FROM j)
+SELECT dataset, model, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
+       round(min(CASE WHEN inside THEN prob END), 6) AS whisker_low,
+       round(max(CASE WHEN inside THEN prob END), 6) AS whisker_high,
+       CAST(sum(CASE WHEN inside THEN 0 ELSE 1 END) AS BIGINT) AS n_outliers,
+       round(avg(prob), 6) AS mean, CAST(count(*) AS BIGINT) AS n
+FROM k GROUP BY dataset, model, q1, median, q3""")
+def q_box_stats(spark, sf_dir):
+    """Box-plot statistics (+ mean) of predicted risk per data set and model."""
+    return _round_all(st.box_stats(td.scores(spark, sf_dir), ["dataset", "model"], "prob"), [])
+
+
+@register("histogram_density", _PREDS + """,
+  b AS (SELECT dataset, model, CAST(greatest(ceil((prob - 0.0) / 0.05), 1) AS INTEGER) AS bin
+        FROM preds WHERE prob IS NOT NULL AND prob >= 0.0 AND prob <= 1.0),
+  c AS (SELECT dataset, model, bin, count(*) AS cnt FROM b GROUP BY ALL),
+  t AS (SELECT dataset, model, sum(cnt) AS n FROM c GROUP BY ALL)
+SELECT dataset, model, bin, round(0.0 + (bin - 1) * 0.05, 6) AS x_lo, round(0.0 + bin * 0.05, 6) AS x_hi,
+       CAST(cnt AS BIGINT) AS count, round(cnt / (n * 0.05), 6) AS density
+FROM c JOIN t USING (dataset, model)""")
+def q_histogram_density(spark, sf_dir):
+    """Histogram-as-density of predicted risk (20 bins on [0,1])."""
+    h = dens.histogram_density(td.scores(spark, sf_dir), ["dataset", "model"], "prob", 0.0, 1.0, 20)
+    return _round_all(h, [])
+
+
+_KDE_N = 64
+_KDE_STEP = 1.0 / (_KDE_N - 1)
+
+
+@register("kde_grid", _PREDS + f""",
+  p AS (SELECT dataset, model, least(greatest((prob - 0.0) / {_KDE_STEP!r}, 0.0), {float(_KDE_N - 1)!r}) AS pos
+        FROM preds WHERE prob IS NOT NULL),
+  p2 AS (SELECT *, CAST(least(floor(pos), {_KDE_N - 2}) AS INTEGER) AS i0 FROM p),
+  cells AS (SELECT dataset, model, i0 AS i, 1.0 - (pos - i0) AS w FROM p2
+            UNION ALL SELECT dataset, model, i0 + 1 AS i, pos - i0 AS w FROM p2),
+  binned AS (SELECT dataset, model, i, sum(w) AS w FROM cells GROUP BY ALL),
+  bwq AS (SELECT dataset, model, quantile_cont(prob, [0.25, 0.75]) AS q, count(*) AS n,
+                 stddev_samp(prob) AS sd FROM preds WHERE prob IS NOT NULL GROUP BY ALL),
+  bw AS (SELECT dataset, model, n,
+                0.9 * (CASE WHEN least(sd, (q[2] - q[1]) / 1.34) > 0 THEN least(sd, (q[2] - q[1]) / 1.34)
+                            WHEN sd > 0 THEN sd ELSE 1.0 END) * pow(CAST(n AS DOUBLE), -0.2) AS bandwidth
+         FROM bwq),
+  grid AS (SELECT range AS gi FROM range(0, {_KDE_N})),
+  d AS (SELECT b.dataset, b.model, g.gi,
+               sum(b.w * exp(-0.5 * pow(((0.0 + g.gi * {_KDE_STEP!r}) - (0.0 + b.i * {_KDE_STEP!r})) / bw.bandwidth, 2.0))) AS s
+        FROM binned b JOIN bw USING (dataset, model) CROSS JOIN grid g GROUP BY ALL)
+SELECT d.dataset, d.model, CAST(d.gi AS INTEGER) AS grid_index, round(0.0 + d.gi * {_KDE_STEP!r}, 6) AS x,
+       round(d.s * {1.0 / (2 * 3.141592653589793) ** 0.5!r} / (bw.n * bw.bandwidth), 6) AS density,
+       round(bw.bandwidth, 6) AS bandwidth
+FROM d JOIN bw USING (dataset, model)""")
+def q_kde_grid(spark, sf_dir):
+    """Gaussian KDE (bw.nrd0) of predicted risk on a 64-point grid."""
+    k = dens.kde_grid(td.scores(spark, sf_dir), ["dataset", "model"], "prob", 0.0, 1.0, _KDE_N)
+    return _round_all(k, [])

@@ -128,3 +128,36 @@ def count_above_sql(x: str, breaks_list: str, k: int) -> str:
     """1 + number of interior breaks (list elements 2..k) strictly below x."""
     terms = " + ".join(f"(CASE WHEN {breaks_list}[{i}] < {x} THEN 1 ELSE 0 END)" for i in range(2, k + 1))
     return f"(1 + {terms})"
+
+
+def split_ctes(order_sql: str, prop: float = 0.2) -> list[str]:
+    """pool (train-pool cases), sp (ranked), split (train/test), train."""
+    return [f"""
+pool AS (SELECT * FROM cases WHERE start_date < DATE '{td.TRAIN_POOL_BEFORE}')""", f"""
+sp AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY {order_sql}, case_id) AS rk,
+              count(*) OVER (PARTITION BY y) AS n_stratum FROM pool)""", f"""
+split AS (SELECT *, CASE WHEN rk <= floor({prop!r} * n_stratum) THEN 'train' ELSE 'test' END AS split FROM sp)""",
+            """
+train AS (SELECT * EXCLUDE (rk, n_stratum, split) FROM split WHERE split = 'train')"""]
+
+
+def survey_ctes() -> list[str]:
+    likert = " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in td.LIKERT_SCORES.items() if v is not None)
+    return [f"""
+ev AS (SELECT CAST(user_id % {td.N_EXPERTS} AS INTEGER) AS expert_id,
+              CAST(event_id % {td.N_RATED_RULES} + 1 AS INTEGER) AS rule_no, avg(value) AS v
+       FROM events GROUP BY ALL)""", f"""
+sv AS (SELECT expert_id, 'R' || CAST(rule_no AS VARCHAR) AS rule_id,
+              CASE WHEN (expert_id * 31 + rule_no) % 11 = 0 THEN '{td.DONT_KNOW}'
+                   WHEN v < 44.0 THEN 'Oluliselt suurem' WHEN v < 48.0 THEN 'Suurem'
+                   WHEN v < 52.0 THEN 'Sama' WHEN v < 56.0 THEN 'Väiksem'
+                   ELSE 'Oluliselt väiksem' END AS answer_text FROM ev)""", f"""
+ans AS (SELECT *, CAST(CASE answer_text {likert} ELSE NULL END AS DOUBLE) AS answer FROM sv)""", """
+ex AS (SELECT rule_id, avg(answer) AS expert_assessment, stddev_samp(answer) AS ea_sd,
+              CAST(count(answer) AS BIGINT) AS n_experts FROM ans GROUP BY rule_id)"""]
+
+
+def rule_features_cte(rules: list[Rule], name: str = "rf") -> str:
+    rows = ", ".join("('{}', [{}])".format(r.rule_id, ", ".join(f"'{f}'" for f in r.features))
+                     for r in rules)
+    return f"\n{name} AS (SELECT * FROM (VALUES {rows}) t(rule_id, features))"

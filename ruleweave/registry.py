@@ -310,3 +310,216 @@ def q_kde_grid(spark, sf_dir):
     """Gaussian KDE (bw.nrd0) of predicted risk on a 64-point grid."""
     k = dens.kde_grid(td.scores(spark, sf_dir), ["dataset", "model"], "prob", 0.0, 1.0, _KDE_N)
     return _round_all(k, [])
+
+
+# ---------------------------------------------------------------------------
+# Sampling and splits
+# ---------------------------------------------------------------------------
+
+from .operators import sampling as smp  # noqa: E402
+
+SPLIT_SEED = 69
+TEST_SEED = 70
+LC_SIZES = [250, 500, 1000, 2000, 4000, 8000, 16000]
+LC_REPLICATES = 5
+
+
+def _split_sql_ctes() -> list[str]:
+    return [S.cases_cte()] + S.split_ctes(smp.modular_order_sql("case_id", str(SPLIT_SEED)))
+
+
+def train_pool(spark, sf_dir):
+    c = td.cases(spark, sf_dir)
+    return c.filter(F.col("start_date") < F.lit(td.TRAIN_POOL_BEFORE).cast("date"))
+
+
+def split_pool(spark, sf_dir):
+    """M1 on the train pool: 20 % train (stratified by y), rest test."""
+    return smp.stratified_split(train_pool(spark, sf_dir), ["y"], 0.2, "case_id",
+                                order=smp.modular_order("case_id", SPLIT_SEED))
+
+
+def training_cases(spark, sf_dir):
+    return split_pool(spark, sf_dir).filter(F.col("split") == "train").drop("split")
+
+
+@register("stratified_split", S.with_ctes(*_split_sql_ctes()) + """
+SELECT case_id, y, split FROM split""")
+def q_stratified_split(spark, sf_dir):
+    """M1 + M6 + P5: exact stratified 20 % train / 80 % test split of the
+    train pool by y, seeded hash order."""
+    return split_pool(spark, sf_dir).select("case_id", "y", "split")
+
+
+@register("test_sample", S.with_ctes(*_split_sql_ctes()) + f""",
+  rest AS (SELECT * FROM pool WHERE case_id NOT IN (SELECT case_id FROM train)),
+  rs AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY
+                   {smp.modular_order_sql('case_id', str(TEST_SEED))}, case_id) AS rk2,
+                count(*) OVER (PARTITION BY segment) AS n_seg FROM rest)
+SELECT case_id, y, segment FROM rs WHERE rk2 <= round_even(0.1 * n_seg, 0)""")
+def q_test_sample(spark, sf_dir):
+    """J3 + M2: train-pool cases not in the training split (anti join), then
+    an exact 10 % sample per segment (round half to even)."""
+    rest = smp.exclude(train_pool(spark, sf_dir), training_cases(spark, sf_dir), "case_id")
+    s = smp.stratified_fraction(rest, ["segment"], 0.1, "case_id",
+                                order=smp.modular_order("case_id", TEST_SEED))
+    return s.select("case_id", "y", "segment")
+
+
+@register("stratified_n_per_class", S.with_ctes(*_split_sql_ctes()) + f""",
+  r AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY
+                  {smp.modular_order_sql('case_id', str(TEST_SEED))}, case_id) AS rk3 FROM train)
+SELECT case_id, y FROM r WHERE rk3 <= 400""")
+def q_stratified_n(spark, sf_dir):
+    """M3: 400 training cases per class (all of a smaller class)."""
+    s = smp.stratified_n(training_cases(spark, sf_dir), ["y"], 400, "case_id",
+                         order=smp.modular_order("case_id", TEST_SEED))
+    return s.select("case_id", "y")
+
+
+@register("learning_curve_samples", S.with_ctes(*_split_sql_ctes()) + f""",
+  rep AS (SELECT t.*, r.replicate FROM train t CROSS JOIN (SELECT range AS replicate FROM range(1, {LC_REPLICATES + 1})) r),
+  rk AS (SELECT *, row_number() OVER (PARTITION BY y, replicate ORDER BY
+                   {smp.modular_order_sql('case_id', f'{SPLIT_SEED} + replicate')}, case_id) AS rk4 FROM rep),
+  g AS (SELECT * FROM (VALUES {', '.join(f'({n // 2})' for n in LC_SIZES)}) s(n_per_stratum))
+SELECT CAST(replicate AS INTEGER) AS replicate, CAST(2 * n_per_stratum AS INTEGER) AS n_train, case_id, y
+FROM rk JOIN g ON rk.rk4 <= g.n_per_stratum""")
+def q_learning_curve_samples(spark, sf_dir):
+    """M5: the learning-curve sample grid – 7 sizes × 5 replicates, n/2 cases
+    per class each, one seeded order per replicate."""
+    s = smp.replicated_samples(training_cases(spark, sf_dir), ["y"], [n // 2 for n in LC_SIZES],
+                               LC_REPLICATES, "case_id", seed=SPLIT_SEED, modular=True)
+    return s.select(F.col("replicate").cast("int"),
+                    (F.col("n_per_stratum") * 2).cast("int").alias("n_train"), "case_id", "y")
+
+
+# ---------------------------------------------------------------------------
+# Survey and expert disagreement
+# ---------------------------------------------------------------------------
+
+from .functions.rules import rules_frame  # noqa: E402
+from .plans import disagreement as dis  # noqa: E402
+from .session import scratch_path  # noqa: E402
+from .sources import survey as sv  # noqa: E402
+
+RATED = [f"R{i}" for i in range(1, td.N_RATED_RULES + 1)]
+
+
+def survey_answers(spark, sf_dir):
+    """Survey answers read back from CSV (S2), long and recoded."""
+    path = scratch_path(spark, "survey-csv")
+    sv.write_survey_csv(td.survey_wide(spark, sf_dir), path)
+    wide = sv.read_survey_csv(spark, path, RATED)
+    return sv.recode_answers(sv.answers_long(wide, RATED), td.LIKERT_SCORES)
+
+
+_SURVEY_SQL = S.survey_ctes()
+
+
+@register("survey_answers", S.with_ctes(*_SURVEY_SQL) + """
+SELECT expert_id, rule_id, answer_text, answer FROM ans""")
+def q_survey_answers(spark, sf_dir):
+    """S2 + O5 + P6 + P7 + P10: the wide survey written to and read from CSV
+    with a fixed schema, gathered to long form, Likert text recoded to
+    scores ("don't know" → NULL)."""
+    return survey_answers(spark, sf_dir).filter(F.col("answer_text").isNotNull())
+
+
+@register("expert_summary", S.with_ctes(*_SURVEY_SQL) + """
+SELECT rule_id, round(expert_assessment, 6) AS expert_assessment, round(ea_sd, 6) AS ea_sd, n_experts FROM ex""")
+def q_expert_summary(spark, sf_dir):
+    """A1: per rated rule the experts' mean score, sd and answer count."""
+    e = dis.expert_summary(survey_answers(spark, sf_dir))
+    return _round_all(e, [])
+
+
+def _facts_sql() -> list[str]:
+    return [S.hits_cte(td.RULES, "train", "case_id, y", name="th"), """
+facts AS (SELECT rule_id, CAST(count(*) AS BIGINT) AS n_train,
+                 avg(CASE WHEN y = 0 THEN 1.0 ELSE 0.0 END) AS empirical_risk FROM th GROUP BY rule_id)"""]
+
+
+def training_facts(spark, sf_dir):
+    return dis.rule_facts(training_cases(spark, sf_dir), td.RULES, event_label=0)
+
+
+@register("rule_facts", S.with_ctes(*_split_sql_ctes(), *_facts_sql()) + """
+SELECT rule_id, n_train, round(empirical_risk, 6) AS empirical_risk FROM facts""")
+def q_rule_facts(spark, sf_dir):
+    """Per rule the matched training cases and empirical risk."""
+    return _round_all(training_facts(spark, sf_dir), [])
+
+
+def _disagreement_sql_ctes() -> list[str]:
+    return [*_split_sql_ctes(), *_facts_sql(), *_SURVEY_SQL, f"""
+j AS (SELECT ex.*, f.n_train, f.empirical_risk,
+             ea_sd / sqrt(n_experts) AS se,
+             f.empirical_risk - expert_assessment AS vahe,
+             abs(f.empirical_risk - expert_assessment) AS abs_vahe,
+             CASE WHEN ea_sd = 0 THEN NULL ELSE abs(f.empirical_risk - expert_assessment) / ea_sd END AS abs_vahe_x_stdv,
+             {S.fixed_bin_sql('f.empirical_risk', RISK_BREAKS, RISK_LABELS)} AS risk_bin
+      FROM ex LEFT JOIN facts f USING (rule_id))""", """
+rng AS (SELECT min(abs_vahe_x_stdv) AS mn, max(abs_vahe_x_stdv) AS mx FROM j)""", """
+dj AS (SELECT j.*, CAST(CASE WHEN abs_vahe_x_stdv IS NULL THEN NULL
+                   WHEN mx - mn = 0 THEN 3
+                   ELSE 1 + (CASE WHEN abs_vahe_x_stdv > mn + 1 * ((mx - mn) / 5) THEN 1 ELSE 0 END)
+                          + (CASE WHEN abs_vahe_x_stdv > mn + 2 * ((mx - mn) / 5) THEN 1 ELSE 0 END)
+                          + (CASE WHEN abs_vahe_x_stdv > mn + 3 * ((mx - mn) / 5) THEN 1 ELSE 0 END)
+                          + (CASE WHEN abs_vahe_x_stdv > mn + 4 * ((mx - mn) / 5) THEN 1 ELSE 0 END) END AS INTEGER) AS penalty_rank
+       FROM j CROSS JOIN rng)"""]
+
+
+def disagreement_table(spark, sf_dir):
+    e = dis.expert_summary(survey_answers(spark, sf_dir))
+    return dis.disagreement(e, training_facts(spark, sf_dir))
+
+
+@register("expert_disagreement", S.with_ctes(*_disagreement_sql_ctes()) + f"""
+SELECT rule_id, round(expert_assessment, 6) AS expert_assessment, round(ea_sd, 6) AS ea_sd, n_experts, n_train,
+       round(empirical_risk, 6) AS empirical_risk, round(se, 6) AS se,
+       round(expert_assessment - {t975_sql('n_experts - 1')} * se, 6) AS ci_lower,
+       round(expert_assessment + {t975_sql('n_experts - 1')} * se, 6) AS ci_upper,
+       risk_bin, round(vahe, 6) AS vahe, round(abs_vahe, 6) AS abs_vahe,
+       round(abs_vahe_x_stdv, 6) AS abs_vahe_x_stdv, penalty_rank
+FROM dj""")
+def q_expert_disagreement(spark, sf_dir):
+    """R11 (+ A1, J2, A3, P8, A11, A12, A14): expert vs empirical risk per
+    rated rule, 95 % interval of the expert mean, |Δrisk| / sd and the
+    penalty rank (equal-width bin of it)."""
+    return _round_all(disagreement_table(spark, sf_dir), [])
+
+
+@register("kept_rules", S.with_ctes(*_disagreement_sql_ctes(),
+                                    S.values_cte("allr", "rule_id", [r.rule_id for r in td.RULES])) + """
+SELECT CAST(k.k AS INTEGER) AS k, a.rule_id
+FROM allr a LEFT JOIN dj USING (rule_id) CROSS JOIN (SELECT range AS k FROM range(1, 5)) k
+WHERE dj.penalty_rank IS NULL OR dj.penalty_rank <= k.k""")
+def q_kept_rules(spark, sf_dir):
+    """P12 + J2 (R12 selection): for k = 1..4 the rules kept in the
+    expert-augmented model – penalty rank ≤ k or not rated."""
+    ranks = disagreement_table(spark, sf_dir)
+    allr = rules_frame(spark, td.RULES)
+    ks = allr.select("rule_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("k"))
+    j = ks.join(ranks.select("rule_id", "penalty_rank"), "rule_id", "left")
+    return j.filter(F.col("penalty_rank").isNull() | (F.col("penalty_rank") <= F.col("k"))) \
+        .select(F.col("k").cast("int"), "rule_id")
+
+
+@register("expert_importance", S.with_ctes(*_SURVEY_SQL, S.rule_features_cte(td.RULES)) + """,
+  f AS (SELECT rule_id, unnest(features) AS feature, len(features) AS nf FROM rf),
+  imp AS (SELECT feature, avg(abs(0.5 - expert_assessment) / nf) AS importance
+          FROM f JOIN ex USING (rule_id) GROUP BY feature),
+  mm AS (SELECT min(importance) AS mn, max(importance) AS mx FROM imp),
+  sc AS (SELECT feature, importance,
+                CASE WHEN mx - mn = 0 THEN NULL ELSE (importance - mn) / (mx - mn) END AS scaled
+         FROM imp CROSS JOIN mm)
+SELECT feature, round(importance, 6) AS importance, round(scaled, 6) AS scaled,
+       CAST(dense_rank() OVER (ORDER BY scaled DESC) AS INTEGER) AS imp_rank
+FROM sc""")
+def q_expert_importance(spark, sf_dir):
+    """A25 + A7 + W1 + O7: feature importance implied by expert ratings,
+    min–max scaled and ranked."""
+    e = dis.expert_summary(survey_answers(spark, sf_dir))
+    rf = rules_frame(spark, td.RULES)
+    out = dis.expert_importance(e, rf).withColumnRenamed("order", "imp_rank")
+    return _round_all(out, [])

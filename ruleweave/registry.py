@@ -452,7 +452,7 @@ def q_rule_facts(spark, sf_dir):
 
 def _disagreement_sql_ctes() -> list[str]:
     return [*_split_sql_ctes(), *_facts_sql(), *_SURVEY_SQL, f"""
-j AS (SELECT ex.*, f.n_train, f.empirical_risk,
+j AS (SELECT ex.*, CAST(coalesce(f.n_train, 0) AS BIGINT) AS n_train, f.empirical_risk,
              ea_sd / sqrt(n_experts) AS se,
              f.empirical_risk - expert_assessment AS vahe,
              abs(f.empirical_risk - expert_assessment) AS abs_vahe,
@@ -480,13 +480,16 @@ SELECT rule_id, round(expert_assessment, 6) AS expert_assessment, round(ea_sd, 6
        round(expert_assessment - {t975_sql('n_experts - 1')} * se, 6) AS ci_lower,
        round(expert_assessment + {t975_sql('n_experts - 1')} * se, 6) AS ci_upper,
        risk_bin, round(vahe, 6) AS vahe, round(abs_vahe, 6) AS abs_vahe,
-       round(abs_vahe_x_stdv, 6) AS abs_vahe_x_stdv, penalty_rank
+       round(abs_vahe_x_stdv, 6) AS abs_vahe_x_stdv, CAST(penalty_rank AS DOUBLE) AS penalty_rank
 FROM dj""")
 def q_expert_disagreement(spark, sf_dir):
     """R11 (+ A1, J2, A3, P8, A11, A12, A14): expert vs empirical risk per
     rated rule, 95 % interval of the expert mean, |Δrisk| / sd and the
-    penalty rank (equal-width bin of it)."""
-    return _round_all(disagreement_table(spark, sf_dir), [])
+    penalty rank (equal-width bin of it).  penalty_rank is emitted as double
+    here (NULL for unranked rules; a nullable int column converts to pandas
+    differently between engines)."""
+    d = disagreement_table(spark, sf_dir)
+    return _round_all(d.withColumn("penalty_rank", F.col("penalty_rank").cast("double")), [])
 
 
 @register("kept_rules", S.with_ctes(*_disagreement_sql_ctes(),

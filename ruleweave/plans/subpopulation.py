@@ -85,3 +85,108 @@ def rule_model_table(preds: DataFrame, cases: DataFrame, rules: Sequence[Rule],
                     F.round("actual", digits).alias("actual"),
                     F.round("predicted", digits).alias("predicted"),
                     F.round("auc", digits).alias("auc")))
+
+
+def model_differences(table: DataFrame, datasets: Sequence[str], models: Sequence[str],
+                      base: str, augmented: str, ref_set: str, new_set: str,
+                      totals: DataFrame | None = None, digits: int = 6) -> DataFrame:
+    """One row per rule with the measures of ``rule_model_table`` pivoted
+    by data set and model (conditional aggregation with a fixed key list),
+    and the reference's difference measures:
+
+    * ``diff_aug_base``   – predicted(augmented) − predicted(base) on ``new_set``;
+    * ``did_ref``/``did_new`` – (actual − pred_base) − (actual − pred_aug);
+    * ``aug_improvement`` – did_ref − did_new; absolute values of both;
+    * ``prop_obs_<set>``  – n · 100 / rows of the set (``totals``: dataset, n_total).
+    """
+    aggs = []
+    for d in datasets:
+        aggs.append(F.coalesce(F.max(F.when(F.col("dataset") == d, F.col("n"))), F.lit(0))
+                    .cast("bigint").alias(f"n_{d}"))
+        aggs.append(F.max(F.when(F.col("dataset") == d, F.col("actual"))).alias(f"actual_{d}"))
+        for m in models:
+            sel = (F.col("dataset") == d) & (F.col("model") == m)
+            aggs.append(F.max(F.when(sel, F.col("predicted"))).alias(f"pred_{m}_{d}"))
+            aggs.append(F.max(F.when(sel, F.col("auc"))).alias(f"auc_{m}_{d}"))
+    w = table.groupBy("rule_id").agg(*aggs)
+
+    def did(s):
+        return ((F.col(f"actual_{s}") - F.col(f"pred_{base}_{s}"))
+                - (F.col(f"actual_{s}") - F.col(f"pred_{augmented}_{s}")))
+    w = w.withColumns({
+        "diff_aug_base": F.col(f"pred_{augmented}_{new_set}") - F.col(f"pred_{base}_{new_set}"),
+        "did_ref": did(ref_set), "did_new": did(new_set)})
+    w = w.withColumns({"diff_aug_base_abs": F.abs("diff_aug_base"),
+                       "aug_improvement": F.col("did_ref") - F.col("did_new")})
+    w = w.withColumn("aug_improvement_abs", F.abs("aug_improvement"))
+    if totals is not None:
+        t = totals.groupBy().agg(*[F.max(F.when(F.col("dataset") == d, F.col("n_total")))
+                                   .alias(f"_tot_{d}") for d in datasets])
+        s = t.select(F.struct(*t.columns).alias("_s")).scalar()
+        w = w.withColumns({f"prop_obs_{d}": F.col(f"n_{d}") * F.lit(100.0)
+                           / s.getField(f"_tot_{d}") for d in datasets})
+    return w.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c)
+                      for c, t in w.dtypes])
+
+
+def selected_rules_report(preds: DataFrame, cases: DataFrame, rules: Sequence[Rule],
+                          selected: Sequence[str], event_label: int = 0,
+                          digits: int = 6) -> DataFrame:
+    """Per selected rule, data set and model – n, actual event share and
+    mean predicted risk – plus an "all cases" row (rule_id '*'), from one
+    aggregation pass (the '*' id is emitted once per case by the matcher)."""
+    hits = match_rules(cases, rules, keep=("case_id",), with_all_row=True)
+    keep = F.col("rule_id").isin(list(selected) + [ALL_CASES])
+    sub = preds.join(hits.filter(keep), "case_id", "inner")
+    g = ["rule_id", "dataset", "model"]
+    return sub.groupBy(*g).agg(
+        F.count(F.lit(1)).cast("bigint").alias("n"),
+        F.round(F.avg((F.col("y") == F.lit(event_label)).cast("double")), digits).alias("actual"),
+        F.round(F.avg("prob"), digits).alias("predicted"))
+
+
+def subpopulation_profile(cases: DataFrame, rules: Sequence[Rule], numeric: Sequence[str],
+                          categorical: Sequence[str], digits: int = 6) -> DataFrame:
+    """A24 (+ A6, A8, A9, P17): for every rule and every feature the rule
+    uses – categories: mode (ties → last in text order) and the sorted
+    distinct levels; numbers: mean, min, max – over the matched cases.
+
+    Hits keep the feature values (no join back to the cases); values are
+    gathered to long form per kind and restricted to the rule's own features
+    with a semi join on the (rule, feature) map (size: total conditions)."""
+    spark = cases.sparkSession
+    feats = list(dict.fromkeys(list(numeric) + list(categorical)))
+    hits = match_rules(cases, rules, keep=feats)
+    rf = spark.createDataFrame([(r.rule_id, f) for r in rules for f in r.features],
+                               "rule_id string, feature string")
+    nums = [f for f in numeric if f in {x for r in rules for x in r.features}]
+    cats = [f for f in categorical if f in {x for r in rules for x in r.features}]
+    out = []
+    if nums:
+        nl = hits.select("rule_id", *[F.col(c).cast("double").alias(c) for c in nums]) \
+            .unpivot(["rule_id"], nums, "feature", "num_value")
+        nl = nl.join(F.broadcast(rf), ["rule_id", "feature"], "left_semi")
+        out.append(nl.groupBy("rule_id", "feature").agg(
+            F.lit("numeric").alias("kind"),
+            F.lit(None).cast("string").alias("mode"),
+            F.lit(None).cast("string").alias("levels"),
+            F.round(F.avg("num_value"), digits).alias("mean"),
+            F.round(F.min("num_value"), digits).alias("min"),
+            F.round(F.max("num_value"), digits).alias("max")))
+    if cats:
+        cl = hits.select("rule_id", *[F.col(c).cast("string").alias(c) for c in cats]) \
+            .unpivot(["rule_id"], cats, "feature", "cat_value")
+        cl = cl.join(F.broadcast(rf), ["rule_id", "feature"], "left_semi")
+        vc = (cl.filter(F.col("cat_value").isNotNull())
+              .groupBy("rule_id", "feature", "cat_value").agg(F.count(F.lit(1)).alias("n")))
+        out.append(vc.groupBy("rule_id", "feature").agg(
+            F.lit("category").alias("kind"),
+            F.max_by("cat_value", F.struct("n", "cat_value")).alias("mode"),
+            F.array_join(F.array_sort(F.collect_list("cat_value")), ", ").alias("levels"),
+            F.lit(None).cast("double").alias("mean"),
+            F.lit(None).cast("double").alias("min"),
+            F.lit(None).cast("double").alias("max")))
+    res = out[0]
+    for o in out[1:]:
+        res = res.unionByName(o)
+    return res

@@ -526,3 +526,133 @@ def q_expert_importance(spark, sf_dir):
     rf = rules_frame(spark, td.RULES)
     out = dis.expert_importance(e, rf).withColumnRenamed("order", "imp_rank")
     return _round_all(out, [])
+
+
+# ---------------------------------------------------------------------------
+# Subpopulation differences, selected-rule report, subpopulation profile,
+# data profile
+# ---------------------------------------------------------------------------
+
+from .operators.stats import profile  # noqa: E402
+from .plans import subpopulation as subp  # noqa: E402
+
+MODELS = list(td.SCORE_MODELS)
+SELECTED_RULES = ["R1", "R4", "R7", "R16", "R21"]
+
+
+def _diff_sql() -> str:
+    head = _rule_model_sql().replace("\nSELECT b.rule_id", ",\n  rmt AS (SELECT b.rule_id", 1)
+    head += "),\n  tot AS (SELECT dataset, count(*) AS n_total FROM ds GROUP BY dataset),"
+    cols = []
+    for d in S.DATASETS:
+        cols.append(f"CAST(coalesce(max(CASE WHEN dataset = '{d}' THEN n END), 0) AS BIGINT) AS n_{d}")
+        cols.append(f"max(CASE WHEN dataset = '{d}' THEN actual END) AS actual_{d}")
+        for m in MODELS:
+            cols.append(f"max(CASE WHEN dataset = '{d}' AND model = '{m}' THEN predicted END) AS pred_{m}_{d}")
+            cols.append(f"max(CASE WHEN dataset = '{d}' AND model = '{m}' THEN auc END) AS auc_{m}_{d}")
+    base, aug, ref, new = "m1", "m2", "train_pool", "short_term"
+
+    def did(s):
+        return f"((actual_{s} - pred_{base}_{s}) - (actual_{s} - pred_{aug}_{s}))"
+    tots = ", ".join(f"(SELECT n_total FROM tot WHERE dataset = '{d}') AS _tot_{d}" for d in S.DATASETS)
+    out = ["rule_id"]
+    for d in S.DATASETS:
+        out.append(f"n_{d}")
+        out.append(f"round(actual_{d}, 6) AS actual_{d}")
+        for m in MODELS:
+            out.append(f"round(pred_{m}_{d}, 6) AS pred_{m}_{d}")
+            out.append(f"round(auc_{m}_{d}, 6) AS auc_{m}_{d}")
+    out += [f"round(pred_{aug}_{new} - pred_{base}_{new}, 6) AS diff_aug_base",
+            f"round({did(ref)}, 6) AS did_ref", f"round({did(new)}, 6) AS did_new",
+            f"round(abs(pred_{aug}_{new} - pred_{base}_{new}), 6) AS diff_aug_base_abs",
+            f"round({did(ref)} - {did(new)}, 6) AS aug_improvement",
+            f"round(abs({did(ref)} - {did(new)}), 6) AS aug_improvement_abs"]
+    out += [f"round(n_{d} * 100.0 / _tot_{d}, 6) AS prop_obs_{d}" for d in S.DATASETS]
+    return head + f"""
+  w AS (SELECT rule_id, {', '.join(cols)} FROM rmt GROUP BY rule_id)
+SELECT {', '.join(out)} FROM (SELECT w.*, {tots} FROM w)"""
+
+
+@register("rule_model_differences", _diff_sql())
+def q_rule_model_differences(spark, sf_dir):
+    """A19 (+ A10): per rule, the subpopulation measures pivoted by data set
+    and model, model/data-set differences and coverage %."""
+    c = td.cases(spark, sf_dir)
+    preds = td.scores(spark, sf_dir)
+    t = subp.rule_model_table(preds, c, td.RULES, event_label=0)
+    totals = td.with_datasets(c.select("case_id", "start_date")).groupBy("dataset") \
+        .agg(F.count(F.lit(1)).alias("n_total"))
+    return subp.model_differences(t, S.DATASETS, MODELS, "m1", "m2", "train_pool", "short_term",
+                                  totals=totals)
+
+
+@register("selected_rules_report", S.with_ctes(
+    S.cases_cte(), S.datasets_cte(), S.scores_cte(),
+    S.hits_cte([r for r in td.RULES if r.rule_id in SELECTED_RULES], "cases", "case_id", name="h0")) + """,
+  h AS (SELECT * FROM h0 UNION ALL SELECT case_id, '*' AS rule_id FROM cases)
+SELECT rule_id, dataset, model, CAST(count(*) AS BIGINT) AS n,
+       round(avg(CASE WHEN y = 0 THEN 1.0 ELSE 0.0 END), 6) AS actual, round(avg(prob), 6) AS predicted
+FROM preds JOIN h USING (case_id) GROUP BY ALL""")
+def q_selected_rules_report(spark, sf_dir):
+    """A20 (+ J4): the report for a few named rules plus an "all cases" row."""
+    return subp.selected_rules_report(td.scores(spark, sf_dir), td.cases(spark, sf_dir),
+                                      td.RULES, SELECTED_RULES, event_label=0)
+
+
+def _profile_sql() -> str:
+    parts = []
+    for r in td.RULES:
+        for f in r.features:
+            if f in td.NUMERIC_FEATURES:
+                parts.append(f"""  SELECT '{r.rule_id}' AS rule_id, '{f}' AS feature, 'numeric' AS kind,
+         CAST(NULL AS VARCHAR) AS mode, CAST(NULL AS VARCHAR) AS levels,
+         round(avg(CAST({f} AS DOUBLE)), 6) AS mean, round(min(CAST({f} AS DOUBLE)), 6) AS min,
+         round(max(CAST({f} AS DOUBLE)), 6) AS max
+  FROM train WHERE {r.to_sql()} HAVING count(*) > 0""")
+            else:
+                parts.append(f"""  SELECT '{r.rule_id}' AS rule_id, '{f}' AS feature, 'category' AS kind,
+         (SELECT v FROM (SELECT {f} AS v, count(*) AS n FROM train WHERE ({r.to_sql()}) AND {f} IS NOT NULL
+                         GROUP BY {f}) ORDER BY n DESC, v DESC LIMIT 1) AS mode,
+         string_agg(DISTINCT {f}, ', ' ORDER BY {f}) AS levels,
+         CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS max
+  FROM train WHERE ({r.to_sql()}) AND {f} IS NOT NULL HAVING count(*) > 0""")
+    return S.with_ctes(*_split_sql_ctes()) + "\n" + "\nUNION ALL\n".join(parts)
+
+
+@register("subpopulation_profile", _profile_sql())
+def q_subpopulation_profile(spark, sf_dir):
+    """A24 (+ A6, A8, A9, O3, P17): per rule and rule feature, over the
+    matched training cases – mode and levels of categories; mean, min, max
+    of numbers."""
+    return subp.subpopulation_profile(training_cases(spark, sf_dir), td.RULES,
+                                      td.NUMERIC_FEATURES, td.NOMINAL_FEATURES)
+
+
+_PROFILE_COLS = [("case_id", "bigint"), ("start_date", "date"), ("y", "int"), ("n_lines", "int"),
+                 ("avg_qty", "double"), ("max_discount", "double"), ("ship_lag_days", "double"),
+                 ("totalprice", "double"), ("acctbal", "double"), ("priority", "string"),
+                 ("priority_code", "int"), ("segment", "string"), ("status", "string"),
+                 ("region", "string")]
+
+
+def _data_profile_sql() -> str:
+    parts = []
+    for c, t in _PROFILE_COLS:
+        numeric = t in ("bigint", "int", "double")
+        mn = f"round(CAST(min({c}) AS DOUBLE), 6)" if numeric else "CAST(NULL AS DOUBLE)"
+        mx = f"round(CAST(max({c}) AS DOUBLE), 6)" if numeric else "CAST(NULL AS DOUBLE)"
+        mnt = "CAST(NULL AS VARCHAR)" if numeric else f"CAST(min({c}) AS VARCHAR)"
+        mxt = "CAST(NULL AS VARCHAR)" if numeric else f"CAST(max({c}) AS VARCHAR)"
+        parts.append(f"""  SELECT '{c}' AS "column", '{t}' AS type, CAST(count(*) AS BIGINT) AS n_rows,
+         CAST(count(*) - count({c}) AS BIGINT) AS n_null, CAST(count(DISTINCT {c}) AS BIGINT) AS n_distinct,
+         {mn} AS min_num, {mx} AS max_num, {mnt} AS min_text, {mxt} AS max_text,
+         count(DISTINCT {c}) <= 1 AS constant FROM cases""")
+    return S.with_ctes(S.cases_cte()) + "\n" + "\nUNION ALL\n".join(parts)
+
+
+@register("data_profile", _data_profile_sql())
+def q_data_profile(spark, sf_dir):
+    """Profile of the case table – per column type, rows, NULLs,
+    distinct values, min/max, constant flag (one aggregate pass)."""
+    p = profile(td.cases(spark, sf_dir).select(*[c for c, _ in _PROFILE_COLS]))
+    return p.withColumns({"min_num": _r("min_num"), "max_num": _r("max_num")})

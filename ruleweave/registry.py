@@ -656,3 +656,160 @@ def q_data_profile(spark, sf_dir):
     distinct values, min/max, constant flag (one aggregate pass)."""
     p = profile(td.cases(spark, sf_dir).select(*[c for c, _ in _PROFILE_COLS]))
     return p.withColumns({"min_num": _r("min_num"), "max_num": _r("max_num")})
+
+
+# ---------------------------------------------------------------------------
+# Models (no SQL twin: fits are iterative; the driver checks rows only,
+# tests/test_models.py checks properties)
+# ---------------------------------------------------------------------------
+
+from .functions.rules import Rule  # noqa: E402
+from .models import estimators as est  # noqa: E402
+from .models.tree_rules import extract_rules  # noqa: E402
+from .plans import augmentation as aug  # noqa: E402
+from .plans import learning_curve as lc  # noqa: E402
+
+NUM = td.NUMERIC_FEATURES
+CAT = td.NOMINAL_FEATURES
+CONFOUNDER_DROP = ["R1", "R4", "R7"]
+EVAL_SETS = ["test", "short_term", "mid_term"]
+
+
+def test_cases(spark, sf_dir):
+    """Full case rows of the test sample (J3 + M2)."""
+    ids = q_test_sample(spark, sf_dir).select("case_id")
+    return smp.keep_ids(train_pool(spark, sf_dir), ids, "case_id")
+
+
+def evaluation_sets(spark, sf_dir):
+    """The three evaluation sets: pool hold-out sample, short-term and
+    mid-term future (case rows + ``dataset``)."""
+    fut = td.with_datasets(td.cases(spark, sf_dir)).filter(F.col("dataset") != "train_pool")
+    return test_cases(spark, sf_dir).withColumn("dataset", F.lit("test")).unionByName(fut)
+
+
+def _scores_out(scored):
+    return est.event_prob(scored).select("case_id", "dataset", F.col("y").cast("int"),
+                                         "prob", F.col("estimate").cast("int"))
+
+
+@register("random_forest_scores")
+def q_random_forest_scores(spark, sf_dir):
+    """R1 + S3 + R9 + R10: random forest on the training split, saved to the
+    shared folder and loaded back, scoring the three evaluation sets
+    (P(event) and class)."""
+    m = est.fit_random_forest(training_cases(spark, sf_dir), NUM, CAT, num_trees=100,
+                              max_depth=8)
+    path = scratch_path(spark, "rf-model")
+    est.save_model(m, path)
+    loaded = est.load_model(path)
+    return _scores_out(loaded.transform(est.as_double(evaluation_sets(spark, sf_dir), NUM)))
+
+
+@register("random_forest_importance")
+def q_random_forest_importance(spark, sf_dir):
+    """A26 + A7: random-forest feature importance, min–max scaled."""
+    m = est.fit_random_forest(training_cases(spark, sf_dir), NUM, CAT, num_trees=100,
+                              max_depth=8)
+    return est.feature_importance(m, NUM, CAT)
+
+
+@register("gbm_scores")
+def q_gbm_scores(spark, sf_dir):
+    """R2 + R9 + R10: gradient-boosted trees on the training split, scoring
+    the evaluation sets."""
+    m = est.fit_gbt(training_cases(spark, sf_dir), NUM, CAT, max_iter=100, step=0.05,
+                    max_depth=4)
+    return _scores_out(m.transform(est.as_double(evaluation_sets(spark, sf_dir), NUM)))
+
+
+def rulefit(spark, sf_dir):
+    """R3 + A27 + R5: boosted trees (half-sampled, class-balanced) → all node
+    rules → lasso on the rule indicators → the selected rules."""
+    train = training_cases(spark, sf_dir)
+    gbm = est.fit_gbt(train, NUM, CAT, max_iter=40, step=0.1, max_depth=3, subsample=0.5,
+                      balanced=True)
+    labels = dict(zip(CAT, gbm.stages[0].labelsArray))
+    cands = extract_rules(spark, gbm, NUM + CAT, labels, max_depth=3)
+    lasso = est.fit_rule_logistic(train, cands, elastic_net=1.0,
+                                  reg_params=(0.0005, 0.002, 0.008), folds=3)
+    return train, cands, lasso
+
+
+@register("rulefit_rules")
+def q_rulefit_rules(spark, sf_dir):
+    """R3 + R5 + R6: rules extracted from a boosted ensemble, kept by the
+    lasso (non-zero coefficient), with their training empirical risk."""
+    train, cands, lasso = rulefit(spark, sf_dir)
+    coefs = lasso.coefficients(spark).filter(F.col("coefficient") != 0)
+    kept_ids = {r.rule_id for r in coefs.select("rule_id").collect()}
+    kept = [r for r in cands if r.rule_id in kept_ids]
+    facts = dis.rule_facts(train, kept, event_label=0, coefficients=coefs)
+    text = spark.createDataFrame([(r.rule_id, r.text(), len(r.conditions)) for r in kept],
+                                 "rule_id string, rule_text string, n_conditions int")
+    return text.join(facts, "rule_id", "left").select(
+        "rule_id", "rule_text", "n_conditions", "coefficient", "empirical_risk",
+        F.coalesce(F.col("n_train"), F.lit(0)).cast("bigint").alias("n_train"))
+
+
+@register("rulefit_auc")
+def q_rulefit_auc(spark, sf_dir):
+    """R8 + A16: the full rule ensemble (lasso on all extracted rules) scored
+    on the evaluation sets; AUC per set."""
+    _, _, lasso = rulefit(spark, sf_dir)
+    scored = aug.score_models(evaluation_sets(spark, sf_dir), {"rulefit": lasso},
+                              ["case_id", "y", "dataset"])
+    return grouped_auc(scored, ["model", "dataset"], event_label=0)
+
+
+def _ridge_models(spark, sf_dir):
+    ranks = disagreement_table(spark, sf_dir)
+    subsets = aug.rule_subsets(td.RULES, ranks, ks=(1, 2, 3, 4), drop=CONFOUNDER_DROP)
+    models = aug.fit_models(training_cases(spark, sf_dir), subsets, reg_params=(0.001, 0.01, 0.1))
+    return subsets, models
+
+
+@register("augmented_models_auc")
+def q_augmented_models_auc(spark, sf_dir):
+    """R7 + R12 + R13 + R15 + A16: ridge on all rules, the expert-augmented
+    models (rank ≤ k, k = 1..4, unrated kept) and the confounder model; AUC
+    of each on each evaluation set."""
+    subsets, models = _ridge_models(spark, sf_dir)
+    scored = aug.score_models(evaluation_sets(spark, sf_dir), models, ["case_id", "y", "dataset"])
+    auc = grouped_auc(scored, ["model", "dataset"], event_label=0)
+    n_rules = spark.createDataFrame([(k, len(v)) for k, v in subsets.items()],
+                                    "model string, n_rules int")
+    return auc.join(n_rules, "model", "left")
+
+
+@register("augmented_calibration")
+def q_augmented_calibration(spark, sf_dir):
+    """R15 + A13 + A15: calibration (quintile bins per model and set) of the
+    ridge and expert-augmented models."""
+    _, models = _ridge_models(spark, sf_dir)
+    scored = aug.score_models(evaluation_sets(spark, sf_dir), models, ["case_id", "y", "dataset"])
+    b = cal.with_quantile_bins(scored, ["model", "dataset"], k=5)
+    return cal.calibration(b, ["model", "dataset"])
+
+
+def _learning_curve(spark, sf_dir):
+    ranks = disagreement_table(spark, sf_dir)
+    subsets = aug.rule_subsets(td.RULES, ranks, ks=(1, 2, 3, 4), drop=CONFOUNDER_DROP)
+    variants = {k: [r.rule_id for r in v] for k, v in subsets.items()}
+    tests = evaluation_sets(spark, sf_dir)
+    return lc.learning_curve(training_cases(spark, sf_dir), tests, td.RULES, variants,
+                             LC_SIZES, LC_REPLICATES, seed=SPLIT_SEED, modular=True)
+
+
+@register("learning_curve_auc")
+def q_learning_curve_auc(spark, sf_dir):
+    """R14 + M5: AUC of every (variant, size, replicate) cell on every
+    evaluation set – cells fitted in parallel."""
+    return _learning_curve(spark, sf_dir)[0]
+
+
+@register("learning_curve_summary")
+def q_learning_curve_summary(spark, sf_dir):
+    """R14 + W2/A2/A3 + O6: mean AUC with its 95 % t interval per variant,
+    size and evaluation set."""
+    return _learning_curve(spark, sf_dir)[1]

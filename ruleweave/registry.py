@@ -813,3 +813,24 @@ def q_learning_curve_summary(spark, sf_dir):
     """R14 + W2/A2/A3 + O6: mean AUC with its 95 % t interval per variant,
     size and evaluation set."""
     return _learning_curve(spark, sf_dir)[1]
+
+
+# ---------------------------------------------------------------------------
+# Streaming
+# ---------------------------------------------------------------------------
+
+from .streaming import scoring as stream_ops  # noqa: E402
+
+
+@register("streaming_rule_counts", S.with_ctes(S.cases_cte(), S.hits_cte(td.RULES, "cases", "case_id, y")) + """
+SELECT rule_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN y = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_event
+FROM hits GROUP BY rule_id""")
+def q_streaming_rule_counts(spark, sf_dir):
+    """Streaming J6 + per-rule counts: the case table is landed as Parquet
+    files in the shared folder, read back with ``readStream`` one file per
+    micro-batch, matched against the rules and counted with checkpointed
+    state; the final counts equal the batch computation."""
+    c = td.cases(spark, sf_dir)
+    src = scratch_path(spark, "stream-source")
+    c.repartition(4, "case_id").write.mode("overwrite").parquet(src)
+    return stream_ops.rule_counts_from_files(spark, src, c.schema, td.RULES, event_label=0)

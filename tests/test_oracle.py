@@ -55,10 +55,9 @@ def test_entry_runs(spark):
     assert df.columns == ["rule_id", "dataset", "n", "n_event", "actual_risk", "coverage_pct"]
 
 
-def test_every_query_registered_runs(spark):
-    # queries without SQL twins still run and give a stable schema
-    for name, fn in E.queries().items():
-        if name in E.oracle_sql():
-            continue
-        df = fn(spark, SF_SMALL)
-        assert df.schema == fn(spark, SF_SMALL).schema, name
+@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.oracle_sql())))
+def test_query_without_sql_runs(spark, name):
+    # queries without SQL twins (model fits) run and give rows
+    df = E.queries()[name](spark, SF_SMALL)
+    assert len(df.columns) > 0
+    assert df.count() > 0

@@ -834,3 +834,40 @@ def q_streaming_rule_counts(spark, sf_dir):
     src = scratch_path(spark, "stream-source")
     c.repartition(4, "case_id").write.mode("overwrite").parquet(src)
     return stream_ops.rule_counts_from_files(spark, src, c.schema, td.RULES, event_label=0)
+
+
+# ---------------------------------------------------------------------------
+# Report sink, reshape round trip
+# ---------------------------------------------------------------------------
+
+from .operators import reshape as rs  # noqa: E402
+from .sources import report as rep  # noqa: E402
+
+
+@register("rule_facts_report", S.with_ctes(*_split_sql_ctes(), *_facts_sql()) + """
+SELECT rule_id, n_train, round(empirical_risk, 3) AS empirical_risk FROM facts""")
+def q_rule_facts_report(spark, sf_dir):
+    """The rule facts rounded to 3 digits, written as a CSV report to the
+    shared folder and read back with a fixed schema."""
+    facts = training_facts(spark, sf_dir)
+    path = scratch_path(spark, "rule-facts-report")
+    rep.write_report(facts, path, digits=3, fmt="csv")
+    return rep.read_report(spark, path, facts.schema, fmt="csv")
+
+
+@register("rule_risk_reshaped", S.with_ctes(*_rule_risk_ctes(), f"\n_x AS ({_RULE_RISK_BODY})") + """
+SELECT rule_id, dataset, n, actual_risk,
+       CAST(CASE dataset WHEN 'train_pool' THEN 1 WHEN 'short_term' THEN 2 WHEN 'mid_term' THEN 3 END AS INTEGER)
+         AS dataset_order
+FROM _x""")
+def q_rule_risk_reshaped(spark, sf_dir):
+    """Pivot (fixed key list) of the rule risk table to one row per rule,
+    then O6 (several measures per data set back to long) and O2 (order of a
+    given list)."""
+    rr = q_rule_risk(spark, sf_dir)
+    wide = rr.groupBy("rule_id").pivot("dataset", S.DATASETS).agg(
+        F.first("n").alias("n"), F.first("actual_risk").alias("actual"))
+    times = {d: {"n": f"{d}_n", "actual_risk": f"{d}_actual"} for d in S.DATASETS}
+    long = rs.multi_measure_long(wide, ["rule_id"], times, timevar="dataset")
+    return long.withColumn("dataset_order",
+                           rs.list_position("dataset", S.DATASETS).cast("int"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import Rule
@@ -42,12 +42,15 @@ def rule_risk(cases: DataFrame, rules: Sequence[Rule], datasets: Sequence[str],
     agg = hits.groupBy("rule_id", "dataset").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("y") == F.lit(event_label)).alias("n_event"))
-    totals = (agg.filter(F.col("rule_id") == ALL_CASES)
-              .select("dataset", F.col("n").alias("n_total")))
-    per_rule = agg.filter(F.col("rule_id") != ALL_CASES)
-    out = (_grid(spark, rules, datasets)
-           .join(per_rule, ["rule_id", "dataset"], "left")
-           .join(totals, "dataset", "left"))
+    # The '*' row of each data set carries its total.  The key grid includes
+    # it, the aggregate is joined once, and a window over that small table
+    # (rules × data sets rows) spreads the total – the case table is scanned
+    # once, with no second branch for the totals.
+    grid = _grid(spark, [Rule(ALL_CASES)] + list(rules), datasets)
+    w = Window.partitionBy("dataset")
+    out = (grid.join(agg, ["rule_id", "dataset"], "left")
+           .withColumn("n_total", F.max(F.when(F.col("rule_id") == ALL_CASES, F.col("n"))).over(w))
+           .filter(F.col("rule_id") != ALL_CASES))
     n = F.coalesce(F.col("n"), F.lit(0)).cast("bigint")
     return out.select(
         "rule_id", "dataset",
@@ -74,17 +77,14 @@ def rule_model_table(preds: DataFrame, cases: DataFrame, rules: Sequence[Rule],
     hits = match_rules(cases, rules, keep=("case_id",))
     sub = preds.join(hits, "case_id", "inner")
     g = ["rule_id", "dataset", "model"]
-    base = sub.groupBy(*g).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg((F.col("y") == F.lit(event_label)).cast("double")).alias("actual"),
-        F.avg("prob").alias("predicted"))
+    # n, event share and mean prediction come out of the AUC count flow
+    # itself (one pass; rows with NULL prob or y are not counted)
     auc = grouped_auc(sub, g, score="prob", label="y", event_label=event_label,
-                      direction=direction)
-    return (base.join(auc, g, "left")
-            .select(*g, F.col("n").cast("bigint").alias("n"),
-                    F.round("actual", digits).alias("actual"),
-                    F.round("predicted", digits).alias("predicted"),
-                    F.round("auc", digits).alias("auc")))
+                      direction=direction, with_means=True)
+    return auc.select(*g, F.col("n"),
+                      F.round("event_share", digits).alias("actual"),
+                      F.round("mean_score", digits).alias("predicted"),
+                      F.round("auc", digits).alias("auc"))
 
 
 def model_differences(table: DataFrame, datasets: Sequence[str], models: Sequence[str],

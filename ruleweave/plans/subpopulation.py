@@ -63,22 +63,32 @@ def rule_risk(cases: DataFrame, rules: Sequence[Rule], datasets: Sequence[str],
     )
 
 
-def rule_model_table(preds: DataFrame, cases: DataFrame, rules: Sequence[Rule],
+def _subpopulations(preds: DataFrame, rules: Sequence[Rule], cases: DataFrame | None,
+                    keep: Sequence[str], with_all: bool) -> DataFrame:
+    """Prediction rows × the rules they satisfy.  When the prediction rows
+    carry the rule features (``cases=None``, the usual case: a model's
+    ``transform`` keeps its input columns) the rules are matched on them
+    directly – no join.  Otherwise hits are matched on ``cases`` and joined
+    on ``case_id``."""
+    if cases is None:
+        return match_rules(preds, rules, keep=keep, with_all_row=with_all)
+    hits = match_rules(cases, rules, keep=("case_id",), with_all_row=with_all)
+    return preds.select(*dict.fromkeys(["case_id", *keep])).join(hits, "case_id", "inner")
+
+
+def rule_model_table(preds: DataFrame, rules: Sequence[Rule], cases: DataFrame | None = None,
                      event_label: int = 0, direction: str = "higher_is_event",
-                     digits: int = 6) -> DataFrame:
+                     digits: int = 6, with_all: bool = False) -> DataFrame:
     """A17 + A18: per (rule, dataset, model) – n, actual event share, mean
     predicted probability and AUC inside the subpopulation.
 
-    ``preds``: (case_id, y, dataset, model, prob) long predictions.
-    ``cases``: the case table with the rule feature columns.
-    Hits are matched once on the case table and joined to the predictions on
-    ``case_id`` (shuffle join on the key; both sides are partitioned by it).
+    ``preds``: long predictions (case_id, y, dataset, model, prob[, features]).
+    ``with_all`` adds the whole data set as rule ``'*'`` (same pass).
+    n, event share and mean prediction come out of the AUC count flow itself
+    (rows with NULL prob or y are not counted).
     """
-    hits = match_rules(cases, rules, keep=("case_id",))
-    sub = preds.join(hits, "case_id", "inner")
     g = ["rule_id", "dataset", "model"]
-    # n, event share and mean prediction come out of the AUC count flow
-    # itself (one pass; rows with NULL prob or y are not counted)
+    sub = _subpopulations(preds, rules, cases, ["y", "dataset", "model", "prob"], with_all)
     auc = grouped_auc(sub, g, score="prob", label="y", event_label=event_label,
                       direction=direction, with_means=True)
     return auc.select(*g, F.col("n"),
@@ -89,7 +99,7 @@ def rule_model_table(preds: DataFrame, cases: DataFrame, rules: Sequence[Rule],
 
 def model_differences(table: DataFrame, datasets: Sequence[str], models: Sequence[str],
                       base: str, augmented: str, ref_set: str, new_set: str,
-                      totals: DataFrame | None = None, digits: int = 6) -> DataFrame:
+                      digits: int = 6) -> DataFrame:
     """One row per rule with the measures of ``rule_model_table`` pivoted
     by data set and model (conditional aggregation with a fixed key list),
     and the reference's difference measures:
@@ -97,9 +107,17 @@ def model_differences(table: DataFrame, datasets: Sequence[str], models: Sequenc
     * ``diff_aug_base``   – predicted(augmented) − predicted(base) on ``new_set``;
     * ``did_ref``/``did_new`` – (actual − pred_base) − (actual − pred_aug);
     * ``aug_improvement`` – did_ref − did_new; absolute values of both;
-    * ``prop_obs_<set>``  – n · 100 / rows of the set (``totals``: dataset, n_total).
+    * ``prop_obs_<set>``  – n · 100 / rows of the set, when the table has the
+      whole-set rows (rule ``'*'``, ``rule_model_table(with_all=True)``).
+    The table has one row per (rule, set, model); the set totals are spread
+    with a window over it and the pivot is one aggregate – a linear flow.
     """
-    aggs = []
+    whole = Window.partitionBy()  # the table is rule-count sized
+    table = table.withColumns({
+        f"_tot_{d}": F.max(F.when((F.col("rule_id") == ALL_CASES) & (F.col("dataset") == d),
+                                  F.col("n"))).over(whole) for d in datasets})
+    table = table.filter(F.col("rule_id") != ALL_CASES)
+    aggs = [F.max(f"_tot_{d}").alias(f"_tot_{d}") for d in datasets]
     for d in datasets:
         aggs.append(F.coalesce(F.max(F.when(F.col("dataset") == d, F.col("n"))), F.lit(0))
                     .cast("bigint").alias(f"n_{d}"))
@@ -119,25 +137,22 @@ def model_differences(table: DataFrame, datasets: Sequence[str], models: Sequenc
     w = w.withColumns({"diff_aug_base_abs": F.abs("diff_aug_base"),
                        "aug_improvement": F.col("did_ref") - F.col("did_new")})
     w = w.withColumn("aug_improvement_abs", F.abs("aug_improvement"))
-    if totals is not None:
-        t = totals.groupBy().agg(*[F.max(F.when(F.col("dataset") == d, F.col("n_total")))
-                                   .alias(f"_tot_{d}") for d in datasets])
-        s = t.select(F.struct(*t.columns).alias("_s")).scalar()
-        w = w.withColumns({f"prop_obs_{d}": F.col(f"n_{d}") * F.lit(100.0)
-                           / s.getField(f"_tot_{d}") for d in datasets})
+    # NULL when the table has no whole-set rows
+    w = w.withColumns({f"prop_obs_{d}": F.col(f"n_{d}") * F.lit(100.0) / F.col(f"_tot_{d}")
+                       for d in datasets})
+    w = w.drop(*[f"_tot_{d}" for d in datasets])
     return w.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c)
                       for c, t in w.dtypes])
 
 
-def selected_rules_report(preds: DataFrame, cases: DataFrame, rules: Sequence[Rule],
-                          selected: Sequence[str], event_label: int = 0,
+def selected_rules_report(preds: DataFrame, rules: Sequence[Rule], selected: Sequence[str],
+                          cases: DataFrame | None = None, event_label: int = 0,
                           digits: int = 6) -> DataFrame:
     """Per selected rule, data set and model – n, actual event share and
     mean predicted risk – plus an "all cases" row (rule_id '*'), from one
     aggregation pass (the '*' id is emitted once per case by the matcher)."""
-    hits = match_rules(cases, rules, keep=("case_id",), with_all_row=True)
-    keep = F.col("rule_id").isin(list(selected) + [ALL_CASES])
-    sub = preds.join(hits.filter(keep), "case_id", "inner")
+    chosen = [r for r in rules if r.rule_id in set(selected)]
+    sub = _subpopulations(preds, chosen, cases, ["y", "dataset", "model", "prob"], True)
     g = ["rule_id", "dataset", "model"]
     return sub.groupBy(*g).agg(
         F.count(F.lit(1)).cast("bigint").alias("n"),

@@ -142,8 +142,7 @@ FROM base b LEFT JOIN _auc a USING (rule_id, dataset, model)"""
 def q_rule_model(spark, sf_dir):
     """A17 + A18: per (rule, data set, model) – n, actual event share, mean
     predicted risk and AUC inside the rule's subpopulation."""
-    c = td.cases(spark, sf_dir)
-    return rule_model_table(td.scores(spark, sf_dir), c, td.RULES, event_label=0)
+    return rule_model_table(td.scores(spark, sf_dir, with_features=True), td.RULES, event_label=0)
 
 
 # ---------------------------------------------------------------------------
@@ -577,13 +576,9 @@ SELECT {', '.join(out)} FROM (SELECT w.*, {tots} FROM w)"""
 def q_rule_model_differences(spark, sf_dir):
     """A19 (+ A10): per rule, the subpopulation measures pivoted by data set
     and model, model/data-set differences and coverage %."""
-    c = td.cases(spark, sf_dir)
-    preds = td.scores(spark, sf_dir)
-    t = subp.rule_model_table(preds, c, td.RULES, event_label=0)
-    totals = td.with_datasets(c.select("case_id", "start_date")).groupBy("dataset") \
-        .agg(F.count(F.lit(1)).alias("n_total"))
-    return subp.model_differences(t, S.DATASETS, MODELS, "m1", "m2", "train_pool", "short_term",
-                                  totals=totals)
+    preds = td.scores(spark, sf_dir, with_features=True)
+    t = subp.rule_model_table(preds, td.RULES, event_label=0, with_all=True)
+    return subp.model_differences(t, S.DATASETS, MODELS, "m1", "m2", "train_pool", "short_term")
 
 
 @register("selected_rules_report", S.with_ctes(
@@ -595,8 +590,8 @@ SELECT rule_id, dataset, model, CAST(count(*) AS BIGINT) AS n,
 FROM preds JOIN h USING (case_id) GROUP BY ALL""")
 def q_selected_rules_report(spark, sf_dir):
     """A20 (+ J4): the report for a few named rules plus an "all cases" row."""
-    return subp.selected_rules_report(td.scores(spark, sf_dir), td.cases(spark, sf_dir),
-                                      td.RULES, SELECTED_RULES, event_label=0)
+    return subp.selected_rules_report(td.scores(spark, sf_dir, with_features=True), td.RULES,
+                                      SELECTED_RULES, event_label=0)
 
 
 def _profile_sql() -> str:

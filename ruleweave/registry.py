@@ -7,6 +7,7 @@ in both the query and its SQL twin so that engines agree to the last bit.
 
 from __future__ import annotations
 
+import contextvars
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from .checks import sql as S
 from .operators.match import match_rules
 from .plans.subpopulation import rule_model_table, rule_risk
 from .operators.auc import grouped_auc
+from .session import materialize
 from .sources import testdata as td
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,10 +25,34 @@ ORACLE: dict[str, str] = {}
 
 DIGITS = 6
 
+# Per-query scope for the case table.  Queries whose plans fork (a statistic
+# joined back to the rows it came from, splits feeding samples feeding
+# models) would rebuild the case table once per branch; for those the case
+# table is written once to the shared folder and every branch re-reads it.
+# Linear queries keep the single streaming plan from the raw tables.
+_CASES: contextvars.ContextVar = contextvars.ContextVar("ruleweave_cases", default=None)
 
-def register(name: str, sql: str | None = None):
+
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scoped = _CASES.get()
+    if scoped is not None and scoped[0] == sf_dir:
+        return scoped[1]
+    return td.cases(spark, sf_dir)
+
+
+def register(name: str, sql: str | None = None, reuse_cases: bool = False):
     def deco(fn):
-        QUERIES[name] = fn
+        if reuse_cases:
+            def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+                token = _CASES.set((sf_dir, materialize(td.cases(spark, sf_dir), "cases")))
+                try:
+                    return fn(spark, sf_dir)
+                finally:
+                    _CASES.reset(token)
+            run.__doc__, run.__name__ = fn.__doc__, fn.__name__
+            QUERIES[name] = run
+        else:
+            QUERIES[name] = fn
         if sql is not None:
             ORACLE[name] = sql
         return fn
@@ -114,14 +140,14 @@ SELECT dataset, model, round(auc, 6) AS auc, n_pos, n_neg FROM _auc"""
 @register("auc_by_dataset_model", _auc_sql("higher_is_event"))
 def q_auc(spark, sf_dir):
     """Exact tie-aware AUC per (data set, model)."""
-    a = grouped_auc(td.scores(spark, sf_dir), ["dataset", "model"], event_label=0)
+    a = grouped_auc(td.scores(spark, sf_dir, case_table=_cases(spark, sf_dir)), ["dataset", "model"], event_label=0)
     return a.withColumn("auc", _r("auc"))
 
 
 @register("auc_auto_direction", _auc_sql("auto"))
 def q_auc_auto(spark, sf_dir):
     """A16 with the automatic direction (class medians)."""
-    a = grouped_auc(td.scores(spark, sf_dir), ["dataset", "model"], event_label=0,
+    a = grouped_auc(td.scores(spark, sf_dir, case_table=_cases(spark, sf_dir)), ["dataset", "model"], event_label=0,
                     direction="auto")
     return a.withColumn("auc", _r("auc"))
 
@@ -142,7 +168,7 @@ FROM base b LEFT JOIN _auc a USING (rule_id, dataset, model)"""
 def q_rule_model(spark, sf_dir):
     """A17 + A18: per (rule, data set, model) – n, actual event share, mean
     predicted risk and AUC inside the rule's subpopulation."""
-    return rule_model_table(td.scores(spark, sf_dir, with_features=True), td.RULES, event_label=0)
+    return rule_model_table(td.scores(spark, sf_dir, with_features=True, case_table=_cases(spark, sf_dir)), td.RULES, event_label=0)
 
 
 # ---------------------------------------------------------------------------
@@ -173,7 +199,7 @@ SELECT dataset, model, bin, CAST(n AS BIGINT) AS n, 'Predicted' AS var, round(Pr
 def q_calibration_fixed(spark, sf_dir):
     """A11 + A15 + O5: right-closed fixed risk bins (0,.2],…,(.8,1]; per data
     set, model and bin the mean predicted risk and actual event share, long."""
-    p = cal.with_fixed_bins(td.scores(spark, sf_dir))
+    p = cal.with_fixed_bins(td.scores(spark, sf_dir, case_table=_cases(spark, sf_dir)))
     return cal.calibration(p, ["dataset", "model"]).withColumn("value", _r("value"))
 
 
@@ -181,11 +207,11 @@ def q_calibration_fixed(spark, sf_dir):
   qb AS (SELECT dataset, model, quantile_cont(prob, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS br
          FROM preds GROUP BY ALL),
   b AS (SELECT p.*, CAST({S.count_above_sql('p.prob', 'qb.br', 5)} AS INTEGER) AS bin
-        FROM preds p JOIN qb USING (dataset, model))"""))
+        FROM preds p JOIN qb USING (dataset, model))"""), reuse_cases=True)
 def q_calibration_quantile(spark, sf_dir):
     """A13 + A15: equal-count (quintile) bins per data set and model, then
     the calibration table."""
-    p = cal.with_quantile_bins(td.scores(spark, sf_dir), ["dataset", "model"], k=5)
+    p = cal.with_quantile_bins(td.scores(spark, sf_dir, case_table=_cases(spark, sf_dir)), ["dataset", "model"], k=5)
     return cal.calibration(p, ["dataset", "model"]).withColumn("value", _r("value"))
 
 
@@ -198,10 +224,10 @@ def q_calibration_quantile(spark, sf_dir):
                       + (CASE WHEN acctbal > mn + 4 * ((mx - mn) / 5) THEN 1 ELSE 0 END) AS INTEGER) AS bin
         FROM ds JOIN rng USING (dataset))
 SELECT dataset, bin, CAST(count(*) AS BIGINT) AS n, min(acctbal) AS min_value, max(acctbal) AS max_value
-FROM b GROUP BY ALL""")
+FROM b GROUP BY ALL""", reuse_cases=True)
 def q_equal_width_bins(spark, sf_dir):
     """``cut(x, 5)`` equal-width bins of acctbal within each data set."""
-    c = td.with_datasets(td.cases(spark, sf_dir).select("case_id", "start_date", "acctbal"))
+    c = td.with_datasets(_cases(spark, sf_dir).select("case_id", "start_date", "acctbal"))
     b = equal_width_bins(c, "acctbal", 5, ["dataset"])
     return b.groupBy("dataset", "bin").agg(F.count(F.lit(1)).cast("bigint").alias("n"),
                                            F.min("acctbal").alias("min_value"),
@@ -260,10 +286,10 @@ SELECT dataset, model, round(q1, 6) AS q1, round(median, 6) AS median, round(q3,
        round(max(CASE WHEN inside THEN prob END), 6) AS whisker_high,
        CAST(sum(CASE WHEN inside THEN 0 ELSE 1 END) AS BIGINT) AS n_outliers,
        round(avg(prob), 6) AS mean, CAST(count(*) AS BIGINT) AS n
-FROM k GROUP BY dataset, model, q1, median, q3""")
+FROM k GROUP BY dataset, model, q1, median, q3""", reuse_cases=True)
 def q_box_stats(spark, sf_dir):
     """Box-plot statistics (+ mean) of predicted risk per data set and model."""
-    return _round_all(st.box_stats(td.scores(spark, sf_dir), ["dataset", "model"], "prob"), [])
+    return _round_all(st.box_stats(td.scores(spark, sf_dir, case_table=_cases(spark, sf_dir)), ["dataset", "model"], "prob"), [])
 
 
 @register("histogram_density", _PREDS + """,
@@ -276,7 +302,7 @@ SELECT dataset, model, bin, round(0.0 + (bin - 1) * 0.05, 6) AS x_lo, round(0.0
 FROM c JOIN t USING (dataset, model)""")
 def q_histogram_density(spark, sf_dir):
     """Histogram-as-density of predicted risk (20 bins on [0,1])."""
-    h = dens.histogram_density(td.scores(spark, sf_dir), ["dataset", "model"], "prob", 0.0, 1.0, 20)
+    h = dens.histogram_density(td.scores(spark, sf_dir, case_table=_cases(spark, sf_dir)), ["dataset", "model"], "prob", 0.0, 1.0, 20)
     return _round_all(h, [])
 
 
@@ -304,10 +330,10 @@ _KDE_STEP = 1.0 / (_KDE_N - 1)
 SELECT d.dataset, d.model, CAST(d.gi AS INTEGER) AS grid_index, round(0.0 + d.gi * {_KDE_STEP!r}, 6) AS x,
        round(d.s * {1.0 / (2 * 3.141592653589793) ** 0.5!r} / (bw.n * bw.bandwidth), 6) AS density,
        round(bw.bandwidth, 6) AS bandwidth
-FROM d JOIN bw USING (dataset, model)""")
+FROM d JOIN bw USING (dataset, model)""", reuse_cases=True)
 def q_kde_grid(spark, sf_dir):
     """Gaussian KDE (bw.nrd0) of predicted risk on a 64-point grid."""
-    k = dens.kde_grid(td.scores(spark, sf_dir), ["dataset", "model"], "prob", 0.0, 1.0, _KDE_N)
+    k = dens.kde_grid(td.scores(spark, sf_dir, case_table=_cases(spark, sf_dir)), ["dataset", "model"], "prob", 0.0, 1.0, _KDE_N)
     return _round_all(k, [])
 
 
@@ -328,7 +354,7 @@ def _split_sql_ctes() -> list[str]:
 
 
 def train_pool(spark, sf_dir):
-    c = td.cases(spark, sf_dir)
+    c = _cases(spark, sf_dir)
     return c.filter(F.col("start_date") < F.lit(td.TRAIN_POOL_BEFORE).cast("date"))
 
 
@@ -343,7 +369,7 @@ def training_cases(spark, sf_dir):
 
 
 @register("stratified_split", S.with_ctes(*_split_sql_ctes()) + """
-SELECT case_id, y, split FROM split""")
+SELECT case_id, y, split FROM split""", reuse_cases=True)
 def q_stratified_split(spark, sf_dir):
     """M1 + M6 + P5: exact stratified 20 % train / 80 % test split of the
     train pool by y, seeded hash order."""
@@ -355,7 +381,7 @@ def q_stratified_split(spark, sf_dir):
   rs AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY
                    {smp.modular_order_sql('case_id', str(TEST_SEED))}, case_id) AS rk2,
                 count(*) OVER (PARTITION BY segment) AS n_seg FROM rest)
-SELECT case_id, y, segment FROM rs WHERE rk2 <= round_even(0.1 * n_seg, 0)""")
+SELECT case_id, y, segment FROM rs WHERE rk2 <= round_even(0.1 * n_seg, 0)""", reuse_cases=True)
 def q_test_sample(spark, sf_dir):
     """J3 + M2: train-pool cases not in the training split (anti join), then
     an exact 10 % sample per segment (round half to even)."""
@@ -368,7 +394,7 @@ def q_test_sample(spark, sf_dir):
 @register("stratified_n_per_class", S.with_ctes(*_split_sql_ctes()) + f""",
   r AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY
                   {smp.modular_order_sql('case_id', str(TEST_SEED))}, case_id) AS rk3 FROM train)
-SELECT case_id, y FROM r WHERE rk3 <= 400""")
+SELECT case_id, y FROM r WHERE rk3 <= 400""", reuse_cases=True)
 def q_stratified_n(spark, sf_dir):
     """M3: 400 training cases per class (all of a smaller class)."""
     s = smp.stratified_n(training_cases(spark, sf_dir), ["y"], 400, "case_id",
@@ -382,7 +408,7 @@ def q_stratified_n(spark, sf_dir):
                    {smp.modular_order_sql('case_id', f'{SPLIT_SEED} + replicate')}, case_id) AS rk4 FROM rep),
   g AS (SELECT * FROM (VALUES {', '.join(f'({n // 2})' for n in LC_SIZES)}) s(n_per_stratum))
 SELECT CAST(replicate AS INTEGER) AS replicate, CAST(2 * n_per_stratum AS INTEGER) AS n_train, case_id, y
-FROM rk JOIN g ON rk.rk4 <= g.n_per_stratum""")
+FROM rk JOIN g ON rk.rk4 <= g.n_per_stratum""", reuse_cases=True)
 def q_learning_curve_samples(spark, sf_dir):
     """M5: the learning-curve sample grid – 7 sizes × 5 replicates, n/2 cases
     per class each, one seeded order per replicate."""
@@ -443,7 +469,7 @@ def training_facts(spark, sf_dir):
 
 
 @register("rule_facts", S.with_ctes(*_split_sql_ctes(), *_facts_sql()) + """
-SELECT rule_id, n_train, round(empirical_risk, 6) AS empirical_risk FROM facts""")
+SELECT rule_id, n_train, round(empirical_risk, 6) AS empirical_risk FROM facts""", reuse_cases=True)
 def q_rule_facts(spark, sf_dir):
     """Per rule the matched training cases and empirical risk."""
     return _round_all(training_facts(spark, sf_dir), [])
@@ -480,7 +506,7 @@ SELECT rule_id, round(expert_assessment, 6) AS expert_assessment, round(ea_sd, 6
        round(expert_assessment + {t975_sql('n_experts - 1')} * se, 6) AS ci_upper,
        risk_bin, round(vahe, 6) AS vahe, round(abs_vahe, 6) AS abs_vahe,
        round(abs_vahe_x_stdv, 6) AS abs_vahe_x_stdv, CAST(penalty_rank AS DOUBLE) AS penalty_rank
-FROM dj""")
+FROM dj""", reuse_cases=True)
 def q_expert_disagreement(spark, sf_dir):
     """R11 (+ A1, J2, A3, P8, A11, A12, A14): expert vs empirical risk per
     rated rule, 95 % interval of the expert mean, |Δrisk| / sd and the
@@ -495,7 +521,7 @@ def q_expert_disagreement(spark, sf_dir):
                                     S.values_cte("allr", "rule_id", [r.rule_id for r in td.RULES])) + """
 SELECT CAST(k.k AS INTEGER) AS k, a.rule_id
 FROM allr a LEFT JOIN dj USING (rule_id) CROSS JOIN (SELECT range AS k FROM range(1, 5)) k
-WHERE dj.penalty_rank IS NULL OR dj.penalty_rank <= k.k""")
+WHERE dj.penalty_rank IS NULL OR dj.penalty_rank <= k.k""", reuse_cases=True)
 def q_kept_rules(spark, sf_dir):
     """P12 + J2 (R12 selection): for k = 1..4 the rules kept in the
     expert-augmented model – penalty rank ≤ k or not rated."""
@@ -576,7 +602,7 @@ SELECT {', '.join(out)} FROM (SELECT w.*, {tots} FROM w)"""
 def q_rule_model_differences(spark, sf_dir):
     """A19 (+ A10): per rule, the subpopulation measures pivoted by data set
     and model, model/data-set differences and coverage %."""
-    preds = td.scores(spark, sf_dir, with_features=True)
+    preds = td.scores(spark, sf_dir, with_features=True, case_table=_cases(spark, sf_dir))
     t = subp.rule_model_table(preds, td.RULES, event_label=0, with_all=True)
     return subp.model_differences(t, S.DATASETS, MODELS, "m1", "m2", "train_pool", "short_term")
 
@@ -590,7 +616,7 @@ SELECT rule_id, dataset, model, CAST(count(*) AS BIGINT) AS n,
 FROM preds JOIN h USING (case_id) GROUP BY ALL""")
 def q_selected_rules_report(spark, sf_dir):
     """A20 (+ J4): the report for a few named rules plus an "all cases" row."""
-    return subp.selected_rules_report(td.scores(spark, sf_dir, with_features=True), td.RULES,
+    return subp.selected_rules_report(td.scores(spark, sf_dir, with_features=True, case_table=_cases(spark, sf_dir)), td.RULES,
                                       SELECTED_RULES, event_label=0)
 
 
@@ -614,7 +640,7 @@ def _profile_sql() -> str:
     return S.with_ctes(*_split_sql_ctes()) + "\n" + "\nUNION ALL\n".join(parts)
 
 
-@register("subpopulation_profile", _profile_sql())
+@register("subpopulation_profile", _profile_sql(), reuse_cases=True)
 def q_subpopulation_profile(spark, sf_dir):
     """A24 (+ A6, A8, A9, O3, P17): per rule and rule feature, over the
     matched training cases – mode and levels of categories; mean, min, max
@@ -679,7 +705,7 @@ def test_cases(spark, sf_dir):
 def evaluation_sets(spark, sf_dir):
     """The three evaluation sets: pool hold-out sample, short-term and
     mid-term future (case rows + ``dataset``)."""
-    fut = td.with_datasets(td.cases(spark, sf_dir)).filter(F.col("dataset") != "train_pool")
+    fut = td.with_datasets(_cases(spark, sf_dir)).filter(F.col("dataset") != "train_pool")
     return test_cases(spark, sf_dir).withColumn("dataset", F.lit("test")).unionByName(fut)
 
 
@@ -688,7 +714,7 @@ def _scores_out(scored):
                                          "prob", F.col("estimate").cast("int"))
 
 
-@register("random_forest_scores")
+@register("random_forest_scores", reuse_cases=True)
 def q_random_forest_scores(spark, sf_dir):
     """R1 + S3 + R9 + R10: random forest on the training split, saved to the
     shared folder and loaded back, scoring the three evaluation sets
@@ -701,7 +727,7 @@ def q_random_forest_scores(spark, sf_dir):
     return _scores_out(loaded.transform(est.as_double(evaluation_sets(spark, sf_dir), NUM)))
 
 
-@register("random_forest_importance")
+@register("random_forest_importance", reuse_cases=True)
 def q_random_forest_importance(spark, sf_dir):
     """A26 + A7: random-forest feature importance, min–max scaled."""
     m = est.fit_random_forest(training_cases(spark, sf_dir), NUM, CAT, num_trees=100,
@@ -709,7 +735,7 @@ def q_random_forest_importance(spark, sf_dir):
     return est.feature_importance(m, NUM, CAT)
 
 
-@register("gbm_scores")
+@register("gbm_scores", reuse_cases=True)
 def q_gbm_scores(spark, sf_dir):
     """R2 + R9 + R10: gradient-boosted trees on the training split, scoring
     the evaluation sets."""
@@ -731,7 +757,7 @@ def rulefit(spark, sf_dir):
     return train, cands, lasso
 
 
-@register("rulefit_rules")
+@register("rulefit_rules", reuse_cases=True)
 def q_rulefit_rules(spark, sf_dir):
     """R3 + R5 + R6: rules extracted from a boosted ensemble, kept by the
     lasso (non-zero coefficient), with their training empirical risk."""
@@ -747,7 +773,7 @@ def q_rulefit_rules(spark, sf_dir):
         F.coalesce(F.col("n_train"), F.lit(0)).cast("bigint").alias("n_train"))
 
 
-@register("rulefit_auc")
+@register("rulefit_auc", reuse_cases=True)
 def q_rulefit_auc(spark, sf_dir):
     """R8 + A16: the full rule ensemble (lasso on all extracted rules) scored
     on the evaluation sets; AUC per set."""
@@ -764,7 +790,7 @@ def _ridge_models(spark, sf_dir):
     return subsets, models
 
 
-@register("augmented_models_auc")
+@register("augmented_models_auc", reuse_cases=True)
 def q_augmented_models_auc(spark, sf_dir):
     """R7 + R12 + R13 + R15 + A16: ridge on all rules, the expert-augmented
     models (rank ≤ k, k = 1..4, unrated kept) and the confounder model; AUC
@@ -777,7 +803,7 @@ def q_augmented_models_auc(spark, sf_dir):
     return auc.join(n_rules, "model", "left")
 
 
-@register("augmented_calibration")
+@register("augmented_calibration", reuse_cases=True)
 def q_augmented_calibration(spark, sf_dir):
     """R15 + A13 + A15: calibration (quintile bins per model and set) of the
     ridge and expert-augmented models."""
@@ -796,14 +822,14 @@ def _learning_curve(spark, sf_dir):
                              LC_SIZES, LC_REPLICATES, seed=SPLIT_SEED, modular=True)
 
 
-@register("learning_curve_auc")
+@register("learning_curve_auc", reuse_cases=True)
 def q_learning_curve_auc(spark, sf_dir):
     """R14 + M5: AUC of every (variant, size, replicate) cell on every
     evaluation set – cells fitted in parallel."""
     return _learning_curve(spark, sf_dir)[0]
 
 
-@register("learning_curve_summary")
+@register("learning_curve_summary", reuse_cases=True)
 def q_learning_curve_summary(spark, sf_dir):
     """R14 + W2/A2/A3 + O6: mean AUC with its 95 % t interval per variant,
     size and evaluation set."""
@@ -840,7 +866,7 @@ from .sources import report as rep  # noqa: E402
 
 
 @register("rule_facts_report", S.with_ctes(*_split_sql_ctes(), *_facts_sql()) + """
-SELECT rule_id, n_train, round(empirical_risk, 3) AS empirical_risk FROM facts""")
+SELECT rule_id, n_train, round(empirical_risk, 3) AS empirical_risk FROM facts""", reuse_cases=True)
 def q_rule_facts_report(spark, sf_dir):
     """The rule facts rounded to 3 digits, written as a CSV report to the
     shared folder and read back with a fixed schema."""

@@ -190,12 +190,14 @@ def with_datasets(df: DataFrame) -> DataFrame:
     return df.select("*", F.explode(sets).alias("dataset"))
 
 
-def scores(spark: SparkSession, sf_dir: str, with_features: bool = False) -> DataFrame:
+def scores(spark: SparkSession, sf_dir: str, with_features: bool = False,
+           case_table: DataFrame | None = None) -> DataFrame:
     """Long predictions (case_id, y, dataset, model, prob) for both closed-form
     models over all data sets; ``with_features`` keeps the case feature
     columns on each row (as a model's ``transform`` would)."""
     feats = CASE_FEATURES if with_features else ["n_lines", "priority_code"]
-    c = with_datasets(cases(spark, sf_dir).select("case_id", "y", "start_date", *feats))
+    base = case_table if case_table is not None else cases(spark, sf_dir)
+    c = with_datasets(base.select("case_id", "y", "start_date", *feats))
     models = F.array(*[F.struct(F.lit(m).alias("model"), score_expr(m).alias("prob"))
                        for m in SCORE_MODELS])
     out = ["case_id", "y", "dataset"] + (CASE_FEATURES if with_features else [])

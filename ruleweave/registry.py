@@ -892,3 +892,28 @@ def q_rule_risk_reshaped(spark, sf_dir):
     long = rs.multi_measure_long(wide, ["rule_id"], times, timevar="dataset")
     return long.withColumn("dataset_order",
                            rs.list_position("dataset", S.DATASETS).cast("int"))
+
+
+# ---------------------------------------------------------------------------
+# Distinct rows, class weights
+# ---------------------------------------------------------------------------
+
+@register("distinct_profiles", S.with_ctes(S.cases_cte()) + """
+SELECT DISTINCT segment, status, region, priority FROM cases""")
+def q_distinct_profiles(spark, sf_dir):
+    """A5: distinct rows (``group_by_all() %>% summarize()``) of the case
+    categories – partial aggregation, then one shuffle of distinct keys."""
+    return td.cases(spark, sf_dir).select("segment", "status", "region", "priority").distinct()
+
+
+@register("class_weights", S.with_ctes(*_split_sql_ctes()) + """,
+  c AS (SELECT y, count(*) AS n_class FROM train GROUP BY y),
+  t AS (SELECT sum(n_class) AS n, count(*) AS k FROM c)
+SELECT c.y, CAST(c.n_class AS BIGINT) AS n_class, round(t.n * 1.0 / (t.k * c.n_class), 6) AS weight
+FROM c CROSS JOIN t""", reuse_cases=True)
+def q_class_weights(spark, sf_dir):
+    """Inverse class-frequency weights n / (k · n_class) of the training
+    split (the weights of the balanced boosted-tree fit)."""
+    w = st.class_weights(training_cases(spark, sf_dir).select("y"), "y", "weight")
+    return (w.groupBy("y", "weight").agg(F.count(F.lit(1)).cast("bigint").alias("n_class"))
+            .select("y", "n_class", _r("weight").alias("weight")))

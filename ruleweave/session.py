@@ -10,6 +10,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Settings for a large cluster (documented, not applied here): size shuffle
+# partitions to ~128-256 MB each after the largest shuffle (or let AQE coalesce
+# from a high start), keep AQE skew-join splitting on (a customer or rule
+# holding a third of all rows splits into many tasks), and read Parquet in
+# 256 MB splits.
+CLUSTER_HINTS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+    "spark.sql.shuffle.partitions": "20000",
+}
+
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "ruleweave") -> SparkSession:
     """A local session configured like the tests and bench expect.
@@ -51,8 +67,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if sc_dir:
         return sc_dir
     local_dir = tempfile.mkdtemp(prefix="ruleweave-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local_dir)
     spark.sparkContext.setCheckpointDir(local_dir)
+    try:  # mirror it in the conf when the deployment allows runtime changes
+        spark.conf.set("spark.checkpoint.dir", local_dir)
+    except Exception:  # noqa: BLE001
+        pass
     return local_dir
 
 

@@ -33,9 +33,19 @@ def _needed_features(rules: Sequence[Rule]) -> list[str]:
     return feats
 
 
+def _str_lit(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def hit_ids(rules: Sequence[Rule]) -> Column:
-    """array<string> of the ids of the rules a row satisfies (no NULLs)."""
-    return F.array_compact(F.array(*[F.when(r.to_column(), F.lit(r.rule_id)) for r in rules]))
+    """array<string> of the ids of the rules a row satisfies (no NULLs).
+    Built as one SQL expression per chunk (one parse, no per-rule
+    driver↔JVM calls)."""
+    if not rules:
+        return F.array().cast("array<string>")
+    cases = ", ".join(f"CASE WHEN {r.to_spark_sql()} THEN {_str_lit(r.rule_id)} END"
+                      for r in rules)
+    return F.expr(f"array_compact(array({cases}))")
 
 
 def _chunks(seq: Sequence[Rule], n: int):
@@ -87,7 +97,7 @@ def rule_score(rules: Sequence[Rule], coefficients: dict[str, float],
     terms = []
     rules = [r for r in rules if coefficients.get(r.rule_id, 0.0) != 0.0]
     for chunk in _chunks(rules, chunk_size):
-        terms.append(reduce(lambda a, b: a + b,
-                            (F.when(r.to_column(), F.lit(float(coefficients[r.rule_id])))
-                             .otherwise(F.lit(0.0)) for r in chunk)))
+        body = " + ".join(f"(CASE WHEN {r.to_spark_sql()} THEN {float(coefficients[r.rule_id])!r}D"
+                          f" ELSE 0.0D END)" for r in chunk)
+        terms.append(F.expr(f"({body})"))
     return reduce(lambda a, b: a + b, terms, F.lit(float(intercept)))

@@ -90,16 +90,16 @@ def equal_width_bins(df: DataFrame, col: str, k: int, group_cols: Sequence[str]
 def quantile_breaks(df: DataFrame, col: str, k: int, group_cols: Sequence[str] = (),
                     exact: bool = True, accuracy: int = 100000) -> DataFrame:
     """A13 helper: the k+1 quantile breaks per group (R type 7).  Exact mode
-    first reduces to (group, value, count) – a partial aggregate – and takes a
-    weighted percentile of that, so repeated values cost one entry each."""
+    uses histogram refinement (``operators.quantiles``): no group's distinct
+    values are gathered in one buffer.  ``exact=False``: ``percentile_approx``."""
+    from ..operators.quantiles import exact_quantiles
     g = list(group_cols)
-    probs = F.array(*[F.lit(i / k) for i in range(k + 1)])
-    src = df.filter(F.col(col).isNotNull())
+    probs = [i / k for i in range(k + 1)]
     if exact:
-        counts = src.groupBy(*g, F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-        agg = F.percentile(F.col("_v"), probs, F.col("_c")).alias("breaks")
-        return counts.groupBy(*g).agg(agg) if g else counts.agg(agg)
-    agg = F.percentile_approx(F.col(col), probs, accuracy).alias("breaks")
+        return exact_quantiles(df, col, probs, g, out="breaks")
+    src = df.filter(F.col(col).isNotNull())
+    agg = F.percentile_approx(F.col(col), F.array(*[F.lit(p) for p in probs]), accuracy) \
+        .alias("breaks")
     return src.groupBy(*g).agg(agg) if g else src.agg(agg)
 
 

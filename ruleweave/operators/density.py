@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bins import attach_stats
+from ..session import materialize
 
 
 def histogram_density(df: DataFrame, group_cols: Sequence[str], value: str,
@@ -60,13 +61,15 @@ def kde_grid(df: DataFrame, group_cols: Sequence[str], value: str, lo: float = 0
     binned = cells.groupBy(*g, "i").agg(F.sum("w").alias("w"))
 
     # bandwidth per group from the value distribution
-    counts = src.groupBy(*g, x.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    q = F.percentile(F.col("_v"), F.array(F.lit(0.25), F.lit(0.75)), F.col("_c"))
+    from .quantiles import exact_quantiles, value_counts_table
+    counts = materialize(value_counts_table(src, value, g), "kde-counts")  # feeds 2 branches
     n = F.sum("_c")
     mean = F.sum(F.col("_v") * F.col("_c")) / n
     var = (F.sum(F.col("_v") * F.col("_v") * F.col("_c")) - n * mean * mean) / (n - 1)
-    bw_tab = (counts.groupBy(*g) if g else counts.groupBy()).agg(
-        q.alias("_q"), n.alias("_n"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("_sd"))
+    mom = (counts.groupBy(*g) if g else counts.groupBy()).agg(
+        n.alias("_n"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("_sd"))
+    iqr = exact_quantiles(src, value, [0.25, 0.75], g, counts=counts, out="_q")
+    bw_tab = mom.join(iqr, g, "inner") if g else attach_stats(mom, iqr, [])
     if bandwidth is None:
         lo_s = F.least(F.col("_sd"), (F.col("_q")[1] - F.col("_q")[0]) / F.lit(1.34))
         lo_s = F.when(lo_s > 0, lo_s).when(F.col("_sd") > 0, F.col("_sd")).otherwise(F.lit(1.0))

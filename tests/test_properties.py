@@ -158,3 +158,22 @@ def test_minmax_constant_and_mode_ties(spark):
 def test_negative_zero_grouping(spark):
     df = spark.createDataFrame([(-0.0,), (0.0,)], "d double")
     assert df.select((F.col("d") + F.lit(0.0)).alias("d")).distinct().count() == 1
+
+
+def test_exact_quantiles_match_percentile(spark):
+    import random
+    from ruleweave.operators.quantiles import exact_quantiles
+    rnd = random.Random(7)
+    rows = [("a", float(rnd.choice([0.1, 0.2, 0.2, 0.3, 0.9]))) for _ in range(500)]
+    rows += [("b", rnd.random()) for _ in range(777)]
+    rows += [("c", 5.0)] * 9 + [("d", 1.5)] + [("e", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    probs = [0.0, 0.2, 0.25, 0.5, 0.75, 0.8, 1.0]
+    ours = {r.g: r.q for r in exact_quantiles(df, "x", probs, ["g"], n_buckets=16).collect()}
+    ref = {r.g: r.q for r in df.groupBy("g").agg(
+        F.percentile("x", F.array(*[F.lit(p) for p in probs])).alias("q")).collect()}
+    assert set(ours) == {"a", "b", "c", "d"}
+    for k in ours:
+        assert ours[k] == pytest.approx(ref[k], abs=1e-12), k
+    whole = exact_quantiles(df, "x", [0.5]).collect()[0].q[0]
+    assert whole == pytest.approx(df.agg(F.percentile("x", F.lit(0.5))).collect()[0][0], abs=1e-12)

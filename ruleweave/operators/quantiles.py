@@ -13,7 +13,7 @@ Here the order statistics are found by histogram refinement:
 4. only the (value, count) rows of those few buckets are ranked (window per
    (group, bucket) over distinct values with running counts), and the values
    at the needed ranks are read off and interpolated as Spark does:
-   (hi − pos)·x_lo + (pos − lo)·x_hi.
+   (hi − pos)·x_lo + (pos − lo)·x_hi, or x_lo itself when x_lo = x_hi.
 
 No step holds a whole group; heavy ties cost one row per distinct value.
 """
@@ -82,7 +82,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     p_arr = F.array(*[F.lit(float(p)) for p in probs])
     pos = (F.col("_n") - 1).cast("double") * F.element_at(p_arr, F.col("k") + 1)
     lo, hi = F.floor(pos), F.ceil(pos)
-    q = F.when(lo == hi, F.col("_xl")).otherwise(
+    # equal neighbours: the value itself (no interpolation round-off)
+    q = F.when((lo == hi) | (F.col("_xl") == F.col("_xh")), F.col("_xl")).otherwise(
         (hi - pos) * F.col("_xl") + (pos - lo) * F.col("_xh"))
     qs = picked.select(*g, "k", q.alias("_q"))
     agg = (qs.groupBy(*g) if g else qs.groupBy()).agg(

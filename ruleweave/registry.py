@@ -819,13 +819,15 @@ def _learning_curve(spark, sf_dir):
     variants = {k: [r.rule_id for r in v] for k, v in subsets.items()}
     tests = evaluation_sets(spark, sf_dir)
     return lc.learning_curve(training_cases(spark, sf_dir), tests, td.RULES, variants,
-                             LC_SIZES, LC_REPLICATES, seed=SPLIT_SEED, modular=True)
+                             LC_SIZES, LC_REPLICATES, seed=SPLIT_SEED, modular=True,
+                             forest=(NUM, CAT), forest_trees=30)
 
 
 @register("learning_curve_auc", reuse_cases=True)
 def q_learning_curve_auc(spark, sf_dir):
-    """R14 + M5: AUC of every (variant, size, replicate) cell on every
-    evaluation set – cells fitted in parallel."""
+    """R14 + M5 + R1: AUC of every (variant, size, replicate) cell on every
+    evaluation set – rule-model cells fitted in parallel (applyInPandas), the
+    random forest of each sample fitted as concurrent Spark ML jobs."""
     return _learning_curve(spark, sf_dir)[0]
 
 

@@ -55,13 +55,17 @@ def _chunks(seq: Sequence[Rule], n: int):
 
 def match_rules(df: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ("case_id",),
                 chunk_size: int = 100, with_all_row: bool = False,
-                materialize: bool = False) -> DataFrame:
+                materialize: bool | None = None) -> DataFrame:
     """Long hit table: the ``keep`` columns plus ``rule_id``, one row per
     (case, satisfied rule).
 
     ``with_all_row=True`` adds one extra row per case with ``rule_id = '*'``
     so that a later ``groupBy(rule_id, …)`` yields per-rule and whole-table
     counts in one aggregation pass (no second scan for the totals).
+    With several chunks, each chunk's projection reads the input again;
+    ``materialize`` (default: when there is more than one chunk) first
+    writes the narrowed input (keep + rule features) to the shared folder so
+    the upstream plan runs once.
     """
     keep = list(keep)
     rules = list(rules)
@@ -73,7 +77,7 @@ def match_rules(df: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ("ca
         return df.select(*keep, F.explode(ids).alias("rule_id"))
 
     base = df.select(*dict.fromkeys(keep + _needed_features(rules)))
-    if materialize:
+    if materialize is None or materialize:
         base = _materialize(base, "rule-match-input")
     parts = []
     for i, chunk in enumerate(_chunks(rules, chunk_size)):

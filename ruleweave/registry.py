@@ -14,11 +14,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .checks import sql as S
+from .functions.bins import RISK_BREAKS, RISK_LABELS, equal_width_bins
+from .functions.rules import rules_frame
+from .functions.tquantile import t975_sql
+from .models import estimators as est
+from .models.tree_rules import extract_rules
+from .operators import calibration as cal
+from .operators import density as dens
+from .operators import reshape as rs
+from .operators import sampling as smp
+from .operators import stats as st
+from .operators.auc import grouped_auc
 from .operators.match import match_rules
+from .operators.stats import profile
+from .plans import augmentation as aug
+from .plans import disagreement as dis
+from .plans import learning_curve as lc
+from .plans import subpopulation as subp
 from .plans.subpopulation import rule_model_table, rule_risk
-from .operators.auc import grouped_auc
 from .session import materialize
+from .session import scratch_path
+from .sources import report as rep
+from .sources import survey as sv
 from .sources import testdata as td
+from .streaming import scoring as stream_ops
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -175,11 +194,6 @@ def q_rule_model(spark, sf_dir):
 # Bins, calibration, grouped intervals, distributions
 # ---------------------------------------------------------------------------
 
-from .functions.bins import RISK_BREAKS, RISK_LABELS, equal_width_bins  # noqa: E402
-from .functions.tquantile import t975_sql  # noqa: E402
-from .operators import calibration as cal  # noqa: E402
-from .operators import density as dens  # noqa: E402
-from .operators import stats as st  # noqa: E402
 
 _PREDS = S.with_ctes(S.cases_cte(), S.datasets_cte(), S.scores_cte())
 
@@ -341,7 +355,6 @@ def q_kde_grid(spark, sf_dir):
 # Sampling and splits
 # ---------------------------------------------------------------------------
 
-from .operators import sampling as smp  # noqa: E402
 
 SPLIT_SEED = 69
 TEST_SEED = 70
@@ -422,10 +435,6 @@ def q_learning_curve_samples(spark, sf_dir):
 # Survey and expert disagreement
 # ---------------------------------------------------------------------------
 
-from .functions.rules import rules_frame  # noqa: E402
-from .plans import disagreement as dis  # noqa: E402
-from .session import scratch_path  # noqa: E402
-from .sources import survey as sv  # noqa: E402
 
 RATED = [f"R{i}" for i in range(1, td.N_RATED_RULES + 1)]
 
@@ -558,8 +567,6 @@ def q_expert_importance(spark, sf_dir):
 # data profile
 # ---------------------------------------------------------------------------
 
-from .operators.stats import profile  # noqa: E402
-from .plans import subpopulation as subp  # noqa: E402
 
 MODELS = list(td.SCORE_MODELS)
 SELECTED_RULES = ["R1", "R4", "R7", "R16", "R21"]
@@ -684,11 +691,6 @@ def q_data_profile(spark, sf_dir):
 # tests/test_models.py checks properties)
 # ---------------------------------------------------------------------------
 
-from .functions.rules import Rule  # noqa: E402
-from .models import estimators as est  # noqa: E402
-from .models.tree_rules import extract_rules  # noqa: E402
-from .plans import augmentation as aug  # noqa: E402
-from .plans import learning_curve as lc  # noqa: E402
 
 NUM = td.NUMERIC_FEATURES
 CAT = td.NOMINAL_FEATURES
@@ -842,8 +844,6 @@ def q_learning_curve_summary(spark, sf_dir):
 # Streaming
 # ---------------------------------------------------------------------------
 
-from .streaming import scoring as stream_ops  # noqa: E402
-
 
 @register("streaming_rule_counts", S.with_ctes(S.cases_cte(), S.hits_cte(td.RULES, "cases", "case_id, y")) + """
 SELECT rule_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN y = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_event
@@ -863,9 +863,6 @@ def q_streaming_rule_counts(spark, sf_dir):
 # Report sink, reshape round trip
 # ---------------------------------------------------------------------------
 
-from .operators import reshape as rs  # noqa: E402
-from .sources import report as rep  # noqa: E402
-
 
 @register("rule_facts_report", S.with_ctes(*_split_sql_ctes(), *_facts_sql()) + """
 SELECT rule_id, n_train, round(empirical_risk, 3) AS empirical_risk FROM facts""", reuse_cases=True)

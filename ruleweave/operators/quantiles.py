@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bins import attach_stats
-from ..session import materialize
+from ..session import default_buckets, materialize
 
 
 def value_counts_table(df: DataFrame, value: str, group_cols: Sequence[str] = ()) -> DataFrame:
@@ -37,14 +37,14 @@ def value_counts_table(df: DataFrame, value: str, group_cols: Sequence[str] = ()
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
-                    group_cols: Sequence[str] = (), n_buckets: int = 1024,
+                    group_cols: Sequence[str] = (), n_buckets: int | None = None,
                     counts: DataFrame | None = None, out: str = "q") -> DataFrame:
     """(group…, ``out`` array<double>) – the type-7 quantiles for ``probs``.
     ``counts`` may be given as an existing (group…, _v, _c) table.  The count
     table feeds several branches below, so it is written once to the shared
     folder (eagerly) unless it was passed in."""
     g = list(group_cols)
-    B = int(n_buckets)
+    B = int(n_buckets or default_buckets(df, 1024))
     vc = counts if counts is not None else \
         materialize(value_counts_table(df, value, g), "quantile-counts")
     rng = (vc.groupBy(*g) if g else vc.groupBy()).agg(

@@ -24,6 +24,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import default_buckets
+
 _TWO64 = 18446744073709551616.0
 
 
@@ -52,11 +54,7 @@ def modular_order_sql(key: str, seed_sql: str, modulus: int = 1000003) -> str:
 
 
 def _default_buckets(df: DataFrame) -> int:
-    try:
-        p = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    except Exception:  # noqa: BLE001
-        p = 200
-    return max(64, 4 * p)
+    return default_buckets(df, 64)
 
 
 def rank_within(df: DataFrame, strata: Sequence[str], order: Column,

@@ -89,3 +89,14 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def default_buckets(df: DataFrame, floor: int = 256) -> int:
+    """Range buckets for bucketed ranks/quantiles/AUC: 4 × the cluster's
+    shuffle partitions (at least ``floor``), so a hot group is spread over
+    about as many tasks as the cluster runs for a shuffle."""
+    try:
+        p = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    except Exception:  # noqa: BLE001
+        p = 200
+    return max(int(floor), 4 * p)

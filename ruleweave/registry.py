@@ -765,8 +765,8 @@ def q_rulefit_rules(spark, sf_dir):
     lasso (non-zero coefficient), with their training empirical risk."""
     train, cands, lasso = rulefit(spark, sf_dir)
     coefs = lasso.coefficients(spark).filter(F.col("coefficient") != 0)
-    kept_ids = {r.rule_id for r in coefs.select("rule_id").collect()}
-    kept = [r for r in cands if r.rule_id in kept_ids]
+    nonzero = lasso.model.coefficients.toArray()  # model-sized, already on the driver
+    kept = [r for r, c in zip(lasso.rules, nonzero) if c != 0.0]
     facts = dis.rule_facts(train, kept, event_label=0, coefficients=coefs)
     text = spark.createDataFrame([(r.rule_id, r.text(), len(r.conditions)) for r in kept],
                                  "rule_id string, rule_text string, n_conditions int")

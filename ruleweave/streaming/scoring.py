@@ -43,9 +43,10 @@ def stream_rule_counts(stream: DataFrame, rules: Sequence[Rule], event_label: in
 
 
 def run_complete_to_parquet(agg: DataFrame, out_path: str, checkpoint: str,
-                            available_now: bool = True) -> None:
+                            available_now: bool = True):
     """Run a complete-mode aggregation; every micro-batch rewrites the
-    result table (idempotent per batch id)."""
+    result table (idempotent per batch id).  Returns the finished query
+    (its ``recentProgress`` shows what each micro-batch read)."""
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(out_path)
 
@@ -53,6 +54,7 @@ def run_complete_to_parquet(agg: DataFrame, out_path: str, checkpoint: str,
          .option("checkpointLocation", checkpoint))
     q = w.trigger(availableNow=True).start() if available_now else w.start()
     q.awaitTermination()
+    return q
 
 
 def rule_counts_from_files(spark: SparkSession, source_dir: str, schema: T.StructType,

@@ -14,10 +14,11 @@ class SchemaError(ValueError):
 
 
 def load_table(spark: SparkSession, path: str,
-               required: dict[str, T.DataType] | Iterable[str] | None = None,
+               required: dict[str, T.DataType | tuple] | Iterable[str] | None = None,
                ) -> DataFrame:
     """Read a Parquet table and check that the required columns exist (and,
-    when types are given, that they have those types).
+    when types are given, that they have that type or one of a tuple of
+    admissible types).
 
     The read is lazy: Catalyst later prunes columns and pushes filters into
     the Parquet scan, so a caller that selects two columns reads two.
@@ -29,9 +30,11 @@ def load_table(spark: SparkSession, path: str,
         for name, dtype in items:
             if name not in fields:
                 raise SchemaError(f"{path}: missing column {name!r}; has {sorted(fields)}")
-            if dtype is not None and fields[name] != dtype:
+            ok = dtype if isinstance(dtype, tuple) else (dtype,)
+            if dtype is not None and fields[name] not in ok:
+                want = " or ".join(t.simpleString() for t in ok)
                 raise SchemaError(f"{path}: column {name!r} is {fields[name].simpleString()}, "
-                                  f"expected {dtype.simpleString()}")
+                                  f"expected {want}")
     return df
 
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.levels import level_code
 from ..functions.rules import Rule, rule
@@ -80,6 +81,20 @@ RULES: list[Rule] = [
 ]
 
 
+# S1 schema check: the columns (and types) the case build relies on.
+_DATE_LIKE = (T.TimestampType(), T.TimestampNTZType(), T.DateType())
+REQUIRED = {
+    "lineitem": {"l_orderkey": T.LongType(), "l_returnflag": T.StringType(),
+                 "l_quantity": T.DoubleType(), "l_discount": T.DoubleType(),
+                 "l_shipdate": _DATE_LIKE},
+    "orders": {"o_orderkey": T.LongType(), "o_custkey": T.LongType(),
+               "o_orderstatus": T.StringType(), "o_totalprice": T.DoubleType(),
+               "o_orderdate": _DATE_LIKE, "o_orderpriority": T.StringType()},
+    "customer": {"c_custkey": T.LongType(), "c_nationkey": T.IntegerType(),
+                 "c_acctbal": T.DoubleType(), "c_mktsegment": T.StringType()},
+}
+
+
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order: key, date, 0/1 target (0 = the risk event: some line
     was returned), line aggregates (NULL when an order has no lines) and
@@ -92,7 +107,7 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     data and is joined by shuffle (AQE may turn it into a broadcast when its
     measured size is small).
     """
-    li = read(spark, sf_dir, "lineitem").select(
+    li = read(spark, sf_dir, "lineitem", REQUIRED["lineitem"]).select(
         "l_orderkey", "l_returnflag", "l_quantity", "l_discount", "l_shipdate")
     lines = li.groupBy("l_orderkey").agg(
         F.count(F.lit(1)).alias("n_lines_raw"),
@@ -101,10 +116,10 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.max("l_discount") + F.lit(0.0)).alias("max_discount"),
         F.avg(F.unix_date(F.to_date("l_shipdate"))).alias("avg_ship_day"),
     )
-    orders = read(spark, sf_dir, "orders").select(
+    orders = read(spark, sf_dir, "orders", REQUIRED["orders"]).select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
         "o_orderpriority")
-    cust = read(spark, sf_dir, "customer").select(
+    cust = read(spark, sf_dir, "customer", REQUIRED["customer"]).select(
         "c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
     geo = (read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
            .join(F.broadcast(read(spark, sf_dir, "region").select("r_regionkey", "r_name")),

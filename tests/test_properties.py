@@ -177,3 +177,15 @@ def test_exact_quantiles_match_percentile(spark):
         assert ours[k] == pytest.approx(ref[k], abs=1e-12), k
     whole = exact_quantiles(df, "x", [0.5]).collect()[0].q[0]
     assert whole == pytest.approx(df.agg(F.percentile("x", F.lit(0.5))).collect()[0][0], abs=1e-12)
+
+
+def test_schema_check(spark, tmp_path):
+    from ruleweave.sources.tables import SchemaError, load_table
+    from pyspark.sql import types as T
+    p = str(tmp_path / "t")
+    spark.createDataFrame([(1, "a")], "k long, v string").write.parquet(p)
+    assert load_table(spark, p, {"k": T.LongType()}).count() == 1
+    with pytest.raises(SchemaError):
+        load_table(spark, p, {"k": T.IntegerType()})
+    with pytest.raises(SchemaError):
+        load_table(spark, p, ["missing"])

@@ -161,7 +161,8 @@ def selected_rules_report(preds: DataFrame, rules: Sequence[Rule], selected: Seq
 
 
 def subpopulation_profile(cases: DataFrame, rules: Sequence[Rule], numeric: Sequence[str],
-                          categorical: Sequence[str], digits: int = 6) -> DataFrame:
+                          categorical: Sequence[str], digits: int = 6,
+                          level_orders: dict[str, Sequence[str]] | None = None) -> DataFrame:
     """A24 (+ A6, A8, A9, P17): for every rule and every feature the rule
     uses – categories: mode (ties → last in text order) and the sorted
     distinct levels; numbers: mean, min, max – over the matched cases.
@@ -194,13 +195,25 @@ def subpopulation_profile(cases: DataFrame, rules: Sequence[Rule], numeric: Sequ
         cl = cl.join(F.broadcast(rf), ["rule_id", "feature"], "left_semi")
         vc = (cl.filter(F.col("cat_value").isNotNull())
               .groupBy("rule_id", "feature", "cat_value").agg(F.count(F.lit(1)).alias("n")))
+        # mode ties: last in level order for ordered categories (their level
+        # list), last in text order otherwise – as a stable sort + tail does
+        order_key = F.lit(None).cast("int")
+        for feat, levels in (level_orders or {}).items():
+            order_key = F.when(F.col("feature") == feat,
+                               F.array_position(F.array(*[F.lit(v) for v in levels]),
+                                                F.col("cat_value")).cast("int")
+                               ).otherwise(order_key)
         out.append(vc.groupBy("rule_id", "feature").agg(
             F.lit("category").alias("kind"),
-            F.max_by("cat_value", F.struct("n", "cat_value")).alias("mode"),
+            F.max_by("cat_value", F.struct("n", order_key.alias("lvl"), "cat_value")).alias("mode"),
             F.array_join(F.array_sort(F.collect_list("cat_value")), ", ").alias("levels"),
             F.lit(None).cast("double").alias("mean"),
             F.lit(None).cast("double").alias("min"),
             F.lit(None).cast("double").alias("max")))
+    if not out:  # no rule uses a profiled feature
+        return spark.createDataFrame([], "rule_id string, feature string, kind string, "
+                                         "mode string, levels string, mean double, "
+                                         "min double, max double")
     res = out[0]
     for o in out[1:]:
         res = res.unionByName(o)

@@ -189,3 +189,15 @@ def test_schema_check(spark, tmp_path):
         load_table(spark, p, {"k": T.IntegerType()})
     with pytest.raises(SchemaError):
         load_table(spark, p, ["missing"])
+
+
+def test_profile_mode_ties_follow_level_order(spark):
+    from ruleweave.plans.subpopulation import subpopulation_profile
+    df = spark.createDataFrame([(1, "b"), (2, "a"), (3, "a"), (4, "b")], "case_id int, g string")
+    rules = [rule("R1", ("g", "in", ["a", "b"]))]
+    assert subpopulation_profile(df, [rule("R9", ("case_id", ">", 0))], [], ["g"]).count() == 0
+    text = subpopulation_profile(df, rules, [], ["g"]).collect()[0]
+    assert text["mode"] == "b"                     # tie → last in text order
+    ordered = subpopulation_profile(df, rules, [], ["g"], level_orders={"g": ["b", "a"]}).collect()[0]
+    assert ordered["mode"] == "a"                  # tie → last in level order
+    assert ordered["levels"] == "a, b"

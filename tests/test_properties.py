@@ -201,3 +201,15 @@ def test_profile_mode_ties_follow_level_order(spark):
     ordered = subpopulation_profile(df, rules, [], ["g"], level_orders={"g": ["b", "a"]}).collect()[0]
     assert ordered["mode"] == "a"                  # tie → last in level order
     assert ordered["levels"] == "a, b"
+
+
+def test_profile_approx_close_to_exact(spark):
+    from ruleweave.operators.stats import profile
+    df = spark.range(3000).select(F.col("id"), (F.col("id") % 7).alias("m"),
+                                  F.when(F.col("id") % 5 == 0, None).otherwise(F.lit("x")).alias("s"))
+    ex = {r.column: r for r in profile(df).collect()}
+    ap = {r.column: r for r in profile(df, exact=False).collect()}
+    for c in ["id", "m", "s"]:
+        assert ex[c].n_null == ap[c].n_null and ex[c].min_num == ap[c].min_num
+        assert abs(ex[c].n_distinct - ap[c].n_distinct) <= 0.05 * ex[c].n_distinct + 1
+    assert ex["m"].n_distinct == 7 and ex["s"].constant

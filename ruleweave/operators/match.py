@@ -6,8 +6,10 @@ projection, and the ids of the rules a case satisfies are exploded to rows.
 The projection runs in whole-stage codegen next to the Parquet scan; nothing
 is shuffled.  Codegen size grows with the rule count, so rule lists longer
 than ``chunk_size`` are split into chunks, one projection each, over an input
-that is first cut to the needed columns and optionally written once to the
-shared folder (``materialize=True``) so every chunk re-reads only that.
+that is first cut to the needed columns and (by default, when there are
+several chunks) written once to the shared folder so every chunk re-reads
+only that.  Each chunk is rendered as one Spark SQL expression and parsed
+once.
 """
 
 from __future__ import annotations

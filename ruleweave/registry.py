@@ -622,7 +622,7 @@ SELECT rule_id, dataset, model, CAST(count(*) AS BIGINT) AS n,
        round(avg(CASE WHEN y = 0 THEN 1.0 ELSE 0.0 END), 6) AS actual, round(avg(prob), 6) AS predicted
 FROM preds JOIN h USING (case_id) GROUP BY ALL""")
 def q_selected_rules_report(spark, sf_dir):
-    """A20 (+ J4): the report for a few named rules plus an "all cases" row."""
+    """The report for a few named rules plus an "all cases" row (one pass)."""
     return subp.selected_rules_report(td.scores(spark, sf_dir, with_features=True, case_table=_cases(spark, sf_dir)), td.RULES,
                                       SELECTED_RULES, event_label=0)
 

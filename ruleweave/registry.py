@@ -59,6 +59,10 @@ def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return td.cases(spark, sf_dir)
 
 
+def _scores(spark: SparkSession, sf_dir: str, with_features: bool = False) -> DataFrame:
+    return td.scores(spark, sf_dir, with_features=with_features, case_table=_cases(spark, sf_dir))
+
+
 def register(name: str, sql: str | None = None, reuse_cases: bool = False):
     def deco(fn):
         if reuse_cases:
@@ -159,14 +163,14 @@ SELECT dataset, model, round(auc, 6) AS auc, n_pos, n_neg FROM _auc"""
 @register("auc_by_dataset_model", _auc_sql("higher_is_event"))
 def q_auc(spark, sf_dir):
     """Exact tie-aware AUC per (data set, model)."""
-    a = grouped_auc(td.scores(spark, sf_dir, case_table=_cases(spark, sf_dir)), ["dataset", "model"], event_label=0)
+    a = grouped_auc(_scores(spark, sf_dir), ["dataset", "model"], event_label=0)
     return a.withColumn("auc", _r("auc"))
 
 
 @register("auc_auto_direction", _auc_sql("auto"))
 def q_auc_auto(spark, sf_dir):
     """A16 with the automatic direction (class medians)."""
-    a = grouped_auc(td.scores(spark, sf_dir, case_table=_cases(spark, sf_dir)), ["dataset", "model"], event_label=0,
+    a = grouped_auc(_scores(spark, sf_dir), ["dataset", "model"], event_label=0,
                     direction="auto")
     return a.withColumn("auc", _r("auc"))
 
@@ -187,7 +191,7 @@ FROM base b LEFT JOIN _auc a USING (rule_id, dataset, model)"""
 def q_rule_model(spark, sf_dir):
     """A17 + A18: per (rule, data set, model) – n, actual event share, mean
     predicted risk and AUC inside the rule's subpopulation."""
-    return rule_model_table(td.scores(spark, sf_dir, with_features=True, case_table=_cases(spark, sf_dir)), td.RULES, event_label=0)
+    return rule_model_table(_scores(spark, sf_dir, True), td.RULES, event_label=0)
 
 
 # ---------------------------------------------------------------------------
@@ -213,7 +217,7 @@ SELECT dataset, model, bin, CAST(n AS BIGINT) AS n, 'Predicted' AS var, round(Pr
 def q_calibration_fixed(spark, sf_dir):
     """A11 + A15 + O5: right-closed fixed risk bins (0,.2],…,(.8,1]; per data
     set, model and bin the mean predicted risk and actual event share, long."""
-    p = cal.with_fixed_bins(td.scores(spark, sf_dir, case_table=_cases(spark, sf_dir)))
+    p = cal.with_fixed_bins(_scores(spark, sf_dir))
     return cal.calibration(p, ["dataset", "model"]).withColumn("value", _r("value"))
 
 
@@ -225,7 +229,7 @@ def q_calibration_fixed(spark, sf_dir):
 def q_calibration_quantile(spark, sf_dir):
     """A13 + A15: equal-count (quintile) bins per data set and model, then
     the calibration table."""
-    p = cal.with_quantile_bins(td.scores(spark, sf_dir, case_table=_cases(spark, sf_dir)), ["dataset", "model"], k=5)
+    p = cal.with_quantile_bins(_scores(spark, sf_dir), ["dataset", "model"], k=5)
     return cal.calibration(p, ["dataset", "model"]).withColumn("value", _r("value"))
 
 
@@ -303,7 +307,7 @@ SELECT dataset, model, round(q1, 6) AS q1, round(median, 6) AS median, round(q3,
 FROM k GROUP BY dataset, model, q1, median, q3""", reuse_cases=True)
 def q_box_stats(spark, sf_dir):
     """Box-plot statistics (+ mean) of predicted risk per data set and model."""
-    return _round_all(st.box_stats(td.scores(spark, sf_dir, case_table=_cases(spark, sf_dir)), ["dataset", "model"], "prob"), [])
+    return _round_all(st.box_stats(_scores(spark, sf_dir), ["dataset", "model"], "prob"), [])
 
 
 @register("histogram_density", _PREDS + """,
@@ -316,7 +320,7 @@ SELECT dataset, model, bin, round(0.0 + (bin - 1) * 0.05, 6) AS x_lo, round(0.0
 FROM c JOIN t USING (dataset, model)""")
 def q_histogram_density(spark, sf_dir):
     """Histogram-as-density of predicted risk (20 bins on [0,1])."""
-    h = dens.histogram_density(td.scores(spark, sf_dir, case_table=_cases(spark, sf_dir)), ["dataset", "model"], "prob", 0.0, 1.0, 20)
+    h = dens.histogram_density(_scores(spark, sf_dir), ["dataset", "model"], "prob", 0.0, 1.0, 20)
     return _round_all(h, [])
 
 
@@ -347,7 +351,7 @@ SELECT d.dataset, d.model, CAST(d.gi AS INTEGER) AS grid_index, round(0.0 + d.gi
 FROM d JOIN bw USING (dataset, model)""", reuse_cases=True)
 def q_kde_grid(spark, sf_dir):
     """Gaussian KDE (bw.nrd0) of predicted risk on a 64-point grid."""
-    k = dens.kde_grid(td.scores(spark, sf_dir, case_table=_cases(spark, sf_dir)), ["dataset", "model"], "prob", 0.0, 1.0, _KDE_N)
+    k = dens.kde_grid(_scores(spark, sf_dir), ["dataset", "model"], "prob", 0.0, 1.0, _KDE_N)
     return _round_all(k, [])
 
 
@@ -609,7 +613,7 @@ SELECT {', '.join(out)} FROM (SELECT w.*, {tots} FROM w)"""
 def q_rule_model_differences(spark, sf_dir):
     """A19 (+ A10): per rule, the subpopulation measures pivoted by data set
     and model, model/data-set differences and coverage %."""
-    preds = td.scores(spark, sf_dir, with_features=True, case_table=_cases(spark, sf_dir))
+    preds = _scores(spark, sf_dir, True)
     t = subp.rule_model_table(preds, td.RULES, event_label=0, with_all=True)
     return subp.model_differences(t, S.DATASETS, MODELS, "m1", "m2", "train_pool", "short_term")
 
@@ -623,7 +627,7 @@ SELECT rule_id, dataset, model, CAST(count(*) AS BIGINT) AS n,
 FROM preds JOIN h USING (case_id) GROUP BY ALL""")
 def q_selected_rules_report(spark, sf_dir):
     """The report for a few named rules plus an "all cases" row (one pass)."""
-    return subp.selected_rules_report(td.scores(spark, sf_dir, with_features=True, case_table=_cases(spark, sf_dir)), td.RULES,
+    return subp.selected_rules_report(_scores(spark, sf_dir, True), td.RULES,
                                       SELECTED_RULES, event_label=0)
 
 

@@ -36,7 +36,7 @@ THRESHOLDS = (
     Threshold("mean_word_chars", 2.0, 14.0),
     Threshold("symbol_ratio", None, 0.10),
     Threshold("stop_word_ratio", 0.02, None),
-    Threshold("dup_line_ratio", None, 0.30),
+    Threshold("dup_line_ratio", None, 0.50),
     Threshold("upper_ratio", None, 0.60),
 )
 
@@ -170,7 +170,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     AND word_chars / greatest(n_words, 1) BETWEEN 2.0 AND 14.0
     AND n_symbols / greatest(word_chars, 1) <= 0.10
     AND n_stop_words / greatest(n_words, 1) >= 0.02
-    AND n_dup_lines / greatest(n_lines, 1) <= 0.30
+    AND n_dup_lines / greatest(n_lines, 1) <= 0.50
     AND n_upper / greatest(n_letters, 1) <= 0.60 AS kept
 FROM c
 """

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, qualityclf, qualityrules, tokencounts, urlfilter
+from . import bpe, embeddups, langid, mixing, qualityclf, qualityrules, tokencounts, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -64,6 +64,12 @@ def op5_token_counts(spark, sf_dir):
     return tokencounts.length_report(counted.select("n_tokens"))
 
 
+@register("op6_embedding_neardups")
+def op6_embedding_neardups(spark, sf_dir):
+    """Links and components of all embeddings of a label at cosine 0.98."""
+    return embeddups.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 @register("op7_language_id")
 def op7_language_id(spark, sf_dir):
     """Predicted language of every document."""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddups, langid, mixing, qualityclf, qualityrules, tokencounts, urlfilter
+from . import bpe, embeddups, langid, mixing, ngramjoin, qualityclf, qualityrules, tokencounts, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -48,6 +48,12 @@ def op2_quality_classifier(spark, sf_dir):
     return qualityclf.score_quality(docs, model).select("doc_id", (_fold(3) == 1).alias("held_out"), "score", "predicted")
 
 
+@register("op3_ngram_join")
+def op3_ngram_join(spark, sf_dir):
+    """Set size and component of every document at 5-gram Jaccard 0.8."""
+    return ngramjoin.jaccard_components(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @register("op4_quality_rules", qualityrules.SQL_KEPT)
 def op4_quality_rules(spark, sf_dir):
     """Counts and verdict of every document by the threshold table."""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddups, langid, mixing, ngramjoin, qualityclf, qualityrules, tokencounts, urlfilter
+from . import bpe, embeddups, langid, mixing, ngramjoin, qualityclf, qualityrules, substrdedup, tokencounts, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -84,6 +84,13 @@ def op7_language_id(spark, sf_dir):
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", (_fold(5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+@register("op8_substring_dedup")
+def op8_substring_dedup(spark, sf_dir):
+    """Words left of every document after the removal of repeated 13-word windows."""
+    docs = substrdedup.substring_dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @register("op9_source_mixing")
 def op9_source_mixing(spark, sf_dir):
     """Slot of every document in the Pfair mixture of the sources."""

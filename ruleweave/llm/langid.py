@@ -101,6 +101,8 @@ class LanguageModel:
         return win, against[np.arange(len(x)), win]
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not self.families:  # learned from nothing
+            return np.full(len(x), UNDETERMINED, dtype=object), np.zeros(len(x))
         names = sorted(self.families)
         fam, score = self._vote(names, self.between, x)
         lang = np.empty(len(x), dtype=object)
@@ -128,20 +130,21 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lan
         seed: int = 7, families: dict[str, str] = FAMILIES) -> LanguageModel:
     """Fit on labelled rows (null labels and texts without a letter are left
     out).  About ``per_language`` rows of each language are taken, by a hash of
-    the text, so equal texts are in or out together."""
+    the text, so equal texts are in or out together.  A model learned from no
+    row calls every text ``und``; one learned from one language knows only it."""
     spark = rows.sparkSession
     label, text = F.col(f"`{lang_col}`"), F.col(f"`{text_col}`")
     labelled = rows.select(label.alias("lang"), text.alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
     if not counts:
-        raise ValueError("no labelled rows to learn languages from")
+        return LanguageModel({}, [], [])
     share = F.create_map(*[F.lit(x) for c, n in sorted(counts.items()) for x in (c, min(1.0, per_language / n))])
     place = F.pmod(F.xxhash64(F.lit(seed), F.xxhash64("text")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     to_list = F.arrow_udf(_annotated(_feature_udf(lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), DIM).cast(pa.list_(pa.float64())))), "array<double>")
     sample = labelled.where((place < share[F.col("lang")]) & F.col("text").rlike(r"\p{L}"))
     tmp = Scratch(spark, "langid")
-    table = tmp.write(sample.select("lang", to_list("text").alias("x")), "sample")
-    table = table.select("lang", array_to_vector("x").alias("features"))
+    written = tmp.write(sample.select("lang", to_list("text").alias("x")), "sample")
+    table = written.select("lang", array_to_vector("x").alias("features"))
     groups: dict[str, list[str]] = {}
     for c in sorted(counts):
         groups.setdefault(families.get(c, f"={c}"), []).append(c)
@@ -153,7 +156,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lan
 
     between = [machine(f, g, groups[f], groups[g]) for f, g in combinations(sorted(groups), 2)]
     within = [machine(a, b, [a], [b]) for f in sorted(groups) for a, b in combinations(groups[f], 2)]
-    tmp.drop()
+    tmp.drop(written)
     return LanguageModel(groups, between, within)
 
 

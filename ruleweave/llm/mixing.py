@@ -92,7 +92,8 @@ def numbered(docs: DataFrame, id_col: str, source_col: str, seed: int) -> DataFr
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", block_rows: int = 1,
-                alpha: float = 0.7, period: int = PERIOD, seed: int = 9, weights: DataFrame | None = None) -> DataFrame:
+                alpha: float = 0.7, period: int = PERIOD, seed: int = 9, weights: DataFrame | None = None,
+                max_missing: float = 0.1) -> DataFrame:
     """Add ``mix_slot`` (the slot that serves the row's block), ``mix_units``
     (the source's target in blocks per ``period`` slots) and ``in_mix`` to
     every row.
@@ -123,7 +124,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     # the slot of the first block that the source cannot give whole
     out_at = (F.floor(whole / F.col("units")) * period + F.get("_slots", F.pmod(whole, F.col("units")).cast("int"))["slot"])
     per = per.select(F.col("source").alias("_ps"), F.col("units").alias("mix_units"), "_slots", out_at.cast("long").alias("_out"))
-    per = per.withColumn("_end", F.min("_out").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    # units of the sources that are out at each source's end; the first end with too many
+    gone = F.sum("mix_units").over(Window.orderBy("_out").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    late = F.when(F.col("_gone") > F.lit(max_missing * period), F.col("_out"))
+    per = per.withColumn("_gone", gone).withColumn("_end", F.min(late).over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     rows = numbered(base, "_id", "_source", seed)
     # one row per source, at most ``period`` rows
     rows = rows.join(F.broadcast(per), rows["_source"].eqNullSafe(per["_ps"]), "left")

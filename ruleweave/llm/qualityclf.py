@@ -155,12 +155,13 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "quality",
         trees: int = 12, depth: int = 3, penalty: float = 0.001, seed: int = 2) -> RuleEnsemble:
     """Fit on rows with a 0/1 label (null labels are left out).  About
     ``sample_rows`` rows are taken by a hash of the text, so equal texts are in
-    or out together."""
+    or out together.  Learned from no row, every score is 0.5; from one label,
+    every score is near that label."""
     spark = labelled.sparkSession
     rows = labelled.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{label_col}`").cast("double").alias("label")).where(F.col("label").isin(0.0, 1.0))
     n = rows.count()
     if not n:
-        raise ValueError("no labelled rows to learn quality from")
+        return RuleEnsemble((), (), (), 0.0)
     place = F.pmod(F.xxhash64(F.lit(seed), F.xxhash64(F.coalesce("text", F.lit("")))), F.lit(1 << 30)) / F.lit(float(1 << 30))
     tmp = Scratch(spark, "quality")
     sample = tmp.write(with_statistics(rows.where(place < min(1.0, sample_rows / n))).select("label", "_stats"), "sample")

@@ -117,12 +117,12 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
         right = weights.select(F.col("source").alias("_ws"), F.col("units").cast("long").alias("units"))
         units = sizes.join(right, sizes["source"].eqNullSafe(right["_ws"])).select("source", "n", "units")
     schedule = period_schedule(units, period)
-    whole = F.floor(F.col("n") / F.lit(block_rows))
+    blocks = F.ceil(F.col("n") / F.lit(block_rows))
     slots = schedule.groupBy(F.col("source").alias("_ss"), F.col("units").alias("_su")).agg(
         F.array_sort(F.collect_list(F.struct("unit", "slot"))).alias("_slots"))
     per = units.join(slots, units["source"].eqNullSafe(slots["_ss"]))
-    # the slot of the first block that the source cannot give whole
-    out_at = (F.floor(whole / F.col("units")) * period + F.get("_slots", F.pmod(whole, F.col("units")).cast("int"))["slot"])
+    # the slot of the first block that the source no longer has
+    out_at = (F.floor(blocks / F.col("units")) * period + F.get("_slots", F.pmod(blocks, F.col("units")).cast("int"))["slot"])
     per = per.select(F.col("source").alias("_ps"), F.col("units").alias("mix_units"), "_slots", out_at.cast("long").alias("_out"))
     # units of the sources that are out at each source's end; the first end with too many
     gone = F.sum("mix_units").over(Window.orderBy("_out").rangeBetween(Window.unboundedPreceding, Window.currentRow))

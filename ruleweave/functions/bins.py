@@ -14,13 +14,18 @@ from pyspark.sql import functions as F
 
 
 def attach_stats(df: DataFrame, stats: DataFrame, group_cols: Sequence[str]) -> DataFrame:
-    """Attach per-group statistics to every row.  With groups: an equi-join on
-    the group keys (the stats side has one row per group; AQE broadcasts it
-    when its measured size is small).  Without groups: one scalar subquery
-    (computed once, injected as a value) – no join at all."""
+    """Attach per-group statistics to every row by a scalar subquery (computed
+    once, injected as a value): a struct without groups, a map from group key to
+    statistics with groups.  Rows are neither joined nor shuffled, so a group
+    with most of the rows is no hot key.  For few groups (data sets × models);
+    with thousands, join the statistics instead."""
     g = list(group_cols)
     if g:
-        return df.join(stats, g, "left")
+        names = [c for c in stats.columns if c not in g]
+        m = stats.select(F.map_from_entries(F.collect_list(F.struct(
+            F.struct(*g).alias("k"), F.struct(*names).alias("v")))).alias("_m")).scalar()
+        found = df.withColumn("_stats", F.try_element_at(m, F.struct(*g)))
+        return found.withColumns({c: F.col("_stats").getField(c) for c in names}).drop("_stats")
     s = stats.select(F.struct(*stats.columns).alias("_s")).scalar()
     return df.withColumns({c: s.getField(c) for c in stats.columns})
 
@@ -63,8 +68,7 @@ def equal_width_bins(df: DataFrame, col: str, k: int, group_cols: Sequence[str]
                      out: str = "bin") -> DataFrame:
     """``cut(x, k)`` – k equal-width right-closed bins over the observed
     range; the outer breaks move out by range/1000 so the minimum falls in
-    bin 1.  Min/max per group come from one aggregate joined back (a group
-    table, broadcast by AQE when small).  A constant column uses R's rule:
+    bin 1.  Min/max per group come from one aggregate, looked up per row.  A constant column uses R's rule:
     width |x|/1000 (or 1/1000 at 0) around the value – every row in bin
     ceil(k/2)."""
     g = list(group_cols)

@@ -2,8 +2,9 @@
 
 A rule is a conjunction of conditions on case columns.  It renders to a
 Spark ``Column`` (evaluated inside whole-stage codegen) and, for checks, to
-SQL text.  A condition on a NULL value is *not* satisfied, so a rule on a
-column with NULLs does not match those cases (dplyr ``filter`` drops NA).
+SQL text.  A condition on a NULL or NaN value is *not* satisfied, so a rule on a
+column with NULLs does not match those cases (dplyr ``filter`` drops NA and NaN).
+An empty set matches nothing for ``in`` and every non-NULL value for ``not in``.
 """
 
 from __future__ import annotations
@@ -40,20 +41,28 @@ class Condition:
         sub-expression, which dominates plan building for thousands of rules."""
         f = "`" + self.feature.replace("`", "``") + "`"
         if self.op in _SET_OPS:
+            if not self.values:
+                return "false" if self.op == "in" else f"({f} IS NOT NULL)"
             vals = ", ".join(_spark_lit(v) for v in self.values)
             neg = "NOT " if self.op == "not in" else ""
             # NULL feature → not satisfied
             return f"({f} IS NOT NULL AND coalesce({neg}({f} IN ({vals})), false))"
         op = "=" if self.op == "==" else self.op
+        if not isinstance(self.value, str):  # Spark holds NaN above every number and equal to itself
+            return f"coalesce({f} {op} {_spark_lit(self.value)} AND NOT isnan({f}), false)"
         return f"coalesce({f} {op} {_spark_lit(self.value)}, false)"
 
     def to_sql(self) -> str:
         f = self.feature
         if self.op in _SET_OPS:
+            if not self.values:
+                return "false" if self.op == "in" else f"({f} IS NOT NULL)"
             vals = ", ".join(_sql_lit(v) for v in self.values)
             neg = "NOT " if self.op == "not in" else ""
             return f"({f} IS NOT NULL AND {f} {neg}IN ({vals}))"
         op = "=" if self.op == "==" else ("<>" if self.op == "!=" else self.op)
+        if not isinstance(self.value, str):
+            return f"coalesce({f} {op} {_sql_lit(self.value)} AND {f} <> 'nan'::DOUBLE, false)"
         return f"coalesce({f} {op} {_sql_lit(self.value)}, false)"
 
     def text(self) -> str:

@@ -1,8 +1,7 @@
 """The data behind density plots.
 
-Both reduce the rows to a fixed grid first (``groupBy(group, grid cell)``
-with partial aggregation), so the work after the first shuffle is bounded by
-groups × grid size, whatever the row count.
+Rows are reduced by partial aggregation to bins or to the grid's kernel sums,
+so what is shuffled is bounded by groups × grid size, whatever the row count.
 """
 
 from __future__ import annotations
@@ -18,14 +17,21 @@ from ..session import materialize
 
 
 def histogram_density(df: DataFrame, group_cols: Sequence[str], value: str,
-                      lo: float = 0.0, hi: float = 1.0, k: int = 20) -> DataFrame:
+                      lo: float | None = None, hi: float | None = None, k: int = 20) -> DataFrame:
     """Histogram as density, k equal-width right-closed bins over
-    [lo, hi] (lo included in bin 1): density = count / (n · width), n = rows
-    in [lo, hi] of the group.  Only non-empty bins are returned."""
+    [lo, hi] (lo included in bin 1; by default the range of all values):
+    density = count / (n · width), n = rows in [lo, hi] of the group (values
+    outside a given range are left out).  Only non-empty bins are returned."""
     g = list(group_cols)
-    width = (hi - lo) / k
     x = F.col(value).cast("double")
-    idx = F.greatest(F.ceil((x - F.lit(lo)) / F.lit(width)), F.lit(1)).cast("int")
+    if lo is None or hi is None:
+        ends = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()  # two numbers
+        lo = ends.lo if lo is None else lo
+        hi = ends.hi if hi is None else hi
+        if lo is None or lo == hi:
+            lo, hi = (lo or 0.0) - 0.5, (hi or 0.0) + 0.5
+    width = (hi - lo) / k
+    idx = F.least(F.greatest(F.ceil((x - F.lit(lo)) / F.lit(width)), F.lit(1)), F.lit(k)).cast("int")
     src = df.filter(x.isNotNull() & (x >= lo) & (x <= hi)).withColumn("bin", idx)
     counts = src.groupBy(*g, "bin").agg(F.count(F.lit(1)).alias("count"))
     tot = (counts.groupBy(*g) if g else counts.groupBy()).agg(F.sum("count").alias("_n"))
@@ -37,63 +43,67 @@ def histogram_density(df: DataFrame, group_cols: Sequence[str], value: str,
                     (F.col("count") / (F.col("_n") * F.lit(width))).alias("density"))
 
 
-def kde_grid(df: DataFrame, group_cols: Sequence[str], value: str, lo: float = 0.0,
-             hi: float = 1.0, n_grid: int = 64, bandwidth: float | None = None) -> DataFrame:
+def kde_grid(df: DataFrame, group_cols: Sequence[str], value: str, lo: float | None = None,
+             hi: float | None = None, n_grid: int = 64, bandwidth: float | None = None,
+             cells_per_bandwidth: int | None = None) -> DataFrame:
     """Gaussian kernel density on an evenly spaced grid of ``n_grid``
-    points over [lo, hi], with linear binning of the data onto the grid (the
-    same approximation R's ``density`` makes) and bandwidth ``bw.nrd0`` per
-    group unless given: 0.9 · min(sd, IQR/1.34) · n^(-1/5).
+    points over [lo, hi] (by default the group's range and three bandwidths to
+    either side), with bandwidth ``bw.nrd0`` per group unless given:
+    0.9 · min(sd, IQR/1.34) · n^(-1/5).
 
-    Rows → (group, grid point, weight) by partial aggregation; the kernel sum
-    is then grid × grid per group (bounded by ``n_grid``²), done with array
-    higher-order functions inside one row per group.
+    The density is the direct kernel sum over the (group, value, count) table:
+    every row adds its ``n_grid`` kernel values to sums that are aggregated
+    map-side, so only groups × grid numbers are shuffled.  With
+    ``cells_per_bandwidth`` (32 gives about 5 digits) the values are first
+    binned linearly into cells of that fraction of the bandwidth, which bounds
+    the rows of a very large table by its range.  NULL and NaN values are left
+    out; values outside [lo, hi] count, where they are.
     """
+    from .quantiles import exact_quantiles, value_counts_table
     g = list(group_cols)
-    step = (hi - lo) / (n_grid - 1)
-    x = F.col(value).cast("double")
-    src = df.filter(x.isNotNull())
-    pos = F.least(F.greatest((x - F.lit(lo)) / F.lit(step), F.lit(0.0)), F.lit(float(n_grid - 1)))
-    i0 = F.least(F.floor(pos), F.lit(n_grid - 2)).cast("int")
-    frac = pos - i0
-    cells = src.select(*g, F.inline(F.array(
-        F.struct(i0.alias("i"), (F.lit(1.0) - frac).alias("w")),
-        F.struct((i0 + 1).alias("i"), frac.alias("w")))))
-    binned = cells.groupBy(*g, "i").agg(F.sum("w").alias("w"))
 
-    # bandwidth per group from the value distribution
-    from .quantiles import exact_quantiles, value_counts_table
-    counts = materialize(value_counts_table(src, value, g), "kde-counts")  # feeds 2 branches
-    n = F.sum("_c")
-    mean = F.sum(F.col("_v") * F.col("_c")) / n
-    var = (F.sum(F.col("_v") * F.col("_v") * F.col("_c")) - n * mean * mean) / (n - 1)
-    mom = (counts.groupBy(*g) if g else counts.groupBy()).agg(
-        n.alias("_n"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("_sd"))
+    def per(d: DataFrame):
+        return d.groupBy(*g)
+
+    src = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    counts = materialize(value_counts_table(src, value, g), "kde-counts")  # feeds the branches below
+    first = per(counts).agg(F.sum("_c").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+                            (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("_mean"))
+    spread = per(attach_stats(counts, first, g)).agg(  # centred, so nothing cancels
+        F.max("_n").cast("bigint").alias("n"), F.max("_min").alias("_min"), F.max("_max").alias("_max"),
+        F.sqrt(F.try_divide(F.sum(F.col("_c") * F.pow(F.col("_v") - F.col("_mean"), F.lit(2.0))),
+                            (F.max("_n") - 1).cast("double"))).alias("_sd"))
     iqr = exact_quantiles(src, value, [0.25, 0.75], g, counts=counts, out="_q")
-    bw_tab = mom.join(iqr, g, "inner") if g else attach_stats(mom, iqr, [])
+    stats = attach_stats(spread, iqr, g)
     if bandwidth is None:
-        lo_s = F.least(F.col("_sd"), (F.col("_q")[1] - F.col("_q")[0]) / F.lit(1.34))
-        lo_s = F.when(lo_s > 0, lo_s).when(F.col("_sd") > 0, F.col("_sd")).otherwise(F.lit(1.0))
-        bw = F.lit(0.9) * lo_s * F.pow(F.col("_n").cast("double"), F.lit(-0.2))
+        s = F.least(F.col("_sd"), (F.col("_q")[1] - F.col("_q")[0]) / F.lit(1.34))
+        s = F.when(s > 0, s).when(F.col("_sd") > 0, F.col("_sd")).otherwise(F.lit(1.0))
+        bw = F.lit(0.9) * s * F.pow(F.col("n").cast("double"), F.lit(-0.2))
     else:
         bw = F.lit(float(bandwidth))
-    bw_tab = bw_tab.select(*g, bw.alias("bandwidth"), F.col("_n").cast("bigint").alias("n"))
+    stats = stats.withColumn("bandwidth", bw)
+    low = F.lit(float(lo)) if lo is not None else F.col("_min") - 3 * F.col("bandwidth")
+    high = F.lit(float(hi)) if hi is not None else F.col("_max") + 3 * F.col("bandwidth")
+    stats = stats.select(*g, "n", "bandwidth", low.alias("_lo"),
+                         ((high - low) / F.lit(n_grid - 1)).alias("_step"))
+    rows = attach_stats(counts.withColumnRenamed("_c", "_w"), stats, g)
+    if cells_per_bandwidth:
+        width = F.col("bandwidth") / F.lit(cells_per_bandwidth)
+        at = F.floor(F.col("_v") / width)
+        part = F.col("_v") / width - at
+        rows = rows.select(*g, "n", "bandwidth", "_lo", "_step", F.inline(F.array(
+            F.struct((at * width).alias("_v"), ((1 - part) * F.col("_w")).alias("_w")),
+            F.struct(((at + 1) * width).alias("_v"), (part * F.col("_w")).alias("_w")))))
+        rows = rows.groupBy(*g, "n", "bandwidth", "_lo", "_step", "_v").agg(F.sum("_w").alias("_w"))
 
-    per_group = (binned.groupBy(*g) if g else binned.groupBy()).agg(
-        F.collect_list(F.struct("i", "w")).alias("_cells"))  # ≤ n_grid entries per group
-    j = attach_stats(per_group, bw_tab, g)
-    c = 1.0 / math.sqrt(2 * math.pi)
+    def kernel(i: int):
+        z = (F.col("_lo") + F.lit(float(i)) * F.col("_step") - F.col("_v")) / F.col("bandwidth")
+        return F.sum(F.col("_w") * F.exp(F.lit(-0.5) * z * z)).alias(f"_k{i}")
 
-    def dens(i):
-        xi = F.lit(lo) + i.cast("double") * F.lit(step)
-        return F.aggregate(
-            F.col("_cells"), F.lit(0.0),
-            lambda acc, cell: acc + cell["w"] * F.exp(
-                F.lit(-0.5) * F.pow((xi - (F.lit(lo) + cell["i"].cast("double") * F.lit(step)))
-                                    / F.col("bandwidth"), F.lit(2.0))))
-    grid = F.sequence(F.lit(0), F.lit(n_grid - 1))
-    out = j.select(*g, "bandwidth", "n", F.posexplode(
-        F.transform(grid, lambda i: dens(i) * F.lit(c) / (F.col("n") * F.col("bandwidth")))
-    ).alias("grid_index", "density"))
+    sums = rows.groupBy(*g, "n", "bandwidth", "_lo", "_step").agg(*[kernel(i) for i in range(n_grid)])
+    out = sums.select(*g, "n", "bandwidth", "_lo", "_step",
+                      F.posexplode(F.array(*[F.col(f"_k{i}") for i in range(n_grid)])).alias("grid_index", "_k"))
     return out.select(*g, "grid_index",
-                      (F.lit(lo) + F.col("grid_index") * F.lit(step)).alias("x"),
-                      "density", "bandwidth")
+                      (F.col("_lo") + F.col("grid_index") * F.col("_step")).alias("x"),
+                      (F.col("_k") * F.lit(1 / math.sqrt(2 * math.pi)) / (F.col("n") * F.col("bandwidth"))).alias("density"),
+                      "bandwidth")

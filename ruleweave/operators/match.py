@@ -4,12 +4,12 @@ The match is a theta join (rule true for case).  With a rule list held on the
 driver it needs no join at all: each rule becomes a ``CASE WHEN`` inside one
 projection, and the ids of the rules a case satisfies are exploded to rows.
 The projection runs in whole-stage codegen next to the Parquet scan; nothing
-is shuffled.  Codegen size grows with the rule count, so rule lists longer
-than ``chunk_size`` are split into chunks, one projection each, over an input
-that is first cut to the needed columns and (by default, when there are
-several chunks) written once to the shared folder so every chunk re-reads
-only that.  Each chunk is rendered as one Spark SQL expression and parsed
-once.
+is shuffled.  Codegen size grows with the rule count, so the rules are cut
+into chunks of ``chunk_size``, one projection each over the needed columns, and
+the projections are united – the same lazy plan for any number of rules, on
+batch and streaming inputs alike.  With many chunks the input is read once per
+chunk; write a costly input first.  Each chunk is rendered as one Spark SQL
+expression and parsed once.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import Rule
-from ..session import materialize as _materialize
 
 ALL_CASES = "*"
 
@@ -56,46 +55,26 @@ def _chunks(seq: Sequence[Rule], n: int):
 
 
 def match_rules(df: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ("case_id",),
-                chunk_size: int = 100, with_all_row: bool = False,
-                materialize: bool | None = None) -> DataFrame:
+                chunk_size: int = 100, with_all_row: bool = False) -> DataFrame:
     """Long hit table: the ``keep`` columns plus ``rule_id``, one row per
     (case, satisfied rule).
 
     ``with_all_row=True`` adds one extra row per case with ``rule_id = '*'``
     so that a later ``groupBy(rule_id, …)`` yields per-rule and whole-table
     counts in one aggregation pass (no second scan for the totals).
-    With several chunks, each chunk's projection reads the input again;
-    ``materialize`` (default: when there is more than one chunk) first
-    writes the narrowed input (keep + rule features) to the shared folder so
-    the upstream plan runs once.
     """
     keep = list(keep)
     rules = list(rules)
-    extra = [F.array(F.lit(ALL_CASES))] if with_all_row else []
-    if len(rules) <= chunk_size:
-        ids = hit_ids(rules) if rules else F.array().cast("array<string>")
-        if extra:
-            ids = F.concat(ids, *extra)
-        return df.select(*keep, F.explode(ids).alias("rule_id"))
-
     base = df.select(*dict.fromkeys(keep + _needed_features(rules)))
-    if materialize is None or materialize:
-        base = _materialize(base, "rule-match-input")
     parts = []
-    for i, chunk in enumerate(_chunks(rules, chunk_size)):
+    for i, chunk in enumerate(list(_chunks(rules, chunk_size)) or [[]]):
         ids = hit_ids(chunk)
-        if extra and i == 0:
-            ids = F.concat(ids, *extra)
+        if with_all_row and i == 0:
+            ids = F.concat(ids, F.array(F.lit(ALL_CASES)))
         parts.append(base.select(*keep, F.explode(ids).alias("rule_id")))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def rule_flags(df: DataFrame, rules: Sequence[Rule], prefix: str = "") -> DataFrame:
-    """Wide 0/1 cases×rules matrix: one int column per rule (in rule order).
-    Used to assemble model features; only for rule lists of a few hundred."""
-    return df.withColumns({f"{prefix}{r.rule_id}": r.to_column().cast("int") for r in rules})
-
-
 def rule_score(rules: Sequence[Rule], coefficients: dict[str, float],
                intercept: float = 0.0, chunk_size: int = 100) -> Column:
     """R8 without explode: intercept + Σ coefficient × [rule matches], built

@@ -85,16 +85,35 @@ def rule_model_table(preds: DataFrame, rules: Sequence[Rule], cases: DataFrame |
     ``preds``: long predictions (case_id, y, dataset, model, prob[, features]).
     ``with_all`` adds the whole data set as rule ``'*'`` (same pass).
     n, event share and mean prediction come out of the AUC count flow itself
-    (rows with NULL prob or y are not counted).
+    (rows with NULL prob or y are not counted).  Every rule has a row for every
+    data set and model that has predictions; without a match n is 0 and the
+    measures are NULL.
     """
     g = ["rule_id", "dataset", "model"]
-    sub = _subpopulations(preds, rules, cases, ["y", "dataset", "model", "prob"], with_all)
+    sub = _subpopulations(preds, rules, cases, ["y", "dataset", "model", "prob"], True)
     auc = grouped_auc(sub, g, score="prob", label="y", event_label=event_label,
                       direction=direction, with_means=True)
-    return auc.select(*g, F.col("n"),
-                      F.round("event_share", digits).alias("actual"),
-                      F.round("mean_score", digits).alias("predicted"),
-                      F.round("auc", digits).alias("auc"))
+    table = auc.select(*g, F.col("n"),
+                       F.round("event_share", digits).alias("actual"),
+                       F.round("mean_score", digits).alias("predicted"),
+                       F.round("auc", digits).alias("auc"))
+    return _every_rule(table, rules, ["n", "actual", "predicted", "auc"], with_all)
+
+
+def _every_rule(table: DataFrame, rules: Sequence[Rule], measures: Sequence[str],
+                with_all: bool) -> DataFrame:
+    """Complete a (rule, dataset, model, measures) table that has the '*' row
+    of every data set and model: the measures of each (dataset, model) become
+    one map by rule (at most one entry per rule), read for every rule."""
+    per = table.groupBy("dataset", "model").agg(F.map_from_entries(F.collect_list(
+        F.struct("rule_id", F.struct(*measures).alias("m")))).alias("_m"))
+    ids = [r.rule_id for r in rules] + ([ALL_CASES] if with_all else [])
+    full = per.select(F.explode(F.array(*[F.lit(i) for i in ids])).alias("rule_id"),
+                      "dataset", "model", "_m")
+    full = full.withColumn("_v", F.try_element_at("_m", F.col("rule_id")))
+    return full.select("rule_id", "dataset", "model", *[
+        (F.coalesce(F.col("_v").getField(c), F.lit(0)).cast("bigint") if c == "n"
+         else F.col("_v").getField(c)).alias(c) for c in measures])
 
 
 def model_differences(table: DataFrame, datasets: Sequence[str], models: Sequence[str],
@@ -154,10 +173,11 @@ def selected_rules_report(preds: DataFrame, rules: Sequence[Rule], selected: Seq
     chosen = [r for r in rules if r.rule_id in set(selected)]
     sub = _subpopulations(preds, chosen, cases, ["y", "dataset", "model", "prob"], True)
     g = ["rule_id", "dataset", "model"]
-    return sub.groupBy(*g).agg(
+    table = sub.groupBy(*g).agg(
         F.count(F.lit(1)).cast("bigint").alias("n"),
         F.round(F.avg((F.col("y") == F.lit(event_label)).cast("double")), digits).alias("actual"),
         F.round(F.avg("prob"), digits).alias("predicted"))
+    return _every_rule(table, chosen, ["n", "actual", "predicted"], True)
 
 
 def subpopulation_profile(cases: DataFrame, rules: Sequence[Rule], numeric: Sequence[str],

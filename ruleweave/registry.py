@@ -182,9 +182,12 @@ def _rule_model_sql() -> str:
   base AS (SELECT rule_id, dataset, model, count(*) AS n,
                   avg(CASE WHEN y = 0 THEN 1.0 ELSE 0.0 END) AS actual, avg(prob) AS predicted
            FROM sub GROUP BY ALL),""" + S.auc_sql("sub", ["rule_id", "dataset", "model"]) + """
-SELECT b.rule_id, b.dataset, b.model, CAST(b.n AS BIGINT) AS n, round(b.actual, 6) AS actual,
+SELECT r.rule_id, d.dataset, d.model, CAST(coalesce(b.n, 0) AS BIGINT) AS n, round(b.actual, 6) AS actual,
        round(b.predicted, 6) AS predicted, round(a.auc, 6) AS auc
-FROM base b LEFT JOIN _auc a USING (rule_id, dataset, model)"""
+FROM (SELECT * FROM (VALUES """ + ", ".join(f"('{r.rule_id}')" for r in td.RULES) + """) v(rule_id)) r
+CROSS JOIN (SELECT DISTINCT dataset, model FROM preds) d
+LEFT JOIN base b ON b.rule_id = r.rule_id AND b.dataset = d.dataset AND b.model = d.model
+LEFT JOIN _auc a ON a.rule_id = r.rule_id AND a.dataset = d.dataset AND a.model = d.model"""
 
 
 @register("rule_subpopulation_models", _rule_model_sql())
@@ -329,12 +332,6 @@ _KDE_STEP = 1.0 / (_KDE_N - 1)
 
 
 @register("kde_grid", _PREDS + f""",
-  p AS (SELECT dataset, model, least(greatest((prob - 0.0) / {_KDE_STEP!r}, 0.0), {float(_KDE_N - 1)!r}) AS pos
-        FROM preds WHERE prob IS NOT NULL),
-  p2 AS (SELECT *, CAST(least(floor(pos), {_KDE_N - 2}) AS INTEGER) AS i0 FROM p),
-  cells AS (SELECT dataset, model, i0 AS i, 1.0 - (pos - i0) AS w FROM p2
-            UNION ALL SELECT dataset, model, i0 + 1 AS i, pos - i0 AS w FROM p2),
-  binned AS (SELECT dataset, model, i, sum(w) AS w FROM cells GROUP BY ALL),
   bwq AS (SELECT dataset, model, quantile_cont(prob, [0.25, 0.75]) AS q, count(*) AS n,
                  stddev_samp(prob) AS sd FROM preds WHERE prob IS NOT NULL GROUP BY ALL),
   bw AS (SELECT dataset, model, n,
@@ -342,9 +339,9 @@ _KDE_STEP = 1.0 / (_KDE_N - 1)
                             WHEN sd > 0 THEN sd ELSE 1.0 END) * pow(CAST(n AS DOUBLE), -0.2) AS bandwidth
          FROM bwq),
   grid AS (SELECT range AS gi FROM range(0, {_KDE_N})),
-  d AS (SELECT b.dataset, b.model, g.gi,
-               sum(b.w * exp(-0.5 * pow(((0.0 + g.gi * {_KDE_STEP!r}) - (0.0 + b.i * {_KDE_STEP!r})) / bw.bandwidth, 2.0))) AS s
-        FROM binned b JOIN bw USING (dataset, model) CROSS JOIN grid g GROUP BY ALL)
+  d AS (SELECT p.dataset, p.model, g.gi,
+               sum(exp(-0.5 * pow((0.0 + g.gi * {_KDE_STEP!r} - p.prob) / bw.bandwidth, 2.0))) AS s
+        FROM preds p JOIN bw USING (dataset, model) CROSS JOIN grid g WHERE p.prob IS NOT NULL GROUP BY ALL)
 SELECT d.dataset, d.model, CAST(d.gi AS INTEGER) AS grid_index, round(0.0 + d.gi * {_KDE_STEP!r}, 6) AS x,
        round(d.s * {1.0 / (2 * 3.141592653589793) ** 0.5!r} / (bw.n * bw.bandwidth), 6) AS density,
        round(bw.bandwidth, 6) AS bandwidth
@@ -362,6 +359,7 @@ def q_kde_grid(spark, sf_dir):
 
 SPLIT_SEED = 69
 TEST_SEED = 70
+# The training-set sizes and replicates of the learning curve.
 LC_SIZES = [250, 500, 1000, 2000, 4000, 8000, 16000]
 LC_REPLICATES = 5
 
@@ -472,9 +470,11 @@ def q_expert_summary(spark, sf_dir):
 
 
 def _facts_sql() -> list[str]:
-    return [S.hits_cte(td.RULES, "train", "case_id, y", name="th"), """
-facts AS (SELECT rule_id, CAST(count(*) AS BIGINT) AS n_train,
-                 avg(CASE WHEN y = 0 THEN 1.0 ELSE 0.0 END) AS empirical_risk FROM th GROUP BY rule_id)"""]
+    return [S.hits_cte(td.RULES, "train", "case_id, y", name="th"),
+            S.values_cte("fr", "rule_id", [r.rule_id for r in td.RULES]), """
+facts AS (SELECT fr.rule_id, CAST(count(th.rule_id) AS BIGINT) AS n_train,
+                 avg(CASE WHEN th.y = 0 THEN 1.0 WHEN th.y IS NOT NULL THEN 0.0 END) AS empirical_risk
+          FROM fr LEFT JOIN th ON th.rule_id = fr.rule_id GROUP BY fr.rule_id)"""]
 
 
 def training_facts(spark, sf_dir):
@@ -577,7 +577,7 @@ SELECTED_RULES = ["R1", "R4", "R7", "R16", "R21"]
 
 
 def _diff_sql() -> str:
-    head = _rule_model_sql().replace("\nSELECT b.rule_id", ",\n  rmt AS (SELECT b.rule_id", 1)
+    head = _rule_model_sql().replace("\nSELECT r.rule_id", ",\n  rmt AS (SELECT r.rule_id", 1)
     head += "),\n  tot AS (SELECT dataset, count(*) AS n_total FROM ds GROUP BY dataset),"
     cols = []
     for d in S.DATASETS:
@@ -621,10 +621,15 @@ def q_rule_model_differences(spark, sf_dir):
 @register("selected_rules_report", S.with_ctes(
     S.cases_cte(), S.datasets_cte(), S.scores_cte(),
     S.hits_cte([r for r in td.RULES if r.rule_id in SELECTED_RULES], "cases", "case_id", name="h0")) + """,
-  h AS (SELECT * FROM h0 UNION ALL SELECT case_id, '*' AS rule_id FROM cases)
-SELECT rule_id, dataset, model, CAST(count(*) AS BIGINT) AS n,
-       round(avg(CASE WHEN y = 0 THEN 1.0 ELSE 0.0 END), 6) AS actual, round(avg(prob), 6) AS predicted
-FROM preds JOIN h USING (case_id) GROUP BY ALL""")
+  h AS (SELECT * FROM h0 UNION ALL SELECT case_id, '*' AS rule_id FROM cases),
+  a AS (SELECT rule_id, dataset, model, count(*) AS n,
+               avg(CASE WHEN y = 0 THEN 1.0 ELSE 0.0 END) AS actual, avg(prob) AS predicted
+        FROM preds JOIN h USING (case_id) GROUP BY ALL)
+SELECT r.rule_id, d.dataset, d.model, CAST(coalesce(a.n, 0) AS BIGINT) AS n,
+       round(a.actual, 6) AS actual, round(a.predicted, 6) AS predicted
+FROM (SELECT * FROM (VALUES ('*'), """ + ", ".join(f"('{r}')" for r in SELECTED_RULES) + """) v(rule_id)) r
+CROSS JOIN (SELECT DISTINCT dataset, model FROM preds) d
+LEFT JOIN a ON a.rule_id = r.rule_id AND a.dataset = d.dataset AND a.model = d.model""")
 def q_selected_rules_report(spark, sf_dir):
     """The report for a few named rules plus an "all cases" row (one pass)."""
     return subp.selected_rules_report(_scores(spark, sf_dir, True), td.RULES,
@@ -673,8 +678,8 @@ def _data_profile_sql() -> str:
         numeric = t in ("bigint", "int", "double")
         mn = f"round(CAST(min({c}) AS DOUBLE), 6)" if numeric else "CAST(NULL AS DOUBLE)"
         mx = f"round(CAST(max({c}) AS DOUBLE), 6)" if numeric else "CAST(NULL AS DOUBLE)"
-        mnt = "CAST(NULL AS VARCHAR)" if numeric else f"CAST(min({c}) AS VARCHAR)"
-        mxt = "CAST(NULL AS VARCHAR)" if numeric else f"CAST(max({c}) AS VARCHAR)"
+        mnt = "CAST(NULL AS VARCHAR)" if t == "double" else f"CAST(min({c}) AS VARCHAR)"
+        mxt = "CAST(NULL AS VARCHAR)" if t == "double" else f"CAST(max({c}) AS VARCHAR)"
         parts.append(f"""  SELECT '{c}' AS "column", '{t}' AS type, CAST(count(*) AS BIGINT) AS n_rows,
          CAST(count(*) - count({c}) AS BIGINT) AS n_null, CAST(count(DISTINCT {c}) AS BIGINT) AS n_distinct,
          {mn} AS min_num, {mx} AS max_num, {mnt} AS min_text, {mxt} AS max_text,
@@ -685,7 +690,7 @@ def _data_profile_sql() -> str:
 @register("data_profile", _data_profile_sql())
 def q_data_profile(spark, sf_dir):
     """Profile of the case table – per column type, rows, NULLs,
-    distinct values, min/max, constant flag (one aggregate pass)."""
+    distinct values, min/max, constant flag."""
     p = profile(td.cases(spark, sf_dir).select(*[c for c, _ in _PROFILE_COLS]))
     return p.withColumns({"min_num": _r("min_num"), "max_num": _r("max_num")})
 
@@ -850,18 +855,20 @@ def q_learning_curve_summary(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 
-@register("streaming_rule_counts", S.with_ctes(S.cases_cte(), S.hits_cte(td.RULES, "cases", "case_id, y")) + """
-SELECT rule_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN y = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_event
-FROM hits GROUP BY rule_id""")
+@register("streaming_rule_counts", S.with_ctes(S.cases_cte(), S.hits_cte(td.RULES, "cases", "case_id, y"),
+                                           S.values_cte("sr", "rule_id", [r.rule_id for r in td.RULES])) + """
+SELECT sr.rule_id, CAST(count(hits.rule_id) AS BIGINT) AS n,
+       CAST(coalesce(sum(CASE WHEN y = 0 THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_event
+FROM sr LEFT JOIN hits ON hits.rule_id = sr.rule_id GROUP BY sr.rule_id""")
 def q_streaming_rule_counts(spark, sf_dir):
     """Streaming J6 + per-rule counts: the case table is landed as Parquet
-    files in the shared folder, read back with ``readStream`` one file per
-    micro-batch, matched against the rules and counted with checkpointed
+    files in the shared folder, read back with ``readStream`` in micro-batches
+    of eight files, matched against the rules and counted with checkpointed
     state; the final counts equal the batch computation."""
     c = td.cases(spark, sf_dir)
     src = scratch_path(spark, "stream-source")
-    c.repartition(4, "case_id").write.mode("overwrite").parquet(src)
-    return stream_ops.rule_counts_from_files(spark, src, c.schema, td.RULES, event_label=0)
+    c.write.mode("overwrite").parquet(src)
+    return stream_ops.rule_counts_from_files(spark, src, c.schema, td.RULES, event_label=0, files_per_batch=8)
 
 
 # ---------------------------------------------------------------------------

@@ -55,8 +55,9 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's ``spark.checkpoint.dir``.
 
-    On a cluster this setting names a shared folder and is read as is.  Only
-    when it is unset (local tests) a fresh folder is made and registered.
+    On a cluster this setting names a shared folder and is read as is; without
+    it an error is raised, as other nodes do not see a folder of this machine.
+    Only on a local master a fresh folder is made and registered.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc_dir = spark.sparkContext.getCheckpointDir()
@@ -66,6 +67,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return conf_dir
     if sc_dir:
         return sc_dir
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
     local_dir = tempfile.mkdtemp(prefix="ruleweave-ckpt-")
     spark.sparkContext.setCheckpointDir(local_dir)
     try:  # mirror it in the conf when the deployment allows runtime changes

@@ -44,11 +44,12 @@ def stream_rule_counts(stream: DataFrame, rules: Sequence[Rule], event_label: in
 
 def run_complete_to_parquet(agg: DataFrame, out_path: str, checkpoint: str,
                             available_now: bool = True):
-    """Run a complete-mode aggregation; every micro-batch rewrites the
-    result table (idempotent per batch id).  Returns the finished query
-    (its ``recentProgress`` shows what each micro-batch read)."""
+    """Run a complete-mode aggregation; every micro-batch writes the whole
+    result to a folder of its own (a repeated batch rewrites its folder, and
+    earlier results stay whole meanwhile).  Returns the finished query (its
+    ``recentProgress`` shows what each micro-batch read)."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
+        batch.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
 
     w = (agg.writeStream.outputMode("complete").foreachBatch(write)
          .option("checkpointLocation", checkpoint))
@@ -59,12 +60,28 @@ def run_complete_to_parquet(agg: DataFrame, out_path: str, checkpoint: str,
 
 def rule_counts_from_files(spark: SparkSession, source_dir: str, schema: T.StructType,
                            rules: Sequence[Rule], event_label: int = 0,
-                           files_per_batch: int = 1) -> DataFrame:
-    """Stream the Parquet files of ``source_dir`` (several micro-batches),
-    keep the per-rule counts, and return the final result table."""
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-              .parquet(source_dir))
+                           files_per_batch: int | None = None) -> DataFrame:
+    """Stream the Parquet files of ``source_dir`` (in micro-batches of
+    ``files_per_batch`` files, by default all that are there), keep the per-rule
+    counts, and return the last result, with a row for every rule."""
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    stream = reader.parquet(source_dir)
     out = scratch_path(spark, "stream-rule-counts")
     ckpt = scratch_path(spark, "stream-checkpoint")
-    run_complete_to_parquet(stream_rule_counts(stream, rules, event_label), out, ckpt)
-    return spark.read.parquet(out)
+    done = run_complete_to_parquet(stream_rule_counts(stream, rules, event_label), out, ckpt)
+    every = spark.createDataFrame([(r.rule_id,) for r in rules], "rule_id string")
+    counts = last_result(spark, out, done, "rule_id string, n bigint, n_event bigint")
+    return every.join(counts, "rule_id", "left").select(
+        "rule_id", *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("n", "n_event")])
+
+
+def last_result(spark: SparkSession, out_path: str, query, schema: str) -> DataFrame:
+    """What the last micro-batch wrote; an empty table if there was none (an
+    empty source)."""
+    last = query.lastProgress
+    if not last or last["batchId"] < 0 or not any(p["numInputRows"] for p in query.recentProgress):
+        return spark.createDataFrame([], schema)
+    batch = max(p["batchId"] for p in query.recentProgress if p["numInputRows"])
+    return spark.read.parquet(f"{out_path}/batch={batch}")

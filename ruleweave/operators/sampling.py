@@ -140,6 +140,23 @@ def replicated_samples(df: DataFrame, strata: Sequence[str], sizes: Sequence[int
             .drop("_rank", "_n"))
 
 
+def temporal_sets(df: DataFrame, date_col: str, train_before: str, future_from: str,
+                  short_until: str, horizon_days: int = 0, tag: str = "dataset") -> DataFrame:
+    """M4: one row per case and data set it belongs to – ``train_pool`` (starts
+    ``horizon_days`` or more before ``train_before``, so that its outcome is
+    known by then), ``short_term`` (``future_from`` to ``short_until``, both
+    included) and ``mid_term`` (from ``future_from`` on).  The future sets
+    overlap; cases in none, or without a date, have no row.  A projection next
+    to the scan, no shuffle."""
+    d = F.to_date(F.col(date_col))
+    day = lambda s: F.lit(s).cast("date")
+    sets = F.array_compact(F.array(
+        F.when(F.date_add(d, int(horizon_days)) < day(train_before), F.lit("train_pool")),
+        F.when((d >= day(future_from)) & (d <= day(short_until)), F.lit("short_term")),
+        F.when(d >= day(future_from), F.lit("mid_term"))))
+    return df.select("*", F.explode(sets).alias(tag))
+
+
 def exclude(df: DataFrame, other: DataFrame, key: str = "case_id") -> DataFrame:
     """Rows of ``df`` whose key is not in ``other`` (left anti join)."""
     return df.join(other.select(key), key, "left_anti")

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions.levels import level_code
 from ..functions.rules import Rule, rule
+from ..operators.sampling import temporal_sets
 from .tables import read
 
 # ---------------------------------------------------------------------------
@@ -193,16 +194,8 @@ def score_expr(model: str) -> F.Column:
 
 
 def with_datasets(df: DataFrame) -> DataFrame:
-    """M4 on the case table: explode each case into the data sets it belongs
-    to (train_pool, short_term, mid_term; the two future sets overlap)."""
-    d = F.col("start_date")
-    sets = F.array_compact(F.array(
-        F.when(d < F.lit(TRAIN_POOL_BEFORE).cast("date"), F.lit("train_pool")),
-        F.when((d >= F.lit(FUTURE_START).cast("date")) & (d <= F.lit(SHORT_TERM_END).cast("date")),
-               F.lit("short_term")),
-        F.when(d >= F.lit(FUTURE_START).cast("date"), F.lit("mid_term")),
-    ))
-    return df.select("*", F.explode(sets).alias("dataset"))
+    """The case table in its data sets (M4, ``operators.sampling.temporal_sets``)."""
+    return temporal_sets(df, "start_date", TRAIN_POOL_BEFORE, FUTURE_START, SHORT_TERM_END)
 
 
 def scores(spark: SparkSession, sf_dir: str, with_features: bool = False,

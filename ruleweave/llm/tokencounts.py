@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
+
 _ENCODINGS: dict = {}
 
 #: Lengths per bucket of the two-level suffix sums.
@@ -57,8 +59,9 @@ def length_report(lengths: DataFrame, length_col: str = "n_tokens") -> DataFrame
     before the aggregation are summed map-side.
     """
     n = F.col(f"`{length_col}`")
-    hist = (lengths.where(n.isNotNull()).groupBy(n.cast("long").alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs"))
-            .withColumn("_b", F.floor(F.col("n_tokens") / BUCKET)))
+    hist = lengths.where(n.isNotNull()).groupBy(n.cast("long").alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs"))
+    # written, as it is used twice: documents are encoded once
+    hist = Scratch(lengths.sparkSession, "tokencounts").write(hist.withColumn("_b", F.floor(F.col("n_tokens") / BUCKET)), "histogram")
     part = hist.groupBy("_b").agg(F.sum("n_docs").alias("_d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("_t"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

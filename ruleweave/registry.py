@@ -705,6 +705,8 @@ NUM = td.NUMERIC_FEATURES
 CAT = td.NOMINAL_FEATURES
 CONFOUNDER_DROP = ["R1", "R4", "R7"]
 EVAL_SETS = ["test", "short_term", "mid_term"]
+# Fixed value: trees of every ensemble (forest trees, boosting rounds).
+TREES = 500
 
 
 def test_cases(spark, sf_dir):
@@ -731,8 +733,8 @@ def q_random_forest_scores(spark, sf_dir):
     per-split feature count tuned on a validation split (AUC), saved to the
     shared folder and loaded back, scoring the three evaluation sets
     (P(event) and class)."""
-    m = est.fit_random_forest(training_cases(spark, sf_dir), NUM, CAT, num_trees=100,
-                              max_depth=8, tune_subsets=["sqrt", "onethird", "all"])
+    m = est.fit_random_forest(training_cases(spark, sf_dir), NUM, CAT, num_trees=TREES,
+                              tune_subsets=["3", "5", "10"])
     path = scratch_path(spark, "rf-model")
     est.save_model(m, path)
     loaded = est.load_model(path)
@@ -742,8 +744,7 @@ def q_random_forest_scores(spark, sf_dir):
 @register("random_forest_importance", reuse_cases=True)
 def q_random_forest_importance(spark, sf_dir):
     """A26 + A7: random-forest feature importance, min–max scaled."""
-    m = est.fit_random_forest(training_cases(spark, sf_dir), NUM, CAT, num_trees=100,
-                              max_depth=8)
+    m = est.fit_random_forest(training_cases(spark, sf_dir), NUM, CAT, num_trees=TREES)
     return est.feature_importance(m, NUM, CAT)
 
 
@@ -751,7 +752,7 @@ def q_random_forest_importance(spark, sf_dir):
 def q_gbm_scores(spark, sf_dir):
     """R2 + R9 + R10: gradient-boosted trees on the training split, scoring
     the evaluation sets."""
-    m = est.fit_gbt(training_cases(spark, sf_dir), NUM, CAT, max_iter=100, step=0.05,
+    m = est.fit_gbt(training_cases(spark, sf_dir), NUM, CAT, max_iter=TREES, step=0.01,
                     max_depth=4)
     return _scores_out(m.transform(est.as_double(evaluation_sets(spark, sf_dir), NUM)))
 
@@ -760,7 +761,7 @@ def rulefit(spark, sf_dir):
     """R3 + A27 + R5: boosted trees (half-sampled, class-balanced) → all node
     rules → lasso on the rule indicators → the selected rules."""
     train = training_cases(spark, sf_dir)
-    gbm = est.fit_gbt(train, NUM, CAT, max_iter=40, step=0.1, max_depth=3, subsample=0.5,
+    gbm = est.fit_gbt(train, NUM, CAT, max_iter=TREES, step=0.001, max_depth=3, subsample=0.5,
                       balanced=True)
     labels = dict(zip(CAT, gbm.stages[0].labelsArray))
     cands = extract_rules(spark, gbm, NUM + CAT, labels, max_depth=3)
@@ -832,14 +833,14 @@ def _learning_curve(spark, sf_dir):
     tests = evaluation_sets(spark, sf_dir)
     return lc.learning_curve(training_cases(spark, sf_dir), tests, td.RULES, variants,
                              LC_SIZES, LC_REPLICATES, seed=SPLIT_SEED, modular=True,
-                             forest=(NUM, CAT), forest_trees=30)
+                             forest=(NUM, CAT), forest_trees=TREES)
 
 
 @register("learning_curve_auc", reuse_cases=True)
 def q_learning_curve_auc(spark, sf_dir):
     """R14 + M5 + R1: AUC of every (variant, size, replicate) cell on every
-    evaluation set – rule-model cells fitted in parallel (applyInPandas), the
-    random forest of each sample fitted as concurrent Spark ML jobs."""
+    evaluation set, with the rows and events that the sample really holds; all
+    cells are Spark ML fits, submitted side by side."""
     return _learning_curve(spark, sf_dir)[0]
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +27,7 @@ class Condition:
     op: str
     value: float | str | None = None
     values: tuple = ()
+    or_missing: bool = False  # a NULL (or NaN) satisfies the condition too
 
     def __post_init__(self):
         if self.op not in _NUM_OPS | _SET_OPS:
@@ -40,6 +41,10 @@ class Condition:
         text and parsing once per chunk avoids one driver↔JVM round trip per
         sub-expression, which dominates plan building for thousands of rules."""
         f = "`" + self.feature.replace("`", "``") + "`"
+        if self.or_missing:
+            known = replace(self, or_missing=False).to_spark_sql()
+            nan = f" OR isnan({f})" if self.op in _NUM_OPS and not isinstance(self.value, str) else ""
+            return f"({f} IS NULL{nan} OR {known})"
         if self.op in _SET_OPS:
             if not self.values:
                 return "false" if self.op == "in" else f"({f} IS NOT NULL)"
@@ -54,6 +59,9 @@ class Condition:
 
     def to_sql(self) -> str:
         f = self.feature
+        if self.or_missing:
+            nan = f" OR {f} = 'nan'::DOUBLE" if self.op in _NUM_OPS and not isinstance(self.value, str) else ""
+            return f"({f} IS NULL{nan} OR {replace(self, or_missing=False).to_sql()})"
         if self.op in _SET_OPS:
             if not self.values:
                 return "false" if self.op == "in" else f"({f} IS NOT NULL)"
@@ -66,9 +74,10 @@ class Condition:
         return f"coalesce({f} {op} {_sql_lit(self.value)}, false)"
 
     def text(self) -> str:
+        missing = " or missing" if self.or_missing else ""
         if self.op in _SET_OPS:
-            return f"{self.feature} {self.op} ({', '.join(map(str, self.values))})"
-        return f"{self.feature} {self.op} {self.value}"
+            return f"{self.feature} {self.op} ({', '.join(map(str, self.values))}){missing}"
+        return f"{self.feature} {self.op} {self.value}{missing}"
 
 
 def _sql_lit(v) -> str:

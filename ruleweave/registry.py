@@ -8,7 +8,7 @@ in both the query and its SQL twin so that engines agree to the last bit.
 from __future__ import annotations
 
 import contextvars
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +44,11 @@ ORACLE: dict[str, str] = {}
 
 DIGITS = 6
 
+# Columns that a query's branches read from the written case table.
+_SPLIT_COLS = ("case_id", "start_date", "y")
+_SCORE_COLS = (*_SPLIT_COLS, "n_lines", "priority_code")
+_RULE_COLS = (*_SPLIT_COLS, *td.CASE_FEATURES)
+
 # Per-query scope for the case table.  Queries whose plans fork (a statistic
 # joined back to the rows it came from, splits feeding samples feeding
 # models) would rebuild the case table once per branch; for those the case
@@ -63,11 +68,16 @@ def _scores(spark: SparkSession, sf_dir: str, with_features: bool = False) -> Da
     return td.scores(spark, sf_dir, with_features=with_features, case_table=_cases(spark, sf_dir))
 
 
-def register(name: str, sql: str | None = None, reuse_cases: bool = False):
+def register(name: str, sql: str | None = None, reuse_cases: bool | Sequence[str] = False):
+    """``reuse_cases``: the case table is written once for all branches of the
+    query's plan, with the named columns only (True: all)."""
     def deco(fn):
         if reuse_cases:
             def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-                token = _CASES.set((sf_dir, materialize(td.cases(spark, sf_dir), "cases")))
+                cases = td.cases(spark, sf_dir)
+                if reuse_cases is not True:
+                    cases = cases.select(*reuse_cases)
+                token = _CASES.set((sf_dir, materialize(cases, "cases")))
                 try:
                     return fn(spark, sf_dir)
                 finally:
@@ -228,7 +238,7 @@ def q_calibration_fixed(spark, sf_dir):
   qb AS (SELECT dataset, model, quantile_cont(prob, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS br
          FROM preds GROUP BY ALL),
   b AS (SELECT p.*, CAST({S.count_above_sql('p.prob', 'qb.br', 5)} AS INTEGER) AS bin
-        FROM preds p JOIN qb USING (dataset, model))"""), reuse_cases=True)
+        FROM preds p JOIN qb USING (dataset, model))"""), reuse_cases=_SCORE_COLS)
 def q_calibration_quantile(spark, sf_dir):
     """A13 + A15: equal-count (quintile) bins per data set and model, then
     the calibration table."""
@@ -245,7 +255,7 @@ def q_calibration_quantile(spark, sf_dir):
                       + (CASE WHEN acctbal > mn + 4 * ((mx - mn) / 5) THEN 1 ELSE 0 END) AS INTEGER) AS bin
         FROM ds JOIN rng USING (dataset))
 SELECT dataset, bin, CAST(count(*) AS BIGINT) AS n, min(acctbal) AS min_value, max(acctbal) AS max_value
-FROM b GROUP BY ALL""", reuse_cases=True)
+FROM b GROUP BY ALL""", reuse_cases=("case_id", "start_date", "acctbal"))
 def q_equal_width_bins(spark, sf_dir):
     """``cut(x, 5)`` equal-width bins of acctbal within each data set."""
     c = td.with_datasets(_cases(spark, sf_dir).select("case_id", "start_date", "acctbal"))
@@ -307,7 +317,7 @@ SELECT dataset, model, round(q1, 6) AS q1, round(median, 6) AS median, round(q3,
        round(max(CASE WHEN inside THEN prob END), 6) AS whisker_high,
        CAST(sum(CASE WHEN inside THEN 0 ELSE 1 END) AS BIGINT) AS n_outliers,
        round(avg(prob), 6) AS mean, CAST(count(*) AS BIGINT) AS n
-FROM k GROUP BY dataset, model, q1, median, q3""", reuse_cases=True)
+FROM k GROUP BY dataset, model, q1, median, q3""", reuse_cases=_SCORE_COLS)
 def q_box_stats(spark, sf_dir):
     """Box-plot statistics (+ mean) of predicted risk per data set and model."""
     return _round_all(st.box_stats(_scores(spark, sf_dir), ["dataset", "model"], "prob"), [])
@@ -345,7 +355,7 @@ _KDE_STEP = 1.0 / (_KDE_N - 1)
 SELECT d.dataset, d.model, CAST(d.gi AS INTEGER) AS grid_index, round(0.0 + d.gi * {_KDE_STEP!r}, 6) AS x,
        round(d.s * {1.0 / (2 * 3.141592653589793) ** 0.5!r} / (bw.n * bw.bandwidth), 6) AS density,
        round(bw.bandwidth, 6) AS bandwidth
-FROM d JOIN bw USING (dataset, model)""", reuse_cases=True)
+FROM d JOIN bw USING (dataset, model)""", reuse_cases=_SCORE_COLS)
 def q_kde_grid(spark, sf_dir):
     """Gaussian KDE (bw.nrd0) of predicted risk on a 64-point grid."""
     k = dens.kde_grid(_scores(spark, sf_dir), ["dataset", "model"], "prob", 0.0, 1.0, _KDE_N)
@@ -384,7 +394,7 @@ def training_cases(spark, sf_dir):
 
 
 @register("stratified_split", S.with_ctes(*_split_sql_ctes()) + """
-SELECT case_id, y, split FROM split""", reuse_cases=True)
+SELECT case_id, y, split FROM split""", reuse_cases=_SPLIT_COLS)
 def q_stratified_split(spark, sf_dir):
     """M1 + M6 + P5: exact stratified 20 % train / 80 % test split of the
     train pool by y, seeded hash order."""
@@ -396,7 +406,7 @@ def q_stratified_split(spark, sf_dir):
   rs AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY
                    {smp.modular_order_sql('case_id', str(TEST_SEED))}, case_id) AS rk2,
                 count(*) OVER (PARTITION BY segment) AS n_seg FROM rest)
-SELECT case_id, y, segment FROM rs WHERE rk2 <= round_even(0.1 * n_seg, 0)""", reuse_cases=True)
+SELECT case_id, y, segment FROM rs WHERE rk2 <= round_even(0.1 * n_seg, 0)""", reuse_cases=(*_SPLIT_COLS, "segment"))
 def q_test_sample(spark, sf_dir):
     """J3 + M2: train-pool cases not in the training split (anti join), then
     an exact 10 % sample per segment (round half to even)."""
@@ -409,7 +419,7 @@ def q_test_sample(spark, sf_dir):
 @register("stratified_n_per_class", S.with_ctes(*_split_sql_ctes()) + f""",
   r AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY
                   {smp.modular_order_sql('case_id', str(TEST_SEED))}, case_id) AS rk3 FROM train)
-SELECT case_id, y FROM r WHERE rk3 <= 400""", reuse_cases=True)
+SELECT case_id, y FROM r WHERE rk3 <= 400""", reuse_cases=_SPLIT_COLS)
 def q_stratified_n(spark, sf_dir):
     """M3: 400 training cases per class (all of a smaller class)."""
     s = smp.stratified_n(training_cases(spark, sf_dir), ["y"], 400, "case_id",
@@ -423,7 +433,7 @@ def q_stratified_n(spark, sf_dir):
                    {smp.modular_order_sql('case_id', f'{SPLIT_SEED} + replicate')}, case_id) AS rk4 FROM rep),
   g AS (SELECT * FROM (VALUES {', '.join(f'({n // 2})' for n in LC_SIZES)}) s(n_per_stratum))
 SELECT CAST(replicate AS INTEGER) AS replicate, CAST(2 * n_per_stratum AS INTEGER) AS n_train, case_id, y
-FROM rk JOIN g ON rk.rk4 <= g.n_per_stratum""", reuse_cases=True)
+FROM rk JOIN g ON rk.rk4 <= g.n_per_stratum""", reuse_cases=_SPLIT_COLS)
 def q_learning_curve_samples(spark, sf_dir):
     """M5: the learning-curve sample grid – 7 sizes × 5 replicates, n/2 cases
     per class each, one seeded order per replicate."""
@@ -482,7 +492,7 @@ def training_facts(spark, sf_dir):
 
 
 @register("rule_facts", S.with_ctes(*_split_sql_ctes(), *_facts_sql()) + """
-SELECT rule_id, n_train, round(empirical_risk, 6) AS empirical_risk FROM facts""", reuse_cases=True)
+SELECT rule_id, n_train, round(empirical_risk, 6) AS empirical_risk FROM facts""", reuse_cases=_RULE_COLS)
 def q_rule_facts(spark, sf_dir):
     """Per rule the matched training cases and empirical risk."""
     return _round_all(training_facts(spark, sf_dir), [])
@@ -519,7 +529,7 @@ SELECT rule_id, round(expert_assessment, 6) AS expert_assessment, round(ea_sd, 6
        round(expert_assessment + {t975_sql('n_experts - 1')} * se, 6) AS ci_upper,
        risk_bin, round(vahe, 6) AS vahe, round(abs_vahe, 6) AS abs_vahe,
        round(abs_vahe_x_stdv, 6) AS abs_vahe_x_stdv, CAST(penalty_rank AS DOUBLE) AS penalty_rank
-FROM dj""", reuse_cases=True)
+FROM dj""", reuse_cases=_RULE_COLS)
 def q_expert_disagreement(spark, sf_dir):
     """R11 (+ A1, J2, A3, P8, A11, A12, A14): expert vs empirical risk per
     rated rule, 95 % interval of the expert mean, |Δrisk| / sd and the
@@ -534,7 +544,7 @@ def q_expert_disagreement(spark, sf_dir):
                                     S.values_cte("allr", "rule_id", [r.rule_id for r in td.RULES])) + """
 SELECT CAST(k.k AS INTEGER) AS k, a.rule_id
 FROM allr a LEFT JOIN dj USING (rule_id) CROSS JOIN (SELECT range AS k FROM range(1, 5)) k
-WHERE dj.penalty_rank IS NULL OR dj.penalty_rank <= k.k""", reuse_cases=True)
+WHERE dj.penalty_rank IS NULL OR dj.penalty_rank <= k.k""", reuse_cases=_RULE_COLS)
 def q_kept_rules(spark, sf_dir):
     """P12 + J2 (R12 selection): for k = 1..4 the rules kept in the
     expert-augmented model – penalty rank ≤ k or not rated."""
@@ -878,7 +888,7 @@ def q_streaming_rule_counts(spark, sf_dir):
 
 
 @register("rule_facts_report", S.with_ctes(*_split_sql_ctes(), *_facts_sql()) + """
-SELECT rule_id, n_train, round(empirical_risk, 3) AS empirical_risk FROM facts""", reuse_cases=True)
+SELECT rule_id, n_train, round(empirical_risk, 3) AS empirical_risk FROM facts""", reuse_cases=_RULE_COLS)
 def q_rule_facts_report(spark, sf_dir):
     """The rule facts rounded to 3 digits, written as a CSV report to the
     shared folder and read back with a fixed schema."""
@@ -922,7 +932,7 @@ def q_distinct_profiles(spark, sf_dir):
   c AS (SELECT y, count(*) AS n_class FROM train GROUP BY y),
   t AS (SELECT sum(n_class) AS n, count(*) AS k FROM c)
 SELECT c.y, CAST(c.n_class AS BIGINT) AS n_class, round(t.n * 1.0 / (t.k * c.n_class), 6) AS weight
-FROM c CROSS JOIN t""", reuse_cases=True)
+FROM c CROSS JOIN t""", reuse_cases=_SPLIT_COLS)
 def q_class_weights(spark, sf_dir):
     """Inverse class-frequency weights n / (k · n_class) of the training
     split (the weights of the balanced boosted-tree fit)."""

@@ -16,7 +16,7 @@ from .operators.match import match_rules, rule_score
 from .operators.stats import minmax_scale, mode
 from .plans import augmentation as aug
 from .plans import disagreement as dis
-from .registry import (CONFOUNDER_DROP, _disagreement_sql_ctes, _r, _scores, _split_sql_ctes, disagreement_table,
+from .registry import (_RULE_COLS, CONFOUNDER_DROP, _disagreement_sql_ctes, _r, _scores, _split_sql_ctes, disagreement_table,
                        register, training_cases)
 from .sources import testdata as td
 from .sources.tables import read
@@ -114,7 +114,7 @@ def q_fixed_rule_scores(spark, sf_dir) -> DataFrame:
 SELECT 'base' AS model, rule_id FROM allr
 UNION ALL SELECT 'confounder', rule_id FROM allr WHERE rule_id NOT IN ({", ".join(f"'{r}'" for r in CONFOUNDER_DROP)})
 UNION ALL SELECT 'k<=' || k.k, a.rule_id FROM allr a LEFT JOIN dj USING (rule_id) CROSS JOIN (SELECT range AS k FROM range(1, 5)) k
-WHERE dj.penalty_rank IS NULL OR dj.penalty_rank <= k.k""", reuse_cases=True)
+WHERE dj.penalty_rank IS NULL OR dj.penalty_rank <= k.k""", reuse_cases=_RULE_COLS)
 def q_model_rule_lists(spark, sf_dir) -> DataFrame:
     """R12 + R13: the rules of every model – all, those kept up to each penalty
     rank, and all but the named ones."""
@@ -131,7 +131,7 @@ MANY_RULES = [rule(f"S{i:03}", ("totalprice", ">", 2000.0 * i), ("n_lines", "<="
 SELECT 'S' || lpad(CAST(i AS VARCHAR), 3, '0') AS rule_id, CAST(count(case_id) AS BIGINT) AS n_train,
        round(avg(CASE WHEN y = 0 THEN 1.0 WHEN y IS NOT NULL THEN 0.0 END), 6) AS empirical_risk
 FROM (SELECT range AS i FROM range(0, 150)) r
-LEFT JOIN cases ON totalprice > 2000.0 * i AND n_lines <= 1 + i % 7 GROUP BY i""", reuse_cases=True)
+LEFT JOIN cases ON totalprice > 2000.0 * i AND n_lines <= 1 + i % 7 GROUP BY i""", reuse_cases=("y", "totalprice", "n_lines"))
 def q_many_rules(spark, sf_dir) -> DataFrame:
     """R4 + R6 with more rules than one projection holds (150, two chunks)."""
     from .registry import _cases

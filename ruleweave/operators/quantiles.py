@@ -6,8 +6,9 @@ in one aggregation buffer – one task per group, memory ∝ distinct values.
 Here the order statistics are found by histogram refinement:
 
 1. (group, value, count) – a partial aggregate (ties collapse);
-2. per group min / max / n (small); the value range is cut into B buckets
-   and the counts per (group, bucket) form a small table;
+2. per group n and approximate quantiles of its distinct values (small); they
+   cut the group into B buckets of about equally many distinct values, wherever
+   these lie, and the counts per (group, bucket) form a small table;
 3. a cumulative sum over that table locates the bucket holding each needed
    order statistic (ranks ⌊h⌋ and ⌈h⌉ of h = (n−1)·p + 1);
 4. only the (value, count) rows of those few buckets are ranked (window per
@@ -26,7 +27,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bins import attach_stats
-from ..session import default_buckets, materialize
+from ..session import materialize
+
+N_BUCKETS = 128
 
 
 def value_counts_table(df: DataFrame, value: str, group_cols: Sequence[str] = ()) -> DataFrame:
@@ -36,6 +39,17 @@ def value_counts_table(df: DataFrame, value: str, group_cols: Sequence[str] = ()
             .agg(F.count(F.lit(1)).alias("_c")))
 
 
+def bucketed(counts: DataFrame, group_cols: Sequence[str], n_buckets: int) -> tuple[DataFrame, DataFrame]:
+    """(per-group _n, the count table with _n and a bucket number _b that never
+    falls as the value rises)."""
+    g = list(group_cols)
+    cuts = F.array(*[F.lit(i / n_buckets) for i in range(1, n_buckets)])
+    rng = (counts.groupBy(*g) if g else counts.groupBy()).agg(
+        F.sum("_c").alias("_n"), F.percentile_approx("_v", cuts, F.lit(20 * n_buckets)).alias("_edges"))
+    b = F.size(F.filter("_edges", lambda e: e < F.col("_v")))
+    return rng.select(*g, "_n"), attach_stats(counts, rng, g).withColumn("_b", b).drop("_edges")
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                     group_cols: Sequence[str] = (), n_buckets: int | None = None,
                     counts: DataFrame | None = None, out: str = "q") -> DataFrame:
@@ -44,15 +58,10 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     table feeds several branches below, so it is written once to the shared
     folder (eagerly) unless it was passed in."""
     g = list(group_cols)
-    B = int(n_buckets or default_buckets(df, 1024))
+    B = int(n_buckets or N_BUCKETS)
     vc = counts if counts is not None else \
         materialize(value_counts_table(df, value, g), "quantile-counts")
-    rng = (vc.groupBy(*g) if g else vc.groupBy()).agg(
-        F.min("_v").alias("_mn"), F.max("_v").alias("_mx"), F.sum("_c").alias("_n"))
-    span = F.col("_mx") - F.col("_mn")
-    bucket = F.when(span > 0, F.least(F.floor((F.col("_v") - F.col("_mn")) / span * F.lit(B)),
-                                      F.lit(B - 1))).otherwise(F.lit(0)).cast("int")
-    cb = attach_stats(vc, rng, g).withColumn("_b", bucket)
+    rng, cb = bucketed(vc, g, B)
 
     per_b = cb.groupBy(*g, "_b", "_n").agg(F.sum("_c").alias("_bc"))
     wb = (Window.partitionBy(*g).orderBy("_b") if g else Window.orderBy("_b")) \
@@ -78,7 +87,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
               .filter((F.col("_lr") > F.col("_lo")) & (F.col("_lr") <= F.col("_hi")))
               .groupBy(*g, "k").agg(F.max(F.when(F.col("side") == "lo", F.col("_v"))).alias("_xl"),
                                     F.max(F.when(F.col("side") == "hi", F.col("_v"))).alias("_xh")))
-    picked = attach_stats(picked, rng.select(*g, "_n"), g)
+    picked = attach_stats(picked, rng, g)
     p_arr = F.array(*[F.lit(float(p)) for p in probs])
     pos = (F.col("_n") - 1).cast("double") * F.element_at(p_arr, F.col("k") + 1)
     lo, hi = F.floor(pos), F.ceil(pos)

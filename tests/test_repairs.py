@@ -111,3 +111,13 @@ def test_checkpoint_folder_is_needed_on_a_cluster():
 
     with pytest.raises(ValueError):
         ensure_checkpoint_dir(Session())
+
+
+def test_quantile_buckets_do_not_follow_an_outlier(spark):
+    from ruleweave.operators.quantiles import bucketed, exact_quantiles, value_counts_table
+    df = spark.range(20_000).select(F.when(F.col("id") == 0, 1e12).otherwise(F.col("id") / 20_000).alias("x"))
+    counts = value_counts_table(df, "x")
+    sizes = [r["count"] for r in bucketed(counts, [], 64)[1].groupBy("_b").count().collect()]
+    assert max(sizes) < 3 * 20_000 / 64
+    want = df.agg(F.percentile("x", F.array(F.lit(0.1), F.lit(0.5), F.lit(1.0)))).first()[0]
+    assert exact_quantiles(df, "x", [0.1, 0.5, 1.0]).first()[0] == want

@@ -121,3 +121,14 @@ def test_quantile_buckets_do_not_follow_an_outlier(spark):
     assert max(sizes) < 3 * 20_000 / 64
     want = df.agg(F.percentile("x", F.array(F.lit(0.1), F.lit(0.5), F.lit(1.0)))).first()[0]
     assert exact_quantiles(df, "x", [0.1, 0.5, 1.0]).first()[0] == want
+
+
+def test_auc_of_rare_events_spreads_over_buckets(spark):
+    from ruleweave.operators.auc import _bucket, grouped_auc
+    df = spark.range(4000).select((F.col("id") / 4_000_000).alias("prob"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+    df = df.union(spark.createDataFrame([(0.0, 1), (1.0, 0), (1.0, 1)], "prob double, y int"))
+    assert df.select(_bucket(F.col("prob"), 0.0, 1.0, 1024).alias("b")).distinct().count() > 40
+    rows = df.collect()
+    pos, neg = [r.prob for r in rows if r.y == 0], [r.prob for r in rows if r.y == 1]
+    want = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
+    assert abs(grouped_auc(df, []).first().auc - want) < 1e-9

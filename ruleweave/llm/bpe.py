@@ -22,15 +22,18 @@ import struct
 import tempfile
 import unicodedata
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .scratch import small_batches
+
 LEXICON_WORDS = 1 << 16
 #: Entries of a worker's summary while it counts words, and of its memo of encoded words.
-SUMMARY, MEMO = 1 << 16, 400_000
+SUMMARY, MEMO = 1 << 15, 150_000
 
 def _class(*kinds: str) -> str:
     """Characters below U+0370 of these general categories, as ranges for ``re``."""
@@ -70,7 +73,7 @@ class Vocabulary:
         suffix = m["end_of_word_suffix"]
         letters = _byte_letters()
         self.byte = {c: i for i, c in enumerate(letters)}
-        self.library = Tokenizer.from_file(path)
+        self.path, self._library = path, None
         self.inner = [self.ids[c] for c in letters]
         self.last = [self.ids[c + suffix] for c in letters]
         self.merges = {}
@@ -82,6 +85,13 @@ class Vocabulary:
         self.token.update({i: t for t, i in self.special.items()})
         self.special_re = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
 
+    @property
+    def library(self) -> Tokenizer:
+        """The tokenizer itself, read only where its own splitter is needed."""
+        if self._library is None:
+            self._library = Tokenizer.from_file(self.path)
+        return self._library
+
     def merge(self, word: bytes) -> list[int]:
         """Token ids of one word (its UTF-8 bytes, one at least), exactly as the ranks say."""
         inner, merges = self.inner, self.merges
@@ -267,6 +277,7 @@ def frequent_words(docs: DataFrame, vocabulary: str, text_col: str, k: int = LEX
         if kept:
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([c for _, c in kept], pa.int64())], ["word", "n"])
 
+    small_batches(docs.sparkSession)
     found = docs.select(F.col(f"`{text_col}`").alias("t")).mapInArrow(summarise, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     return [r.word for r in found.orderBy(F.desc("n"), "word").limit(k).collect()]
 
@@ -345,6 +356,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, lexicon: bytes, text_col: str =
     result are replaced).  No shuffle; the broadcast lexicon holds a bounded
     number of words.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     fields = "n_tokens bigint, ids_text string, ids_sha256 string, decoded string, decoded_sha256 string"
 
@@ -359,8 +371,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, lexicon: bytes, text_col: str =
             yield pa.StructArray.from_arrays(
                 [pa.array(c, t) for c, t in zip(cols, (pa.int64(), *[pa.string()] * 4))],
                 ["n_tokens", "ids_text", "ids_sha256", "decoded", "decoded_sha256"])
-
-    from collections.abc import Iterator
+        enc.clear()  # the memo's memory goes back after every task
 
     encode.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     udf = F.arrow_udf(encode, f"struct<{fields.replace(' ', ':').replace(',:', ',')}>")

@@ -19,7 +19,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, small_batches
 from .textops import text_buffers, text_slices
 
 DIM = 2048
@@ -133,6 +133,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lan
     the text, so equal texts are in or out together.  A model learned from no
     row calls every text ``und``; one learned from one language knows only it."""
     spark = rows.sparkSession
+    small_batches(spark)
     label, text = F.col(f"`{lang_col}`"), F.col(f"`{text_col}`")
     labelled = rows.select(label.alias("lang"), text.alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
@@ -179,6 +180,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
         return pa.StructArray.from_arrays([pa.array(lang.tolist(), pa.string()), pa.array(score)], fields=list(kind))
 
     udf = F.arrow_udf(_annotated(_feature_udf(judge)), "struct<lang:string,score:double>")
+    small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in {"lang_pred", "score"}]
     text = F.col(f"`{text_col}`")
     out = docs.select(*[F.col(f"`{c}`") for c in keep], udf(text).alias("_p"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_letter"))

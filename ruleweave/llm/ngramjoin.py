@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .groups import chunk_pairs, map_units
-from .scratch import Scratch
+from .scratch import Scratch, small_batches
 from .textops import U64, bounds, mix, shingle_sets, text_buffers, text_slices, word_hashes, word_spans
 
 K = 5
@@ -219,6 +219,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if percent < 80:
         raise ValueError("similarity must be 80 percent or more")
     spark = docs.sparkSession
+    small_batches(spark)
     tmp = Scratch(spark, "ngramjoin")
     text = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_elements(text, docs.count()))

@@ -18,7 +18,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, small_batches
 from .textops import U64, mix, text_buffers, text_slices, word_hashes, word_spans
 
 #: Bound on the labelled rows that the fits see.
@@ -96,6 +96,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text", out: str = "_stats"
 
     run.__annotations__ = {"text": pa.Array, "return": pa.Array}
     udf = F.arrow_udf(run, "struct<" + ",".join(f"{s}:double" for s in STATISTICS) + ">")
+    small_batches(docs.sparkSession)
     return docs.withColumn(out, udf(F.col(f"`{text_col}`")))
 
 

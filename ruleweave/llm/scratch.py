@@ -24,6 +24,17 @@ def shuffle_cleanup(spark: SparkSession):
         spark.conf.set(_CLEANUP, old)
 
 
+_BATCH, _BATCH_DEFAULT, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session hand texts to Python in batches of 4 MB, so that a
+    worker's memory does not grow with the texts of 10,000 rows; a size that the
+    session has set itself stays."""
+    if spark.conf.get(_BATCH).rstrip("b") == str(_BATCH_DEFAULT):
+        spark.conf.set(_BATCH, _BATCH_BYTES)
+
+
 class Scratch:
     """Writes intermediate tables and deletes those no longer needed."""
 

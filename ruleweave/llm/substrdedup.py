@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, small_batches
 from .textops import U64, text_buffers, text_slices, window_hashes, word_hashes, word_spans
 
 WINDOW, GRAM = 13, 5
@@ -274,6 +274,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     minimisers and strings are told apart by 64-bit hashes (strings by two).
     """
     spark = docs.sparkSession
+    small_batches(spark)
     tmp = Scratch(spark, "substrdedup")
     columns = [c for c in docs.columns if c not in {"n_words", "n_removed", "kept_text"}]
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))

@@ -12,7 +12,7 @@ import pyarrow as pa
 U64 = np.uint64
 #: Bytes of text handled at once by the numpy code (a longer single text is
 #: still handled whole, as one slice of its own).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def _stream(n: int, seed: int) -> np.ndarray:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, small_batches
 
 _ENCODINGS: dict = {}
 
@@ -43,6 +43,7 @@ def token_counts(docs: DataFrame, vocabulary: str, pattern: str, text_col: str =
         enc = _encoding(vocabulary, pattern)
         return pa.array(np.fromiter((len(enc.encode_ordinary(x)) if x else 0 for x in text.to_pylist()), np.int64, len(text)))
 
+    small_batches(docs.sparkSession)
     return docs.withColumn(out, count(F.col(f"`{text_col}`")))
 
 

@@ -95,19 +95,22 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
                 alpha: float = 0.7, period: int = PERIOD, seed: int = 9, weights: DataFrame | None = None,
                 max_missing: float = 0.1) -> DataFrame:
     """Add ``mix_slot`` (the slot that serves the row's block), ``mix_units``
-    (the source's target in blocks per ``period`` slots) and ``in_mix`` to
-    every row.
+    (the source's target in blocks per ``period`` slots), ``in_mix`` and
+    ``on_target`` to every row.
 
     Targets come from ``weights`` (source, units that add up to ``period``) or
-    are n ** alpha.  ``in_mix`` holds up to the slot in which the first source
-    runs out of whole blocks: until there the mixture follows the targets to
-    less than one block at every slot.  No row is dropped or repeated.  A null
-    source is a source of its own; repeated ids keep one place each, in an
-    order made by the row's hash; an empty table gives an empty result; other
-    columns stay (those named like a result are replaced).  At most ``period``
-    sources; more raise an error.
+    are n ** alpha.  ``on_target`` holds up to the slot in which the first source
+    lacks a whole block: until there the mixture follows the targets to less
+    than one block at every slot.  ``in_mix`` goes on until sources with more
+    than ``max_missing`` of the targets have run out: sources that still have
+    blocks follow their targets to less than one block, but the slots of those
+    that have run out stay empty, so their deviation grows with every period.
+    No row is dropped or repeated.  A null source is a source of its own;
+    repeated ids keep one place each, in an order made by the row's hash; an
+    empty table gives an empty result; other columns stay (those named like a
+    result are replaced).  At most ``period`` sources; more raise an error.
     """
-    results = {"mix_slot", "mix_units", "in_mix"}
+    results = {"mix_slot", "mix_units", "in_mix", "on_target"}
     cols = [c for c in docs.columns if c not in results]
     base = docs.select(*[F.col(f"`{c}`") for c in cols], F.col(f"`{source_col}`").alias("_source"), F.col(f"`{id_col}`").alias("_id"))
     sizes = base.groupBy(F.col("_source").alias("source")).agg(F.count(F.lit(1)).alias("n"))
@@ -121,17 +124,22 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     slots = schedule.groupBy(F.col("source").alias("_ss"), F.col("units").alias("_su")).agg(
         F.array_sort(F.collect_list(F.struct("unit", "slot"))).alias("_slots"))
     per = units.join(slots, units["source"].eqNullSafe(slots["_ss"]))
-    # the slot of the first block that the source no longer has
-    out_at = (F.floor(blocks / F.col("units")) * period + F.get("_slots", F.pmod(blocks, F.col("units")).cast("int"))["slot"])
-    per = per.select(F.col("source").alias("_ps"), F.col("units").alias("mix_units"), "_slots", out_at.cast("long").alias("_out"))
+
+    def slot_of(j: Column, units: Column) -> Column:
+        return (F.floor(j / units) * period + F.get("_slots", F.pmod(j, units).cast("int"))["slot"]).cast("long")
+
+    # the slots of the first block that the source no longer has, and no longer has whole
+    per = per.select(F.col("source").alias("_ps"), F.col("units").alias("mix_units"), "_slots", slot_of(blocks, F.col("units")).alias("_out"),
+                     slot_of(F.floor(F.col("n") / F.lit(block_rows)), F.col("units")).alias("_short"))
     # units of the sources that are out at each source's end; the first end with too many
     gone = F.sum("mix_units").over(Window.orderBy("_out").rangeBetween(Window.unboundedPreceding, Window.currentRow))
     late = F.when(F.col("_gone") > F.lit(max_missing * period), F.col("_out"))
-    per = per.withColumn("_gone", gone).withColumn("_end", F.min(late).over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    per = per.withColumn("_gone", gone).withColumns({"_end": F.min(late).over(everything), "_first": F.min("_short").over(everything)})
     rows = numbered(base, "_id", "_source", seed)
     # one row per source, at most ``period`` rows
     rows = rows.join(F.broadcast(per), rows["_source"].eqNullSafe(per["_ps"]), "left")
     j = F.floor(F.col("_rank") / F.lit(block_rows))
-    slot = (F.floor(j / F.col("mix_units")) * period + F.get("_slots", F.pmod(j, F.col("mix_units")).cast("int"))["slot"]).cast("long")
-    return rows.withColumn("mix_slot", slot).withColumn("in_mix", F.col("mix_slot") < F.col("_end")).select(
-        *[F.col(f"`{c}`") for c in cols], "mix_slot", "mix_units", "in_mix")
+    rows = rows.withColumn("mix_slot", slot_of(j, F.col("mix_units")))
+    return rows.withColumns({"in_mix": F.col("mix_slot") < F.col("_end"), "on_target": F.col("mix_slot") < F.col("_first")}).select(
+        *[F.col(f"`{c}`") for c in cols], "mix_slot", "mix_units", "in_mix", "on_target")

@@ -68,3 +68,27 @@ def test_too_many_sources_raise(spark):
 def test_no_python_on_the_path(spark):
     plan = M.mix_sources(_docs(spark, {"a": 9, "b": 9}))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_deviation_over_the_whole_marked_ranges(spark):
+    sizes = {"a": 900, "b": 200, "c": 58, None: 130, "d": 5}
+    got = M.mix_sources(_docs(spark, sizes), block_rows=4, period=100).collect()
+    units = {r.source: r.mix_units for r in got}
+    rows = {s: sorted(r.mix_slot for r in got if r.source == s) for s in sizes}
+    bound = max(r.mix_slot for r in got if r.on_target) + 1
+    end = max(r.mix_slot for r in got if r.in_mix) + 1
+    assert all(r.on_target == (r.mix_slot < bound) for r in got) and 0 < bound < end
+    worst = 0
+    for t in range(end + 1):
+        gone = 0
+        for s in sizes:
+            target = Fraction(units[s] * t, 100)
+            off = abs(len({x for x in rows[s] if x < t}) - target)  # in blocks
+            worst = max(worst, off)
+            if t <= bound:
+                assert off < 1 and abs(sum(x < t for x in rows[s]) - 4 * target) < 4
+            if off >= 1:  # only sources that have run out
+                assert sum(x < t for x in rows[s]) == sizes[s]
+                gone += units[s]
+        assert gone <= 10
+    assert worst > 1

@@ -18,53 +18,64 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Slots of a period for up to so many sources; more sources get a multiple of it.
 PERIOD = 1000
 
 
-def target_units(sizes: DataFrame, alpha: float, period: int) -> DataFrame:
-    """(source, n, units): weights proportional to n ** alpha as whole units
-    that add up to ``period``, one at least each (largest remainders, ties by
-    name).  ``sizes`` has a row per source."""
+def target_units(sizes: DataFrame, alpha: float, period: int | None) -> DataFrame:
+    """(source, n, units, period): weights proportional to n ** alpha as whole
+    units that add up to ``period`` (the least multiple of ``PERIOD`` that gives
+    every source a slot, where none is given), one at least each (largest
+    remainders, ties by name).  ``sizes`` has a row per source."""
     w = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     raw = sizes.withColumn("_p", F.pow("n", F.lit(float(alpha))))
-    too_many = F.raise_error(F.lit(f"more than {period} sources for a period of {period} slots"))
-    raw = raw.withColumn("_p", F.when(F.count(F.lit(1)).over(w) <= period, F.col("_p")).otherwise(too_many))
-    raw = raw.withColumn("_share", F.col("_p") / F.sum("_p").over(w) * (F.lit(period) - F.count(F.lit(1)).over(w)))
+    if period is None:
+        raw = raw.withColumn("period", (F.ceil(F.count(F.lit(1)).over(w) / F.lit(PERIOD)) * PERIOD).cast("long"))
+    else:
+        too_many = F.raise_error(F.lit(f"more than {period} sources for a period of {period} slots"))
+        raw = raw.withColumn("period", F.lit(period).cast("long"))
+        raw = raw.withColumn("_p", F.when(F.count(F.lit(1)).over(w) <= period, F.col("_p")).otherwise(too_many))
+    raw = raw.withColumn("_share", F.col("_p") / F.sum("_p").over(w) * (F.col("period") - F.count(F.lit(1)).over(w)))
     raw = raw.withColumn("_base", F.floor("_share"))
-    raw = raw.withColumn("_left", F.lit(period) - F.count(F.lit(1)).over(w) - F.sum("_base").over(w))
+    raw = raw.withColumn("_left", F.col("period") - F.count(F.lit(1)).over(w) - F.sum("_base").over(w))
     order = Window.orderBy(F.desc(F.col("_share") - F.col("_base")), F.asc_nulls_first("source"))
     units = 1 + F.col("_base") + F.when(F.row_number().over(order) <= F.col("_left"), 1).otherwise(0)
-    return raw.select("source", "n", units.cast("long").alias("units"))
+    return raw.select("source", "n", units.cast("long").alias("units"), "period")
 
 
-def _deadline(j: Column, units: Column, period: int) -> Column:
+def _deadline(j: Column, units: Column, period: Column) -> Column:
     """ceil((j + 1) * period / units), in whole numbers."""
-    return F.floor(((j + 1) * F.lit(period) + units - 1) / units)
+    return F.floor(((j + 1) * period + units - 1) / units)
 
 
-def period_schedule(units: DataFrame, period: int) -> DataFrame:
+def period_schedule(units: DataFrame, period: int | None = None) -> DataFrame:
     """(source, unit, slot): for every source and each of its blocks in one
     period, the slot of the period that serves it.  ``units`` holds the
-    targets of all sources (their number is at most ``period``)."""
-    row = units.groupBy().agg(F.array_sort(F.collect_list(F.struct(F.col("source"), F.col("units")))).alias("src"))
-    row = row.withColumn("src", F.transform("src", lambda s, i: F.struct(i.alias("i"), s["source"].alias("source"), s["units"].alias("units"))))
+    targets of all sources (their number is at most the period) and, where no
+    ``period`` is given, the period in a column of this name.  The work is
+    slots times sources, in one row."""
+    slots = F.max("period") if period is None else F.max(F.lit(period).cast("long"))
+    row = units.groupBy().agg(F.array_sort(F.collect_list(F.struct(F.col("source"), F.col("units")))).alias("src"), slots.alias("period"))
+    p = F.col("period")
+    row = row.where(F.size("src") > 0).withColumn("src", F.transform("src", lambda s, i: F.struct(i.alias("i"), s["source"].alias("source"), s["units"].alias("units"))))
 
     start = F.struct(F.transform("src", lambda s: F.lit(0).cast("long")).alias("next"),
                      F.array().cast("array<struct<i:int,unit:bigint,slot:int>>").alias("out"))
 
     def step(acc: Column, t: Column) -> Column:
         state = F.transform("src", lambda s: F.struct(
-            _deadline(F.get(acc["next"], s["i"]), s["units"], period).alias("deadline"), s["i"].alias("i"), s["units"].alias("units"),
+            _deadline(F.get(acc["next"], s["i"]), s["units"], p).alias("deadline"), s["i"].alias("i"), s["units"].alias("units"),
             F.get(acc["next"], s["i"]).alias("j")))
         # released: floor(j * period / units) <= t, and a block left in this period
-        ready = F.filter(state, lambda s: (s["j"] < s["units"]) & (F.floor(s["j"] * F.lit(period) / s["units"]) <= t))
+        ready = F.filter(state, lambda s: (s["j"] < s["units"]) & (F.floor(s["j"] * p / s["units"]) <= t))
         best = F.array_min(F.transform(ready, lambda s: F.struct(s["deadline"].alias("deadline"), s["i"].alias("i"), s["j"].alias("j"))))
-        return F.struct(
-            F.transform(acc["next"], lambda j, i: F.when(i == best["i"], j + 1).otherwise(j)).alias("next"),
-            F.when(best.isNull(), acc["out"]).otherwise(
-                F.concat(acc["out"], F.array(F.struct(best["i"].alias("i"), best["j"].alias("unit"), t.alias("slot"))))).alias("out"))
+        # an array of one, so that the best source is found once a slot
+        return F.get(F.transform(F.array(best), lambda b: F.struct(
+            F.transform(acc["next"], lambda j, i: F.when(i == b["i"], j + 1).otherwise(j)).alias("next"),
+            F.when(b.isNull(), acc["out"]).otherwise(
+                F.concat(acc["out"], F.array(F.struct(b["i"].alias("i"), b["j"].alias("unit"), t.alias("slot"))))).alias("out"))), F.lit(0))
 
-    done = row.select("src", F.aggregate(F.sequence(F.lit(0), F.lit(period - 1)), start, step)["out"].alias("out"))
+    done = row.select("src", F.aggregate(F.sequence(F.lit(0), (p - 1).cast("int")), start, step)["out"].alias("out"))
     flat = done.select("src", F.explode("out").alias("o"))
     return flat.select(F.get("src", F.col("o.i"))["source"].alias("source"), F.get("src", F.col("o.i"))["units"].alias("units"),
                        F.col("o.unit").alias("unit"), F.col("o.slot").cast("long").alias("slot"))
@@ -92,7 +103,7 @@ def numbered(docs: DataFrame, id_col: str, source_col: str, seed: int) -> DataFr
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", block_rows: int = 1,
-                alpha: float = 0.7, period: int = PERIOD, seed: int = 9, weights: DataFrame | None = None,
+                alpha: float = 0.7, period: int | None = None, seed: int = 9, weights: DataFrame | None = None,
                 max_missing: float = 0.1) -> DataFrame:
     """Add ``mix_slot`` (the slot that serves the row's block), ``mix_units``
     (the source's target in blocks per ``period`` slots), ``in_mix`` and
@@ -108,7 +119,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     No row is dropped or repeated.  A null source is a source of its own;
     repeated ids keep one place each, in an order made by the row's hash; an
     empty table gives an empty result; other columns stay (those named like a
-    result are replaced).  At most ``period`` sources; more raise an error.
+    result are replaced).  Without a ``period`` it is 1,000 slots (with
+    ``weights``: always), or for more sources the next multiple; a given one
+    raises an error when there are more sources.
     """
     results = {"mix_slot", "mix_units", "in_mix", "on_target"}
     cols = [c for c in docs.columns if c not in results]
@@ -118,26 +131,26 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
         units = target_units(sizes, alpha, period)
     else:
         right = weights.select(F.col("source").alias("_ws"), F.col("units").cast("long").alias("units"))
-        units = sizes.join(right, sizes["source"].eqNullSafe(right["_ws"])).select("source", "n", "units")
-    schedule = period_schedule(units, period)
+        units = sizes.join(right, sizes["source"].eqNullSafe(right["_ws"])).select("source", "n", "units", F.lit(period or PERIOD).cast("long").alias("period"))
+    schedule = period_schedule(units)
     blocks = F.ceil(F.col("n") / F.lit(block_rows))
     slots = schedule.groupBy(F.col("source").alias("_ss"), F.col("units").alias("_su")).agg(
         F.array_sort(F.collect_list(F.struct("unit", "slot"))).alias("_slots"))
-    per = units.join(slots, units["source"].eqNullSafe(slots["_ss"]))
+    per = units.join(slots, units["source"].eqNullSafe(slots["_ss"])).withColumnRenamed("period", "_period")
 
     def slot_of(j: Column, units: Column) -> Column:
-        return (F.floor(j / units) * period + F.get("_slots", F.pmod(j, units).cast("int"))["slot"]).cast("long")
+        return (F.floor(j / units) * F.col("_period") + F.get("_slots", F.pmod(j, units).cast("int"))["slot"]).cast("long")
 
     # the slots of the first block that the source no longer has, and no longer has whole
-    per = per.select(F.col("source").alias("_ps"), F.col("units").alias("mix_units"), "_slots", slot_of(blocks, F.col("units")).alias("_out"),
+    per = per.select(F.col("source").alias("_ps"), F.col("units").alias("mix_units"), "_period", "_slots", slot_of(blocks, F.col("units")).alias("_out"),
                      slot_of(F.floor(F.col("n") / F.lit(block_rows)), F.col("units")).alias("_short"))
     # units of the sources that are out at each source's end; the first end with too many
     gone = F.sum("mix_units").over(Window.orderBy("_out").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    late = F.when(F.col("_gone") > F.lit(max_missing * period), F.col("_out"))
+    late = F.when(F.col("_gone") > F.lit(float(max_missing)) * F.col("_period"), F.col("_out"))
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     per = per.withColumn("_gone", gone).withColumns({"_end": F.min(late).over(everything), "_first": F.min("_short").over(everything)})
     rows = numbered(base, "_id", "_source", seed)
-    # one row per source, at most ``period`` rows
+    # one row per source
     rows = rows.join(F.broadcast(per), rows["_source"].eqNullSafe(per["_ps"]), "left")
     j = F.floor(F.col("_rank") / F.lit(block_rows))
     rows = rows.withColumn("mix_slot", slot_of(j, F.col("mix_units")))

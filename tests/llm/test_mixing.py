@@ -92,3 +92,15 @@ def test_deviation_over_the_whole_marked_ranges(spark):
                 gone += units[s]
         assert gone <= 10
     assert worst > 1
+
+
+def test_more_than_a_thousand_sources(spark):
+    df = spark.range(1010).selectExpr("id AS doc_id", "concat('s', least(id, 1000)) AS source")
+    got = M.mix_sources(df).collect()
+    assert len(got) == 1010 and len({r.mix_slot for r in got}) == 1010
+    units = {r.source: r.mix_units for r in got}
+    assert len(units) == 1001 and sum(units.values()) == 2000 and min(units.values()) >= 1
+    for s in ("s0", "s1000"):
+        w = Fraction(units[s], 2000)
+        for j, t in enumerate(sorted(r.mix_slot for r in got if r.source == s)):
+            assert math.floor(j / w) <= t < math.ceil((j + 1) / w)

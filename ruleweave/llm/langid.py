@@ -23,7 +23,7 @@ from .scratch import Scratch, small_batches
 from .textops import text_buffers, text_slices
 
 DIM = 2048
-#: Bound on the labelled rows that the fits see, per language.
+#: Distinct labelled texts that the fits see, per language (about as many).
 SAMPLE_PER_LANGUAGE = 800
 UNDETERMINED = "und"
 
@@ -129,20 +129,20 @@ def _feature_udf(of):
 def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE,
         seed: int = 7, families: dict[str, str] = FAMILIES) -> LanguageModel:
     """Fit on labelled rows (null labels and texts without a letter are left
-    out).  About ``per_language`` rows of each language are taken, by a hash of
-    the text, so equal texts are in or out together.  A model learned from no
+    out).  Equal (text, label) rows count once; of them, about ``per_language``
+    of each language are taken, by a hash of the text.  A model learned from no
     row calls every text ``und``; one learned from one language knows only it."""
     spark = rows.sparkSession
     small_batches(spark)
     label, text = F.col(f"`{lang_col}`"), F.col(f"`{text_col}`")
-    labelled = rows.select(label.alias("lang"), text.alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
+    labelled = rows.select(label.alias("lang"), text.alias("text")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count_distinct(F.xxhash64("text")).alias("n")).collect()}  # one row per language
     if not counts:
         return LanguageModel({}, [], [])
     share = F.create_map(*[F.lit(x) for c, n in sorted(counts.items()) for x in (c, min(1.0, per_language / n))])
     place = F.pmod(F.xxhash64(F.lit(seed), F.xxhash64("text")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     to_list = F.arrow_udf(_annotated(_feature_udf(lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), DIM).cast(pa.list_(pa.float64())))), "array<double>")
-    sample = labelled.where((place < share[F.col("lang")]) & F.col("text").rlike(r"\p{L}"))
+    sample = labelled.where(place < share[F.col("lang")]).distinct()  # copies fold in the tasks, before the shuffle
     tmp = Scratch(spark, "langid")
     written = tmp.write(sample.select("lang", to_list("text").alias("x")), "sample")
     table = written.select("lang", array_to_vector("x").alias("features"))

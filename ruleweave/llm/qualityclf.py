@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch, small_batches
 from .textops import U64, mix, text_buffers, text_slices, word_hashes, word_spans
 
-#: Bound on the labelled rows that the fits see.
+#: Distinct labelled texts that the fits see (about as many).
 SAMPLE_ROWS = 20_000
 
 STATISTICS = (
@@ -154,18 +154,19 @@ def tree_paths(model) -> list[Rule]:
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS,
         trees: int = 12, depth: int = 3, penalty: float = 0.001, seed: int = 2) -> RuleEnsemble:
-    """Fit on rows with a 0/1 label (null labels are left out).  About
-    ``sample_rows`` rows are taken by a hash of the text, so equal texts are in
-    or out together.  Learned from no row, every score is 0.5; from one label,
+    """Fit on rows with a 0/1 label (null labels are left out).  Equal
+    (text, label) rows count once; of them, about ``sample_rows`` are taken by a
+    hash of the text.  Learned from no row, every score is 0.5; from one label,
     every score is near that label."""
     spark = labelled.sparkSession
     rows = labelled.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{label_col}`").cast("double").alias("label")).where(F.col("label").isin(0.0, 1.0))
-    n = rows.count()
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    n = rows.agg(F.count_distinct(own, "label")).first()[0]
     if not n:
         return RuleEnsemble((), (), (), 0.0)
-    place = F.pmod(F.xxhash64(F.lit(seed), F.xxhash64(F.coalesce("text", F.lit("")))), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    place = F.pmod(F.xxhash64(F.lit(seed), own), F.lit(1 << 30)) / F.lit(float(1 << 30))
     tmp = Scratch(spark, "quality")
-    sample = tmp.write(with_statistics(rows.where(place < min(1.0, sample_rows / n))).select("label", "_stats"), "sample")
+    sample = tmp.write(with_statistics(rows.where(place < min(1.0, sample_rows / n)).distinct()).select("label", "_stats"), "sample")
     counts = {r.label: r.n for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:  # one label only: a constant score
         return RuleEnsemble((), (), (), 4.0 if counts.get(1.0) else -4.0)

@@ -1,4 +1,4 @@
-from llmdata import awkward_rows
+from llmdata import awkward_rows, prose
 
 from conftest import SF_SMALL
 from ruleweave.llm import langid as L
@@ -34,3 +34,20 @@ def test_unlisted_languages_are_families_of_their_own(spark):
     model = L.fit(df)
     assert set(model.families) == {"germanic", "=qq"}
     assert L.identify(df, model).where("lang_pred <> lang").count() == 0
+
+
+def test_copies_of_a_text_do_not_fill_or_empty_the_sample(spark, monkeypatch):
+    rows = [("the copied text of all", "en")] * 4000 + [(f"the of and {prose(i, 12)}", "en") for i in range(400)] \
+        + [(f"der und die {prose(i, 12)}", "de") for i in range(400)]
+    df = spark.createDataFrame(rows + [("123", "xx"), ("456", "yy")], "text string, lang string")
+    write, seen = L.Scratch.write, []
+
+    def spy(self, table, step):
+        out = write(self, table, step)
+        seen.append({r.lang: r["count"] for r in out.groupBy("lang").count().collect()})
+        return out
+
+    monkeypatch.setattr(L.Scratch, "write", spy)
+    for seed in (1, 2):
+        assert set(L.fit(df, per_language=200, seed=seed).families) == {"germanic"}
+    assert len(seen) == 2 and all(set(n) == {"en", "de"} and 150 <= min(n.values()) <= max(n.values()) <= 250 for n in seen)

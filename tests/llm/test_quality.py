@@ -65,3 +65,20 @@ def test_held_out_accuracy_on_documents(spark):
     labels = spark.read.parquet(f"{SF_SMALL.replace('0.001', '0.01')}/labels.parquet")
     held = got.where("held_out").join(labels, "doc_id")
     assert held.where("predicted = quality").count() / held.count() >= 0.95
+
+
+def test_copies_of_a_text_do_not_fill_or_empty_the_sample(spark, monkeypatch):
+    rows = [("one copied text", 1)] * 4000 + [(prose(i, 20), 1) for i in range(300)] + [(prose(i, 20) + " ###", 0) for i in range(300)]
+    df = spark.createDataFrame(rows, "text string, quality int")
+    write, seen = C.Scratch.write, []
+
+    def spy(self, table, step):
+        out = write(self, table, step)
+        if step == "sample":
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(C.Scratch, "write", spy)
+    for seed in (1, 2):
+        C.fit(df, sample_rows=200, seed=seed)
+    assert len(seen) == 2 and all(150 <= n <= 250 for n in seen)

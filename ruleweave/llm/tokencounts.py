@@ -82,9 +82,26 @@ def length_report(lengths: DataFrame, length_col: str = "n_tokens") -> DataFrame
 
 
 def at_limits(report: DataFrame, limits: DataFrame, limit_col: str = "context") -> DataFrame:
-    """Answers for any context limits from the report (one row per limit that
-    is not below the shortest length): the totals of the largest length that
-    is not over the limit, with texts cut at the limit itself."""
-    pairs = limits.select(F.col(f"`{limit_col}`").cast("long").alias("context")).distinct().join(report, F.col("n_tokens") <= F.col("context"))
-    best = pairs.groupBy("context").agg(F.max_by(F.struct("docs_upto", "tokens_upto", "docs_over", "tokens_over"), "n_tokens").alias("r"))
-    return best.select("context", "r.*", (F.col("r.tokens_upto") + F.col("context") * F.col("r.docs_over")).alias("truncated_tokens"))
+    """Answers for any context limits from the report, one row per distinct
+    limit that is not null: the totals of the largest length that is not over
+    the limit (none: zero), with texts cut at the limit itself.  Limits and
+    lengths meet in one table, in which the last sums before a limit are carried
+    forward in two levels, as in the report; limits below the shortest length
+    and an empty report get their rows too."""
+    asked = limits.select(F.col(f"`{limit_col}`").cast("long").alias("context")).where("context IS NOT NULL").distinct()
+    known = report.select(F.col("n_tokens").alias("context"), "docs_upto", "tokens_upto", F.lit(0).alias("_asked"))
+    none = F.lit(None).cast("long")
+    rows = known.unionByName(asked.select("context", none.alias("docs_upto"), none.alias("tokens_upto"), F.lit(1).alias("_asked")))
+    rows = rows.withColumn("_b", F.floor(F.col("context") / BUCKET))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    inside = Window.partitionBy("_b").orderBy("context", "_asked").rowsBetween(Window.unboundedPreceding, 0)
+    # the sums never fall with the length, so the last one is the largest
+    part = rows.groupBy("_b").agg(F.max("docs_upto").alias("_d"), F.max("tokens_upto").alias("_t"))
+    part = part.select("_b", *[F.coalesce(F.max(c).over(w), F.lit(0)).alias(name) for c, w, name in (
+        ("_d", before, "_d0"), ("_t", before, "_t0"), ("_d", everything, "_docs"), ("_t", everything, "_tokens"))])
+    out = rows.withColumns({"_di": F.max("docs_upto").over(inside), "_ti": F.max("tokens_upto").over(inside)}).where("_asked = 1").join(part, "_b")
+    out = out.withColumns({"docs_upto": F.coalesce("_di", "_d0"), "tokens_upto": F.coalesce("_ti", "_t0")})
+    out = out.withColumns({"docs_over": F.col("_docs") - F.col("docs_upto"), "tokens_over": F.col("_tokens") - F.col("tokens_upto")})
+    return out.select("context", "docs_upto", "tokens_upto", "docs_over", "tokens_over",
+                      (F.col("tokens_upto") + F.col("context") * F.col("docs_over")).alias("truncated_tokens"))

@@ -39,6 +39,21 @@ def test_length_report_equals_brute_force(spark):
     assert T.length_report(counted.limit(0)).count() == 0
 
 
+def test_every_limit_gets_its_row(spark):
+    lengths = [5, 5, 9, 1023, 1024, 3000, 9000]
+    df = spark.createDataFrame([(x,) for x in lengths], "n_tokens long")
+    asked = [0, 4, 5, 8, 1023, 1500, 2048, 2999, 3000, 10**6]
+    limits = spark.createDataFrame([(x,) for x in [*asked, 4, None]], "context long")
+    for have, table in ((lengths, df), ([], df.limit(0))):
+        got = T.at_limits(T.length_report(table), limits).collect()
+        assert sorted(r.context for r in got) == asked
+        for r in got:
+            over = [x for x in have if x > r.context]
+            assert (r.docs_upto, r.tokens_upto) == (len(have) - len(over), sum(have) - sum(over))
+            assert (r.docs_over, r.tokens_over) == (len(over), sum(over))
+            assert r.truncated_tokens == sum(min(x, r.context) for x in have)
+
+
 def test_lexicon_is_exact_and_shares_suffixes():
     words = sorted({w.strip(".") for w in prose(3, 400).split()} | {"walking", "talking", "walked", "talked", "caf\u00e9"})
     entries = {w.encode(): _V.merge(w.encode()) for w in words}

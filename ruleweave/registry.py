@@ -842,7 +842,7 @@ def _learning_curve(spark, sf_dir):
     variants = {k: [r.rule_id for r in v] for k, v in subsets.items()}
     tests = evaluation_sets(spark, sf_dir)
     return lc.learning_curve(training_cases(spark, sf_dir), tests, td.RULES, variants,
-                             LC_SIZES, LC_REPLICATES, seed=SPLIT_SEED, modular=True,
+                             LC_SIZES, LC_REPLICATES, seed=SPLIT_SEED,
                              forest=(NUM, CAT), forest_trees=TREES)
 
 

@@ -132,3 +132,23 @@ def test_auc_of_rare_events_spreads_over_buckets(spark):
     pos, neg = [r.prob for r in rows if r.y == 0], [r.prob for r in rows if r.y == 1]
     want = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
     assert abs(grouped_auc(df, []).first().auc - want) < 1e-9
+
+
+def test_learning_curve_queries_draw_by_hash(monkeypatch):
+    from ruleweave import registry as R
+    seen = []
+    for name in ("disagreement_table", "evaluation_sets", "training_cases"):
+        monkeypatch.setattr(R, name, lambda *a, **k: None)
+    monkeypatch.setattr(R.aug, "rule_subsets", lambda *a, **k: {})
+    monkeypatch.setattr(R.lc, "learning_curve", lambda *a, **k: seen.append(k) or (None, None))
+    R._learning_curve(None, None)
+    assert not seen[0].get("modular", False)
+
+
+def test_hash_samples_of_replicates_are_independent_above_the_modulus(spark):
+    from ruleweave.operators.sampling import replicated_samples
+    # keys of ten residues only: the modular order takes whole residue classes
+    df = spark.range(4000).selectExpr("id % 10 + 1000003 * (id DIV 10) AS case_id", "0 AS y")
+    for r in (1, 2):
+        got = replicated_samples(df, ["y"], [400], 2).where(f"replicate = {r}").selectExpr("case_id % 1000003 AS k").distinct().count()
+        assert got == 10

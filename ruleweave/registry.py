@@ -771,10 +771,10 @@ def rulefit(spark, sf_dir):
     """R3 + A27 + R5: boosted trees (half-sampled, class-balanced) → all node
     rules → lasso on the rule indicators → the selected rules."""
     train = training_cases(spark, sf_dir)
-    gbm = est.fit_gbt(train, NUM, CAT, max_iter=TREES, step=0.001, max_depth=3, subsample=0.5,
+    gbm = est.fit_gbt(train, NUM, CAT, max_iter=TREES, step=0.001, max_depth=4, subsample=0.5,
                       balanced=True)
     labels = dict(zip(CAT, gbm.stages[0].labelsArray))
-    cands = extract_rules(spark, gbm, NUM + CAT, labels, max_depth=3)
+    cands = extract_rules(spark, gbm, NUM + CAT, labels, max_depth=4)
     lasso = est.fit_rule_logistic(train, cands, elastic_net=1.0,
                                   reg_params=(0.0005, 0.002, 0.008), folds=3)
     return train, cands, lasso
@@ -815,7 +815,7 @@ def _ridge_models(spark, sf_dir):
 
 @register("augmented_models_auc", reuse_cases=True)
 def q_augmented_models_auc(spark, sf_dir):
-    """R7 + R12 + R13 + R15 + A16: ridge on all rules, the expert-augmented
+    """R7 + R12 + R13 + A16: ridge on all rules, the expert-augmented
     models (rank ≤ k, k = 1..4, unrated kept) and the confounder model; AUC
     of each on each evaluation set."""
     subsets, models = _ridge_models(spark, sf_dir)
@@ -828,7 +828,7 @@ def q_augmented_models_auc(spark, sf_dir):
 
 @register("augmented_calibration", reuse_cases=True)
 def q_augmented_calibration(spark, sf_dir):
-    """R15 + A13 + A15: calibration (quintile bins per model and set) of the
+    """R15 (ridge family only) + A13 + A15: calibration (quintile bins per model and set) of the
     ridge and expert-augmented models."""
     _, models = _ridge_models(spark, sf_dir)
     scored = aug.score_models(evaluation_sets(spark, sf_dir), models, ["case_id", "y", "dataset"])

@@ -152,3 +152,17 @@ def test_hash_samples_of_replicates_are_independent_above_the_modulus(spark):
     for r in (1, 2):
         got = replicated_samples(df, ["y"], [400], 2).where(f"replicate = {r}").selectExpr("case_id % 1000003 AS k").distinct().count()
         assert got == 10
+
+
+def test_rulefit_trees_have_the_depth_of_ten_splits(monkeypatch):
+    from types import SimpleNamespace
+
+    from ruleweave import registry as R
+    seen = []
+    gbm = SimpleNamespace(stages=[SimpleNamespace(labelsArray=[])])
+    monkeypatch.setattr(R, "training_cases", lambda *a: None)
+    monkeypatch.setattr(R.est, "fit_gbt", lambda *a, **k: seen.append(k["max_depth"]) or gbm)
+    monkeypatch.setattr(R, "extract_rules", lambda *a, **k: seen.append(k["max_depth"]) or [])
+    monkeypatch.setattr(R.est, "fit_rule_logistic", lambda *a, **k: None)
+    R.rulefit(None, None)
+    assert seen == [4, 4]

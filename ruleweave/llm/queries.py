@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddups, langid, mixing, ngramjoin, qualityclf, qualityrules, substrdedup, tokencounts, urlfilter
+from . import bpe, embeddups, langid, mixing, ngramjoin, qualityclf, qualityrules, substrdedup, tokencounts, urlfilter, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -105,3 +105,9 @@ def op10_bpe(spark, sf_dir):
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
     lexicon = bpe.build_lexicon(docs, vocabulary)
     return bpe.bpe_encode(docs, vocabulary, lexicon, with_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@register("op11_embedding_whitening")
+def op11_embedding_whitening(spark, sf_dir):
+    """Whitened components of every usable embedding, by the covariance of all distinct ones."""
+    return whitening.whiten(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddups, langid, mixing, ngramjoin, qualityclf, qualityrules, substrdedup, tokencounts, urlfilter, whitening
+from . import bpe, embeddups, langid, lexsearch, mixing, ngramjoin, qualityclf, qualityrules, substrdedup, tokencounts, urlfilter, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -111,3 +111,10 @@ def op10_bpe(spark, sf_dir):
 def op11_embedding_whitening(spark, sf_dir):
     """Whitened components of every usable embedding, by the covariance of all distinct ones."""
     return whitening.whiten(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@register("op13_lexical_search", lexsearch.ORACLE)
+def op13_lexical_search(spark, sf_dir):
+    """The 50 best documents of every benchmark item, by the two-tree search."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexsearch.lexical_search(docs, _read(spark, sf_dir, "benchmark").select("item_id", "text"))

@@ -32,6 +32,8 @@ def mix(z: np.ndarray) -> np.ndarray:
 
 _IS_WS = np.zeros(256, dtype=bool)
 _IS_WS[[9, 10, 11, 12, 13, 32]] = True
+#: ASCII bytes other than digits and letters: what lies between terms.
+NOT_TERM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE = _stream(256, 11)
@@ -64,14 +66,14 @@ def text_slices(off: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int
         i = j
 
 
-def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, doc_offsets) of all words; words of text d are
-    ``[doc_offsets[d], doc_offsets[d + 1])``."""
+def word_spans(data: np.ndarray, off: np.ndarray, between: np.ndarray = _IS_WS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, doc_offsets) of all words, the maximal runs of bytes that are
+    not ``between``; words of text d are ``[doc_offsets[d], doc_offsets[d + 1])``."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(off), np.int64)
-    ws = _IS_WS[data]
+    ws = between[data]
     cut = np.zeros(n + 1, dtype=bool)
     cut[off] = True
     before = np.empty(n, dtype=bool)

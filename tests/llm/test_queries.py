@@ -4,7 +4,7 @@ import pytest
 from conftest import SF_SMALL
 from ruleweave.llm.queries import ORACLE, QUERIES
 
-TABLES = ["documents", "embeddings", "pages", "labels"]
+TABLES = ["documents", "embeddings", "pages", "labels", "benchmark"]
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -23,7 +23,7 @@ def test_query_equals_sql(spark, name):
 
 
 def test_one_query_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(n for n in QUERIES if n[:4] in {"op3_", "op6_", "op8_", "op10"}))

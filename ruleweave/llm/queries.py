@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddups, langid, lexsearch, mixing, ngramjoin, qualityclf, qualityrules, substrdedup, tokencounts, urlfilter, whitening
+from . import bpe, embeddups, langid, lexsearch, mixing, ngramjoin, qualityclf, qualityrules, substrdedup, tokencounts, toxicity, urlfilter, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -113,6 +113,15 @@ def op11_embedding_whitening(spark, sf_dir):
     return whitening.whiten(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+@register("op12_toxicity")
+def op12_toxicity(spark, sf_dir):
+    """Toxicity score of every document by the marginals of the random field."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _read(spark, sf_dir, "labels").where(_fold(5) != 0).select("doc_id", "toxic")
+    scored = toxicity.score_toxicity(docs, toxicity.fit(docs, labels), with_spans=False)
+    return scored.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", "predicted", "n_spans")
+
+
 @register("op13_lexical_search", lexsearch.ORACLE)
 def op13_lexical_search(spark, sf_dir):
     """The 50 best documents of every benchmark item, by the two-tree search."""

@@ -3,8 +3,10 @@ names (``spark.checkpoint.dir``)."""
 
 from __future__ import annotations
 
+import ctypes
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
@@ -35,6 +37,16 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, _BATCH_BYTES)
 
 
+def give_back() -> None:
+    """Return a Python worker's unused memory to the system (called at the end of
+    a task; workers live on between tasks)."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 class Scratch:
     """Writes intermediate tables and deletes those no longer needed."""
 

@@ -95,7 +95,7 @@ def _spark_lit(v) -> str:
     if isinstance(v, bool):
         return "true" if v else "false"
     if isinstance(v, float):
-        return f"{v!r}D"
+        return f"{v!r}D" if abs(v) != float("inf") else f"double('{v}')"
     return repr(v)
 
 

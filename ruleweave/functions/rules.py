@@ -158,12 +158,16 @@ def rules_frame(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
     return spark.createDataFrame(rows, RULE_TABLE_SCHEMA)
 
 
+def canonical_text(conditions: Sequence[Condition]) -> str:
+    """Text of a conjunction that does not depend on the order of its conditions."""
+    return " & ".join(c.text() for c in sorted(conditions, key=lambda c: (c.feature, c.op, str(c.value), c.values)))
+
+
 def canonical_ids(rules: Sequence[Rule], prefix: str = "R") -> list[Rule]:
     """Stable ids: rules sorted by canonical text, numbered 1..n.  Duplicate
     texts collapse to one rule."""
     by_text = {}
     for r in rules:
         conds = tuple(sorted(r.conditions, key=lambda c: (c.feature, c.op, str(c.value), c.values)))
-        key = " & ".join(c.text() for c in conds)
-        by_text.setdefault(key, conds)
+        by_text.setdefault(canonical_text(conds), conds)
     return [Rule(f"{prefix}{i}", conds) for i, (_, conds) in enumerate(sorted(by_text.items()), 1)]

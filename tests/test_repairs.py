@@ -159,10 +159,21 @@ def test_rulefit_trees_have_the_depth_of_ten_splits(monkeypatch):
 
     from ruleweave import registry as R
     seen = []
+
+    class Done(Exception):
+        pass
+
+    def rules(*a, **k):
+        seen.append(k["max_splits"])
+        raise Done
+
     gbm = SimpleNamespace(stages=[SimpleNamespace(labelsArray=[])])
-    monkeypatch.setattr(R, "training_cases", lambda *a: None)
+    monkeypatch.setattr(R, "training_cases", lambda *a: SimpleNamespace(select=lambda *c: None))
+    monkeypatch.setattr(R, "materialize", lambda df, name: df)
     monkeypatch.setattr(R.est, "fit_gbt", lambda *a, **k: seen.append(k["max_depth"]) or gbm)
-    monkeypatch.setattr(R, "extract_rules", lambda *a, **k: seen.append(k["max_depth"]) or [])
-    monkeypatch.setattr(R.est, "fit_rule_logistic", lambda *a, **k: None)
-    R.rulefit(None, None)
-    assert seen == [4, 4]
+    monkeypatch.setattr(R, "ensemble_rules", rules)
+    try:
+        R.rulefit(None, None)
+    except Done:
+        pass
+    assert seen == [4, 10]

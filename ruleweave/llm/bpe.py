@@ -24,16 +24,20 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .scratch import small_batches
+from .scratch import give_back, small_batches
+from .textops import text_buffers, text_slices
 
 LEXICON_WORDS = 1 << 16
-#: Entries of a worker's summary while it counts words, and of its memo of encoded words.
-SUMMARY, MEMO = 1 << 15, 150_000
+#: Entries of a worker's summary while it counts words.
+SUMMARY = 1 << 15
+#: Bytes of text whose words are held at once, as Python strings of some 15 bytes a byte.
+SLICE = 1 << 18
 
 def _class(*kinds: str) -> str:
     """Characters below U+0370 of these general categories, as ranges for ``re``."""
@@ -57,7 +61,9 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
 
 
-_NONE = (1 << 62, -1)  # no merge; after every rank
+_NEVER = 1 << 62  # no merge; after every rank
+#: Bytes of a word that is merged by a heap of its own, and words merged together.
+_LONG, _TOGETHER = 48, 4096
 
 
 class Vocabulary:
@@ -69,20 +75,27 @@ class Vocabulary:
         m = d["model"]
         if m["type"] != "BPE" or m.get("unk_token") or m.get("continuing_subword_prefix") or d.get("decoder"):
             raise ValueError(f"{path}: not a byte-level BPE vocabulary with word ends")
-        self.ids: dict[str, int] = m["vocab"]
+        ids: dict[str, int] = m["vocab"]
         suffix = m["end_of_word_suffix"]
         letters = _byte_letters()
         self.byte = {c: i for i, c in enumerate(letters)}
-        self.path, self._library = path, None
-        self.inner = [self.ids[c] for c in letters]
-        self.last = [self.ids[c + suffix] for c in letters]
-        self.merges = {}
-        for rank, pair in enumerate(m["merges"]):
-            a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[self.ids[a], self.ids[b]] = (rank, self.ids[a + b])
-        self.token = {i: t for t, i in self.ids.items()}
+        self.path, self._library, self._merges = path, None, None
+        self.inner = np.array([ids[c] for c in letters], dtype=np.int64)
+        self.last = np.array([ids[c + suffix] for c in letters], dtype=np.int64)
         self.special = {t["content"]: t["id"] for t in d["added_tokens"]}
-        self.token.update({i: t for t, i in self.special.items()})
+        for t in d["added_tokens"]:
+            if t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized"):
+                raise ValueError(f"{path}: added token {t['content']!r} is not matched as plain text")
+        self.size = max(max(ids.values()), *self.special.values(), 0) + 1 if self.special else max(ids.values()) + 1
+        self.token = [""] * self.size
+        for t, i in (*ids.items(), *self.special.items()):
+            self.token[i] = t
+        # merges: sorted pairs, their ranks, and by rank what they make
+        pairs = [p if isinstance(p, list) else p.split(" ") for p in m["merges"]]
+        key = np.array([ids[a] * self.size + ids[b] for a, b in pairs], dtype=np.int64)
+        self.made = np.array([ids[a + b] for a, b in pairs], dtype=np.int64)
+        rank = np.argsort(key, kind="stable")
+        self.pair, self.rank = key[rank], rank
         self.special_re = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
 
     @property
@@ -94,25 +107,71 @@ class Vocabulary:
 
     def merge(self, word: bytes) -> list[int]:
         """Token ids of one word (its UTF-8 bytes, one at least), exactly as the ranks say."""
-        inner, merges = self.inner, self.merges
-        ids = [inner[b] for b in word[:-1]]
-        ids.append(self.last[word[-1]])
-        if len(ids) > 48:
-            return self._merge_long(ids)
-        get = merges.get
-        known = [get(p, _NONE) for p in zip(ids, ids[1:])]
-        while known:
-            best = min(known)
-            if best is _NONE:
-                break
-            i = known.index(best)
-            ids[i:i + 2] = [best[1]]
-            del known[i]
-            if i:
-                known[i - 1] = get((ids[i - 1], best[1]), _NONE)
-            if i < len(known):
-                known[i] = get((best[1], ids[i + 1]), _NONE)
-        return ids
+        return self.merge_many([word])[0]
+
+    def merge_many(self, words: list[bytes]) -> list[list[int]]:
+        """Token ids of each word; words of about the same length advance together,
+        one merge each at a time (of the least rank, the leftmost of equal ones)."""
+        out: list[list[int]] = [[]] * len(words)
+        size = np.array([len(w) for w in words])
+        order = np.argsort(size, kind="stable")
+        short = order[:int(np.searchsorted(size[order], _LONG, side="right"))]
+        for i in range(0, len(short), _TOGETHER):
+            self._merge_rows([words[k] for k in short[i:i + _TOGETHER]], short[i:i + _TOGETHER], out)
+        for k in order[len(short):]:
+            w = np.frombuffer(words[k], np.uint8)
+            out[k] = self._merge_long([*self.inner[w[:-1]].tolist(), int(self.last[w[-1]])])
+        return out
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Merge rank of each pair; _NEVER without a merge (or beyond a word, -1)."""
+        key = a * self.size + b
+        at = np.minimum(np.searchsorted(self.pair, key), max(len(self.pair) - 1, 0))
+        if not len(self.pair):
+            return np.full(a.shape, _NEVER)
+        return np.where((self.pair[at] == key) & (a >= 0) & (b >= 0), self.rank[at], _NEVER)
+
+    def _merge_rows(self, words: list[bytes], place: np.ndarray, out: list) -> None:
+        size = np.array([len(w) for w in words])
+        n, width = len(words), int(size.max())
+        data = np.frombuffer(b"".join(words), np.uint8)
+        first = np.cumsum(size) - size
+        row = np.repeat(np.arange(n), size)
+        ids = np.full((n, width), -1, dtype=np.int64)
+        ids[row, np.arange(len(data)) - np.repeat(first, size)] = self.inner[data]
+        ids[np.arange(n), size - 1] = self.last[data[first + size - 1]]
+        rank = np.concatenate([self._rank(ids[:, :-1], ids[:, 1:]), np.full((n, 1), _NEVER)], axis=1)
+        while n:
+            at = rank.argmin(axis=1)
+            best = rank[np.arange(n), at]
+            go = best < _NEVER
+            if not go.all():
+                for k in np.flatnonzero(~go):
+                    out[place[k]] = ids[k, :size[k]].tolist()
+                ids, rank, size, place, at, best = ids[go], rank[go], size[go], place[go], at[go], best[go]
+                n = len(ids)
+                if not n:
+                    break
+            # every word left loses one piece: its merged pair's second, and the pair's rank
+            rows, keep = np.arange(n), np.ones(ids.shape, bool)
+            ids[rows, at] = self.made[best]
+            keep[rows, at + 1] = False
+            ids = ids[keep].reshape(n, -1)
+            keep[rows, at + 1], keep[rows, at] = True, False
+            rank = rank[keep].reshape(n, -1)
+            size = size - 1
+            inner = np.flatnonzero(at > 0)
+            rank[inner, at[inner] - 1] = self._rank(ids[inner, at[inner] - 1], ids[inner, at[inner]])
+            inner = np.flatnonzero(at + 1 < size)
+            rank[inner, at[inner]] = self._rank(ids[inner, at[inner]], ids[inner, at[inner] + 1])
+
+    @property
+    def merges(self) -> dict:
+        """{pair: (rank, what it makes)}, made only where a long word needs it."""
+        if self._merges is None:
+            a, b = np.divmod(self.pair, self.size)
+            self._merges = dict(zip(zip(a.tolist(), b.tolist()), zip(self.rank.tolist(), self.made[self.rank].tolist())))
+        return self._merges
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same for long words, with a heap of pairs: n log n."""
@@ -234,26 +293,41 @@ class Lexicon:
         for n in sizes:
             parts.append(self._map[at:at + n])
             at += n
-        self._first, self._target, self._skip, self._off, self._ids = (p.cast("I") for p in parts[:5])
-        self._label, self._final = parts[5], parts[6]
+        first, self._target, self._skip, self._off, self._ids = (np.frombuffer(p, "<u4") for p in parts[:5])
+        label, self._final = np.frombuffer(parts[5], np.uint8), np.frombuffer(parts[6], np.uint8)
+        # arcs are sorted by state and byte
+        self._arc = np.repeat(np.arange(len(first) - 1), np.diff(first)) * 256 + label
         self._root = len(self._final) - 1
 
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """Each word's number in the lexicon, -1 for words that it lacks; all
+        words walk the automaton together, a byte at a time."""
+        size = np.array([len(w) for w in words], dtype=np.int64)
+        data = np.frombuffer(b"".join(words), np.uint8)
+        first = np.cumsum(size) - size
+        state, number = np.full(len(words), self._root), np.zeros(len(words), np.int64)
+        live = np.arange(len(words)) if len(self._arc) else np.zeros(0, np.int64)
+        if not len(self._arc):
+            state[size > 0] = -1
+        for k in range(int(size.max(initial=0))):
+            live = live[size[live] > k]
+            if not len(live):
+                break
+            key = state[live] * 256 + data[first[live] + k]
+            at = np.minimum(np.searchsorted(self._arc, key), len(self._arc) - 1)
+            ok = self._arc[at] == key
+            state[live[~ok]] = -1
+            live, at = live[ok], at[ok]
+            number[live] += self._skip[at]
+            state[live] = self._target[at]
+        return np.where((state >= 0) & (self._final[state] != 0), number, -1)
+
+    def ids(self, number: int) -> list[int]:
+        return self._ids[self._off[number]:self._off[number + 1]].tolist()
+
     def get(self, word: bytes) -> list[int] | None:
-        s, number = self._root, 0
-        first, label, target, skip = self._first, self._label, self._target, self._skip
-        for b in word:
-            lo, hi = first[s], first[s + 1]
-            while lo < hi:
-                mid = (lo + hi) >> 1
-                if label[mid] < b:
-                    lo = mid + 1
-                else:
-                    hi = mid
-            if lo == first[s + 1] or label[lo] != b:
-                return None
-            number += skip[lo]
-            s = target[lo]
-        return self._ids[self._off[number]:self._off[number + 1]].tolist() if self._final[s] else None
+        n = int(self.numbers([word])[0])
+        return None if n < 0 else self.ids(n)
 
     def __len__(self) -> int:
         return len(self._off) - 1
@@ -274,6 +348,9 @@ def frequent_words(docs: DataFrame, vocabulary: str, text_col: str, k: int = LEX
                 least = sorted(seen.values(), reverse=True)[SUMMARY]
                 seen = Counter({w: c - least for w, c in seen.items() if c > least})
         kept = seen.most_common(SUMMARY)
+        del seen, v
+        _WORKER.clear()
+        give_back()
         if kept:
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([c for _, c in kept], pa.int64())], ["word", "n"])
 
@@ -287,35 +364,50 @@ def frequent_words(docs: DataFrame, vocabulary: str, text_col: str, k: int = LEX
 # ---------------------------------------------------------------------------
 
 class Encoder(dict):
-    """Memo of (ids, tokens) of words as text, filled from the lexicon or by merging."""
+    """(ids, tokens) of words as text.  Words of the lexicon stay once met; others
+    are merged for each batch of texts and go with it."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
         self.vocabulary, self.lexicon = vocabulary, lexicon
 
-    def __missing__(self, word: str) -> tuple[str, str]:
-        b = word.encode("utf-8", "surrogatepass")
-        ids = self.lexicon.get(b)
-        if ids is None:
-            ids = self.vocabulary.merge(b)
-        if len(self) >= MEMO:
-            self.clear()
-        out = self[word] = (" ".join(map(str, ids)), " ".join(map(self.vocabulary.token.__getitem__, ids)))
+    def fill(self, words: list[str]) -> list[str]:
+        """Take in distinct words that are not there yet; those that the lexicon lacks."""
+        v, b = self.vocabulary, [w.encode("utf-8", "surrogatepass") for w in words]
+        number = self.lexicon.numbers(b).tolist()
+        unseen = iter(v.merge_many([x for x, n in zip(b, number) if n < 0]))
+        for w, n in zip(words, number):
+            ids = self.lexicon.ids(n) if n >= 0 else next(unseen)
+            self[w] = (" ".join(map(str, ids)), " ".join([v.token[i] for i in ids]))
+        return [w for w, n in zip(words, number) if n < 0]
+
+    def _words(self, text: str | None) -> list[str]:
+        """Keys of a text's words; a special token's key is its text after \\0."""
+        if not text:
+            return []
+        v = self.vocabulary
+        if v.special_re is None or not v.special_re.search(text):
+            return words_of(text, v)
+        out = []
+        for piece in v.special_re.split(text):
+            if piece in v.special:
+                out.append("\0" + piece)
+                self["\0" + piece] = (str(v.special[piece]), piece)
+            else:
+                out.extend(words_of(piece, v))
         return out
 
+    def encode_all(self, texts: list[str | None]) -> Iterator[tuple[str, str]]:
+        """(ids joined by a space, the decoded text: tokens joined by a space) of each text."""
+        words = [self._words(t) for t in texts]
+        passing = self.fill([w for w in set().union(*words) if w not in self])
+        for own in words:
+            found = list(map(self.__getitem__, own))
+            yield " ".join([p[0] for p in found]), " ".join([p[1] for p in found])
+        for w in passing:
+            del self[w]
+
     def encode(self, text: str | None) -> tuple[str, str]:
-        """(ids joined by a space, the decoded text: tokens joined by a space)."""
-        if not text:
-            return "", ""
-        v, parts = self.vocabulary, []
-        if v.special_re is not None and "<|" in text:
-            for piece in v.special_re.split(text):
-                if piece in v.special:
-                    parts.append((str(v.special[piece]), piece))
-                else:
-                    parts.extend(map(self.__getitem__, words_of(piece, v)))
-        else:
-            parts = list(map(self.__getitem__, words_of(text, v)))
-        return " ".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
+        return next(self.encode_all([text]))
 
 
 def decode(ids: list[int], vocabulary: Vocabulary) -> str:
@@ -341,44 +433,47 @@ def _worker_encoder(path: str, blob: bytes) -> Encoder:
 def build_lexicon(docs: DataFrame, vocabulary: str, text_col: str = "text", k: int = LEXICON_WORDS) -> bytes:
     """The compiled lexicon of the corpus's k most frequent words."""
     v = Vocabulary(vocabulary)
-    return compile_lexicon({b: v.merge(b) for b in (w.encode("utf-8", "surrogatepass") for w in frequent_words(docs, vocabulary, text_col, k))})
+    words = [w.encode("utf-8", "surrogatepass") for w in frequent_words(docs, vocabulary, text_col, k)]
+    return compile_lexicon(dict(zip(words, v.merge_many(words))))
+
+
+#: What ``bpe_encode`` can add to a row.
+RESULTS = {"n_tokens": "bigint", "ids_text": "string", "ids_sha256": "string", "decoded": "string", "decoded_sha256": "string", "ids": "array<int>"}
 
 
-def bpe_encode(docs: DataFrame, vocabulary: str, lexicon: bytes, text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """Add n_tokens, ids_text (decimal ids joined by a space), decoded, and
-    their SHA-256 (ids_sha256, decoded_sha256) to every row, and with
-    ``with_ids`` the array ``ids``.
+def bpe_encode(docs: DataFrame, vocabulary: str, lexicon: bytes, text_col: str = "text", results: tuple[str, ...] = tuple(RESULTS)) -> DataFrame:
+    """Add ``results`` to every row: n_tokens, ids_text (decimal ids joined by a
+    space), decoded, their SHA-256 (ids_sha256, decoded_sha256) and the array ids.
 
     Null and empty texts have no tokens, and empty ids and decoded texts.
     Strings of special tokens become those tokens.  Whole texts are encoded;
     the lexicon changes the speed only, never the ids.  Rows are independent,
-    an empty table gives an empty one, input columns stay (those named like a
-    result are replaced).  No shuffle; the broadcast lexicon holds a bounded
-    number of words.
+    an empty table gives an empty one, input columns stay whatever their names
+    (those named like a result are replaced).  No shuffle; the broadcast lexicon
+    holds a bounded number of words.  Only the results asked for leave the worker.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-    fields = "n_tokens bigint, ids_text string, ids_sha256 string, decoded string, decoded_sha256 string"
+    sha = lambda t: hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest()
+    make = {"n_tokens": lambda i, d: i.count(" ") + 1 if i else 0, "ids_text": lambda i, d: i, "ids_sha256": lambda i, d: sha(i),
+            "decoded": lambda i, d: d, "decoded_sha256": lambda i, d: sha(d), "ids": lambda i, d: np.fromstring(i, np.int32, sep=" ") if i else np.zeros(0, np.int32)}
+    kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
 
     def encode(batches):
         enc = _worker_encoder(vocabulary, shared.value)
         for text in batches:
-            rows = []
-            for x in text.to_pylist():
-                ids, dec = enc.encode(x)
-                rows.append((ids.count(" ") + 1 if ids else 0, ids, hashlib.sha256(ids.encode()).hexdigest(), dec, hashlib.sha256(dec.encode("utf-8", "surrogatepass")).hexdigest()))
-            cols = list(zip(*rows)) if rows else [()] * 5
-            yield pa.StructArray.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), *[pa.string()] * 4))],
-                ["n_tokens", "ids_text", "ids_sha256", "decoded", "decoded_sha256"])
-        enc.clear()  # the memo's memory goes back after every task
+            _, off = text_buffers(text)
+            parts = []
+            for i, j in text_slices(off, SLICE):
+                rows = list(enc.encode_all(text.slice(i, j - i).to_pylist()))
+                parts.append(pa.StructArray.from_arrays([pa.array([make[c](*r) for r in rows], kinds.get(c, pa.string())) for c in results], list(results)))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([(c, kinds.get(c, pa.string())) for c in results]))
+        del enc
+        _WORKER.clear()  # the worker lives on; its memory goes back after every task
+        give_back()
 
     encode.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    udf = F.arrow_udf(encode, f"struct<{fields.replace(' ', ':').replace(',:', ',')}>")
-    names = ["n_tokens", "ids_text", "ids_sha256", "decoded", "decoded_sha256"]
-    keep = [c for c in docs.columns if c not in {*names, "ids"}]
-    out = docs.select(*[F.col(f"`{c}`") for c in keep], udf(F.col(f"`{text_col}`")).alias("_bpe"))
-    cols = [F.col(f"_bpe.{c}") for c in names]
-    if with_ids:
-        cols.append(F.when(F.col("_bpe.n_tokens") > 0, F.split("_bpe.ids_text", " ").cast("array<int>")).otherwise(F.array().cast("array<int>")).alias("ids"))
-    return out.select(*[F.col(f"`{c}`") for c in keep], *cols)
+    udf = F.arrow_udf(encode, "struct<" + ",".join(f"{c}:{RESULTS[c]}" for c in results) + ">")
+    keep = [c for c in docs.columns if c not in RESULTS]
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), udf(F.col(f"`{text_col}`")).alias("out"))
+    return held.select(*[F.col("row")[c].alias(c) for c in keep], *[F.col("out")[c].alias(c) for c in results])

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import released
+
 
 def chunk_pairs(members: DataFrame, key: str, id_col: str, count_col: str, chunk: int) -> DataFrame:
     """Add ``_i`` and ``_j`` (i <= j) and ``_c``: a unit of work for every pair of
@@ -51,4 +53,4 @@ def map_units(df: DataFrame, keys: list[str], schema: str, work: Callable[[pa.Ta
         yield from flush()
 
     dealt = df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(released(run), schema)

@@ -9,6 +9,7 @@ of labelled rows; texts are scored in the tasks by one matrix product.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -19,12 +20,14 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, small_batches
+from .scratch import Scratch, released, small_batches
 from .textops import text_buffers, text_slices
 
 DIM = 2048
 #: Distinct labelled texts that the fits see, per language (about as many).
 SAMPLE_PER_LANGUAGE = 800
+#: Bytes of text handled at once (some 50 bytes of arrays for each).
+SLICE = 1 << 18
 UNDETERMINED = "und"
 
 #: Family of each language code (fixed list); others are families of their own.
@@ -117,13 +120,14 @@ class LanguageModel:
 
 def _feature_udf(of):
     """An Arrow function of whole texts, slice by slice."""
-    def run(text: pa.Array) -> pa.Array:
-        data, off = text_buffers(text)
-        out = []
-        for i, j in text_slices(off):
-            out.append(of(features(data[off[i]:off[j]], off[i:j + 1] - off[i])))
-        return pa.concat_arrays(out) if out else of(np.zeros((0, DIM)))
-    return run
+    def run(batches):
+        for text in batches:
+            data, off = text_buffers(text)
+            out = []
+            for i, j in text_slices(off, SLICE):
+                out.append(of(features(data[off[i]:off[j]], off[i:j + 1] - off[i])))
+            yield pa.concat_arrays(out) if out else of(np.zeros((0, DIM)))
+    return released(run)
 
 
 def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE,
@@ -162,7 +166,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lan
 
 
 def _annotated(run):
-    run.__annotations__ = {"text": pa.Array, "return": pa.Array}
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return run
 
 
@@ -171,7 +175,8 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
 
     A text that is null or has no letter gets ``und`` and score 0.  Rows are
     judged one by one on their whole text alone; an empty table gives an empty
-    one; columns named like a result are replaced, others stay.  No shuffle.
+    one; columns named like a result are replaced, others stay whatever their
+    names.  No shuffle.
     """
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64())])
 
@@ -183,7 +188,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in {"lang_pred", "score"}]
     text = F.col(f"`{text_col}`")
-    out = docs.select(*[F.col(f"`{c}`") for c in keep], udf(text).alias("_p"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
-    return out.select(*[F.col(f"`{c}`") for c in keep],
-                      F.when(F.col("_letter"), F.col("_p.lang")).otherwise(F.lit(UNDETERMINED)).alias("lang_pred"),
-                      F.when(F.col("_letter"), F.col("_p.score")).otherwise(F.lit(0.0)).alias("score"))
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), udf(text).alias("p"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letter"))
+    return out.select(*[F.col("row")[c].alias(c) for c in keep],
+                      F.when(F.col("letter"), F.col("p.lang")).otherwise(F.lit(UNDETERMINED)).alias("lang_pred"),
+                      F.when(F.col("letter"), F.col("p.score")).otherwise(F.lit(0.0)).alias("score"))

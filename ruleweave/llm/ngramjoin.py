@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .groups import chunk_pairs, map_units
-from .scratch import Scratch, small_batches
+from .scratch import Scratch, released, small_batches
 from .textops import U64, bounds, mix, shingle_sets, text_buffers, text_slices, word_hashes, word_spans
 
 K = 5
@@ -134,7 +134,7 @@ def signatures(docs: DataFrame, frequent) -> DataFrame:
                      pa.ListArray.from_arrays(pa.array(bounds(row, rows), pa.int32()), pa.array(key))],
                     ["id", "n", "d1", "d2", "sketch", "keys"])
 
-    return docs.mapInArrow(sign, f"id {id_type}, n bigint, d1 bigint, d2 bigint, sketch binary, keys array<bigint>")
+    return docs.mapInArrow(released(sign), f"id {id_type}, n bigint, d1 bigint, d2 bigint, sketch binary, keys array<bigint>")
 
 
 def frequent_elements(docs: DataFrame, rows: int) -> np.ndarray:
@@ -147,7 +147,7 @@ def frequent_elements(docs: DataFrame, rows: int) -> np.ndarray:
             for _, _, _, h in document_sets(batch.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
 
-    found = sample.select("text").mapInArrow(elements, "h bigint").groupBy("h").count().where(F.col("count") >= FREQUENT_IN)
+    found = sample.select("text").mapInArrow(released(elements), "h bigint").groupBy("h").count().where(F.col("count") >= FREQUENT_IN)
     top = found.orderBy(F.desc("count"), "h").limit(FREQUENT_MAX).select("h").toPandas()["h"]
     return np.sort(top.to_numpy(dtype=np.int64).view(U64))
 
@@ -171,7 +171,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(verify, f"a {id_type}, b {id_type}")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(released(verify), f"a {id_type}, b {id_type}")
 
 
 def _candidates_across(unit: pa.Table) -> pa.RecordBatch | None:
@@ -271,4 +271,4 @@ def _sets(docs: DataFrame) -> DataFrame:
                     [batch.column("id").slice(i, rows), pa.ListArray.from_arrays(pa.array(bounds(doc, rows), pa.int32()), pa.array(h.view(np.int64)))],
                     ["id", "hashes"])
 
-    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, hashes array<bigint>")
+    return docs.mapInArrow(released(run), f"id {dict(docs.dtypes)['id']}, hashes array<bigint>")

@@ -4,6 +4,7 @@ names (``spark.checkpoint.dir``)."""
 from __future__ import annotations
 
 import ctypes
+import gc
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -40,6 +41,7 @@ def small_batches(spark: SparkSession) -> None:
 def give_back() -> None:
     """Return a Python worker's unused memory to the system (called at the end of
     a task; workers live on between tasks)."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -47,6 +49,16 @@ def give_back() -> None:
         pass
 
 
+def released(run):
+    """``run`` over the batches of a task, with its memory given back at the end."""
+    def inner(batches):
+        yield from run(batches)
+        give_back()
+
+    inner.__annotations__ = getattr(run, "__annotations__", {})
+    return inner
+
+
 class Scratch:
     """Writes intermediate tables and deletes those no longer needed."""
 

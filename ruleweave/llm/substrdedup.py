@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, small_batches
+from .scratch import Scratch, released, small_batches
 from .textops import U64, text_buffers, text_slices, window_hashes, word_hashes, word_spans
 
 WINDOW, GRAM = 13, 5
@@ -153,7 +153,7 @@ def _minimisers(docs: DataFrame) -> DataFrame:
                 doc, m = doc[keep], m[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), batch.column("id").slice(i, rows).take(pa.array(doc))], ["m", "id"])
 
-    return docs.mapInArrow(run, f"m bigint, id {dict(docs.dtypes)['id']}")
+    return docs.mapInArrow(released(run), f"m bigint, id {dict(docs.dtypes)['id']}")
 
 
 def _shared_segments(docs: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def _shared_segments(docs: DataFrame) -> DataFrame:
                     [pa.array(m.view(np.int64)), pa.array(seg, pa.binary()).cast(pa.string()), batch.column("id").take(at), batch.column("h").take(at),
                      pa.array(win, pa.int32()), pa.array(n, pa.int32())], ["m", "seg", "id", "h", "start", "windows"])
 
-    return docs.mapInArrow(run, f"m bigint, seg string, id {dict(docs.dtypes)['id']}, h bigint, start int, windows int")
+    return docs.mapInArrow(released(run), f"m bigint, seg string, id {dict(docs.dtypes)['id']}, h bigint, start int, windows int")
 
 
 def _found(doc: np.ndarray, m: np.ndarray, row: np.ndarray, allowed: np.ndarray) -> np.ndarray:
@@ -219,7 +219,7 @@ def _match_shards(strings: DataFrame) -> DataFrame:
                     bits_out.append(bits << off)
             yield pa.RecordBatch.from_arrays([pa.array(m_out, pa.int64()), pa.array(sh_out, pa.int64()), pa.array(bits_out, pa.int64())], ["m", "sh", "bits"])
 
-    return strings.repartition("shard").sortWithinPartitions("shard", "id").mapInArrow(run, "m bigint, sh bigint, bits bigint")
+    return strings.repartition("shard").sortWithinPartitions("shard", "id").mapInArrow(released(run), "m bigint, sh bigint, bits bigint")
 
 
 def _cut(docs: DataFrame, columns: list[str], text_col: str) -> DataFrame:
@@ -252,7 +252,7 @@ def _cut(docs: DataFrame, columns: list[str], text_col: str) -> DataFrame:
                                              ["n_words", "n_removed", "kept_text"])
 
     run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array, pa.Array]], "return": Iterator[pa.Array]}
-    udf = F.arrow_udf(run, "struct<n_words:bigint,n_removed:bigint,kept_text:string>")
+    udf = F.arrow_udf(released(run), "struct<n_words:bigint,n_removed:bigint,kept_text:string>")
     cut = docs.withColumn("_cut", udf(F.col(f"`{text_col}`"), F.col("_marks"), F.col("_copy")))
     return cut.select(*[F.col(f"`{c}`") for c in columns], "_cut.n_words", "_cut.n_removed", "_cut.kept_text")
 

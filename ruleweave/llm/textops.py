@@ -13,6 +13,8 @@ U64 = np.uint64
 #: Bytes of text handled at once by the numpy code (a longer single text is
 #: still handled whole, as one slice of its own).
 SLICE_BYTES = 1 << 20
+#: Texts handled at once, however short.
+SLICE_ROWS = 512
 
 
 def _stream(n: int, seed: int) -> np.ndarray:
@@ -57,11 +59,12 @@ def text_buffers(col) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_slices(off: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges [i, j) of at most ``limit`` bytes of text (one row at least)."""
+    """Row ranges [i, j) of at most SLICE_ROWS rows and ``limit`` bytes of text
+    (one row at least)."""
     n, i = len(off) - 1, 0
     while i < n:
         j = int(np.searchsorted(off, off[i] + limit, side="right")) - 1
-        j = min(n, max(j, i + 1))
+        j = min(n, i + SLICE_ROWS, max(j, i + 1))
         yield i, j
         i = j
 

@@ -9,6 +9,7 @@ column expression.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +19,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, small_batches
+from .labelled import labelled_sample
+from .scratch import Scratch, released, small_batches
 from .textops import U64, mix, text_buffers, text_slices, word_hashes, word_spans
 
 #: Distinct labelled texts that the fits see (about as many).
@@ -88,14 +90,15 @@ def statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def with_statistics(docs: DataFrame, text_col: str = "text", out: str = "_stats") -> DataFrame:
     """Add the struct of statistics of each whole text (null: as empty)."""
-    def run(text: pa.Array) -> pa.Array:
-        data, off = text_buffers(text)
-        parts = [statistics(data[off[i]:off[j]], off[i:j + 1] - off[i]) for i, j in text_slices(off)]
-        x = np.concatenate(parts) if parts else np.zeros((0, len(STATISTICS)))
-        return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(x[:, k])) for k in range(x.shape[1])], list(STATISTICS))
-
-    run.__annotations__ = {"text": pa.Array, "return": pa.Array}
-    udf = F.arrow_udf(run, "struct<" + ",".join(f"{s}:double" for s in STATISTICS) + ">")
+    def run(batches):
+        for text in batches:
+            data, off = text_buffers(text)
+            parts = [statistics(data[off[i]:off[j]], off[i:j + 1] - off[i]) for i, j in text_slices(off)]
+            x = np.concatenate(parts) if parts else np.zeros((0, len(STATISTICS)))
+            yield pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(x[:, k])) for k in range(x.shape[1])], list(STATISTICS))
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    udf = F.arrow_udf(released(run), "struct<" + ",".join(f"{s}:double" for s in STATISTICS) + ">")
     small_batches(docs.sparkSession)
     return docs.withColumn(out, udf(F.col(f"`{text_col}`")))
 
@@ -166,17 +169,39 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "quality",
         return RuleEnsemble((), (), (), 0.0)
     place = F.pmod(F.xxhash64(F.lit(seed), own), F.lit(1 << 30)) / F.lit(float(1 << 30))
     tmp = Scratch(spark, "quality")
-    sample = tmp.write(with_statistics(rows.where(place < min(1.0, sample_rows / n)).distinct()).select("label", "_stats"), "sample")
+    return _fit_texts(rows.where(place < min(1.0, sample_rows / n)).distinct().withColumn("weight", F.lit(1.0)), tmp, trees, depth, penalty, seed)
+
+
+def fit_documents(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text",
+                  sample_rows: int = SAMPLE_ROWS, trees: int = 12, depth: int = 3, penalty: float = 0.001, seed: int = 2) -> RuleEnsemble:
+    """As ``fit``, from documents and a table of labels by id: about
+    ``sample_rows`` / 2 distinct texts of each label, weighted by the number they
+    stand for, so that a rare label is learned too.  No text is joined or
+    shuffled but those of the sample."""
+    tmp = Scratch(docs.sparkSession, "quality")
+    texts = labelled_sample(docs, labels, label_col, sample_rows // 2, tmp, seed, id_col, text_col)
+    model = _fit_texts(texts, tmp, trees, depth, penalty, seed)
+    tmp.drop(texts)
+    return model
+
+
+def _fit_texts(texts: DataFrame, tmp: Scratch, trees: int, depth: int, penalty: float, seed: int) -> RuleEnsemble:
+    """The ensemble of a bounded table (text, label, weight)."""
+    sample = tmp.write(with_statistics(texts).select("label", "weight", "_stats"), "sample")
     counts = {r.label: r.n for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        tmp.drop(sample)
+        return RuleEnsemble((), (), (), 0.0)
     if len(counts) < 2:  # one label only: a constant score
+        tmp.drop(sample)
         return RuleEnsemble((), (), (), 4.0 if counts.get(1.0) else -4.0)
     vector = lambda cols: array_to_vector(F.array(*cols))
     stats = [F.col(f"_stats.{s}") for s in STATISTICS]
-    table = sample.select("label", "_stats", vector(stats).alias("features")).coalesce(8)
-    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxBins=64, subsamplingRate=0.7, minInstancesPerNode=5).fit(table)
+    table = sample.select("label", "weight", vector(stats).alias("features")).coalesce(8)
+    forest = RandomForestClassifier(weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed, maxBins=64, subsamplingRate=0.7, minInstancesPerNode=5).fit(table)
     rules = tree_paths(forest)
-    table = sample.select("label", vector([*(r.column("_stats") for r in rules), *stats]).alias("features")).coalesce(8)
-    lasso = LogisticRegression(elasticNetParam=1.0, regParam=penalty, maxIter=40, tol=1e-5).fit(table)
+    table = sample.select("label", "weight", vector([*(r.column("_stats") for r in rules), *stats]).alias("features")).coalesce(8)
+    lasso = LogisticRegression(weightCol="weight", elasticNetParam=1.0, regParam=penalty, maxIter=40, tol=1e-5).fit(table)
     w = lasso.coefficients.toArray()
     kept = [(r, float(x)) for r, x in zip(rules, w) if x != 0]
     linear = [(s, float(x)) for s, x in zip(STATISTICS, w[len(rules):]) if x != 0]
@@ -190,9 +215,11 @@ def score_quality(docs: DataFrame, model: RuleEnsemble, text_col: str = "text")
 
     Null texts count as empty ones, which get the score of their (zero)
     statistics.  Rows are judged one by one on their whole text; an empty table
-    gives an empty one; columns named like a result are replaced, others stay.
+    gives an empty one; columns named like a result are replaced, others stay
+    whatever their names.
     No shuffle.
     """
     keep = [c for c in docs.columns if c not in {"score", "predicted"}]
-    out = with_statistics(docs.select(*[F.col(f"`{c}`") for c in keep]), text_col).withColumn("score", model.score())
-    return out.select(*[F.col(f"`{c}`") for c in keep], "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    out = with_statistics(held).select("row", model.score().alias("s"))
+    return out.select(*[F.col("row")[c].alias(c) for c in keep], F.col("s").alias("score"), (F.col("s") >= 0.5).cast("int").alias("predicted"))

@@ -44,7 +44,7 @@ def op2_quality_classifier(spark, sf_dir):
     """Quality score of every document by the sparse rule ensemble."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _read(spark, sf_dir, "labels").where(_fold(3) != 1).select("doc_id", "quality")
-    model = qualityclf.fit(docs.join(labels, "doc_id").select("text", "quality"))
+    model = qualityclf.fit_documents(docs, labels)
     return qualityclf.score_quality(docs, model).select("doc_id", (_fold(3) == 1).alias("held_out"), "score", "predicted")
 
 
@@ -104,7 +104,7 @@ def op10_bpe(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
     lexicon = bpe.build_lexicon(docs, vocabulary)
-    return bpe.bpe_encode(docs, vocabulary, lexicon, with_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.bpe_encode(docs, vocabulary, lexicon, results=("n_tokens", "ids_sha256", "decoded_sha256")).drop("text")
 
 
 @register("op11_embedding_whitening")

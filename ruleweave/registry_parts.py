@@ -10,8 +10,10 @@ from .checks import sql as S
 from .functions import levels as lv
 from .functions.rules import rule
 from .models import estimators as est
+from .models.penalty_path import penalty_path
 from .operators import reshape as rs
 from .operators import sampling as smp
+from .operators.coded_match import match_many
 from .operators.match import match_rules, rule_score
 from .operators.stats import minmax_scale, mode
 from .plans import augmentation as aug
@@ -139,6 +141,43 @@ def q_many_rules(spark, sf_dir) -> DataFrame:
     return facts.withColumn("empirical_risk", _r("empirical_risk"))
 
 
+# 3,199 rules by parameter: rule i wants a price above one of 100 levels, at most
+# one of 7 numbers of lines, a balance of at least one of 9 levels, and a segment
+# other than one of 5.
+N_THOUSANDS = 3199
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]  # fixed values
+THOUSANDS = [rule(f"T{i:04}", ("totalprice", ">", 3000.0 * (i % 100)), ("n_lines", "<=", 1 + i % 7), ("acctbal", ">=", 1000.0 * (i % 9)),
+                  ("segment", "!=", SEGMENTS[i % 5])) for i in range(N_THOUSANDS)]
+#: Each 0.6 of the one before: the screening rule needs steps of less than a half.
+PATH_PENALTIES = tuple(0.032 * 0.6 ** k for k in range(6))
+_THOUSANDS_COLS = ("y", "totalprice", "n_lines", "acctbal", "segment")
+
+
+@register("thousands_of_rules", S.with_ctes(S.cases_cte()) + f"""
+SELECT 'T' || lpad(CAST(i AS VARCHAR), 4, '0') AS rule_id, CAST(count(y) AS BIGINT) AS n, CAST(count(*) FILTER (y = 0) AS BIGINT) AS n_event
+FROM (SELECT range AS i FROM range(0, {N_THOUSANDS})) r
+JOIN cases ON totalprice > 3000.0 * (i % 100) AND n_lines <= 1 + i % 7 AND acctbal >= 1000.0 * (i % 9)
+  AND segment <> list_extract({SEGMENTS}, CAST(1 + i % 5 AS INTEGER)) GROUP BY i""", reuse_cases=_THOUSANDS_COLS)
+def q_thousands_of_rules(spark, sf_dir) -> DataFrame:
+    """R4 with 3,199 rules, matched by interval codes in one plan: cases and
+    events of every rule with a case."""
+    from .registry import _cases
+    hits = match_many(_cases(spark, sf_dir).select(*_THOUSANDS_COLS), THOUSANDS, keep=["y"])
+    return hits.groupBy("rule_id").agg(F.count(F.lit(1)).cast("bigint").alias("n"), F.count_if(F.col("y") == 0).cast("bigint").alias("n_event"))
+
+
+@register("rule_penalty_path", reuse_cases=True)
+def q_rule_penalty_path(spark, sf_dir) -> DataFrame:
+    """The lasso over 3,199 rules along a falling sequence of penalties –
+    the rules left in the fit by screening, those taken in after the check of
+    the optimality conditions, and those with a coefficient."""
+    from .registry import training_cases
+    matrix = est.rule_matrix(training_cases(spark, sf_dir), THOUSANDS)
+    steps = penalty_path(matrix, len(THOUSANDS), PATH_PENALTIES)
+    return spark.createDataFrame([(s.reg_param, s.fitted, s.taken_in, s.kept) for s in steps],
+                                 "reg_param double, n_fitted int, n_taken_in int, n_rules int")
+
+
 @register("scaled_rule_hits", S.with_ctes(S.cases_cte(), S.hits_cte(td.RULES, "cases", "case_id")) + """,
   c AS (SELECT rule_id, CAST(count(*) AS BIGINT) AS n FROM hits GROUP BY rule_id)
 SELECT rule_id, n, round((n - (SELECT min(n) FROM c)) * 1.0 / ((SELECT max(n) FROM c) - (SELECT min(n) FROM c)), 6) AS scaled FROM c""")

@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .columns import set_aside
+
 #: Slots of a period for up to so many sources; more sources get a multiple of it.
 PERIOD = 1000
 
@@ -43,6 +45,20 @@ def target_units(sizes: DataFrame, alpha: float, period: int | None) -> DataFram
     return raw.select("source", "n", units.cast("long").alias("units"), "period")
 
 
+def given_units(sizes: DataFrame, weights: DataFrame, period: int) -> DataFrame:
+    """(source, n, units, period) with the units of ``weights`` (source, units;
+    rows of one source add up).  Fails where a source has no unit, or where the
+    sources' units add up to more than the period."""
+    right = weights.groupBy(F.col("source").alias("_ws")).agg(F.sum(F.col("units").cast("long")).alias("_u"))
+    held = sizes.join(right, sizes["source"].eqNullSafe(right["_ws"]), "left")
+    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    total = F.sum("_u").over(everything)
+    none = F.raise_error(F.concat(F.lit("no unit for source "), F.coalesce(F.col("source").cast("string"), F.lit("null"))))
+    over = F.raise_error(F.concat(total.cast("string"), F.lit(f" units for a period of {period} slots")))
+    units = F.when(F.coalesce(F.col("_u"), F.lit(0)) < 1, none).when(total > period, over).otherwise(F.col("_u"))
+    return held.select("source", "n", units.cast("long").alias("units"), F.lit(period).cast("long").alias("period"))
+
+
 def _deadline(j: Column, units: Column, period: Column) -> Column:
     """ceil((j + 1) * period / units), in whole numbers."""
     return F.floor(((j + 1) * period + units - 1) / units)
@@ -109,8 +125,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     (the source's target in blocks per ``period`` slots), ``in_mix`` and
     ``on_target`` to every row.
 
-    Targets come from ``weights`` (source, units that add up to ``period``) or
-    are n ** alpha.  ``on_target`` holds up to the slot in which the first source
+    Targets come from ``weights`` (source, units that add up to ``period``;
+    with fewer, slots stay empty; a source of ``docs`` without a unit and units
+    beyond the period raise an error, other sources' rows are ignored) or are
+    n ** alpha.  ``block_rows`` is one or more.  ``on_target`` holds up to the slot in which the first source
     lacks a whole block: until there the mixture follows the targets to less
     than one block at every slot.  ``in_mix`` goes on until sources with more
     than ``max_missing`` of the targets have run out: sources that still have
@@ -125,13 +143,15 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     """
     results = {"mix_slot", "mix_units", "in_mix", "on_target"}
     cols = [c for c in docs.columns if c not in results]
-    base = docs.select(*[F.col(f"`{c}`") for c in cols], F.col(f"`{source_col}`").alias("_source"), F.col(f"`{id_col}`").alias("_id"))
+    if block_rows < 1:
+        raise ValueError("a block has one row or more")
+    aside, back = set_aside(cols)
+    base = docs.select(*aside, F.col(f"`{source_col}`").alias("_source"), F.col(f"`{id_col}`").alias("_id"))
     sizes = base.groupBy(F.col("_source").alias("source")).agg(F.count(F.lit(1)).alias("n"))
     if weights is None:
         units = target_units(sizes, alpha, period)
     else:
-        right = weights.select(F.col("source").alias("_ws"), F.col("units").cast("long").alias("units"))
-        units = sizes.join(right, sizes["source"].eqNullSafe(right["_ws"])).select("source", "n", "units", F.lit(period or PERIOD).cast("long").alias("period"))
+        units = given_units(sizes, weights, period or PERIOD)
     schedule = period_schedule(units)
     blocks = F.ceil(F.col("n") / F.lit(block_rows))
     slots = schedule.groupBy(F.col("source").alias("_ss"), F.col("units").alias("_su")).agg(
@@ -155,4 +175,4 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     j = F.floor(F.col("_rank") / F.lit(block_rows))
     rows = rows.withColumn("mix_slot", slot_of(j, F.col("mix_units")))
     return rows.withColumns({"in_mix": F.col("mix_slot") < F.col("_end"), "on_target": F.col("mix_slot") < F.col("_first")}).select(
-        *[F.col(f"`{c}`") for c in cols], "mix_slot", "mix_units", "in_mix", "on_target")
+        *back, "mix_slot", "mix_units", "in_mix", "on_target")

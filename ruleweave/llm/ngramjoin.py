@@ -206,7 +206,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     distinct 5-word shingles (A-Z lower-cased; with fewer words the whole
     sequence is the one shingle); component_id is the smallest id reachable by
     links.  Null texts and texts without words have an empty set and link with
-    nothing.  Ids must not be null and must be unique (of rows with one id the
+    nothing.  Ids are integers or strings, must not be null and must be unique (of rows with one id the
     one with the larger set counts).  ``percent`` is fixed to 80 or more by the
     bands.  An empty table gives an empty result; other columns are ignored.
 
@@ -240,7 +240,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = tmp.write(_sets(text.join(needed, "id", "left_semi")), "sets")
     # each document with the hub it shares most blocks with
     hubs = shared.where("id <> hub").groupBy("hub", "id").agg(F.count(F.lit(1)).alias("c"))
-    first = tmp.write(hubs.groupBy("id").agg(F.max_by("hub", F.struct("c", -F.col("hub"))).alias("a")).select("a", F.col("id").alias("b")), "first")
+    first = tmp.write(hubs.groupBy("id").agg(F.min_by("hub", F.struct(-F.col("c"), "hub")).alias("a")).select("a", F.col("id").alias("b")), "first")
     links = tmp.write(_similar(first, sets, percent), "links1")
     comp = components(links, tmp)
     # groups that are not one component: all pairs across

@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import set_aside
+
 _WS = r"[\x20\x09-\x0D]"
 WINDOW = 8
 
@@ -127,13 +129,14 @@ def quality_rules(docs: DataFrame, text_col: str = "text", thresholds=THRESHOLDS
     steps, stats = base_counts(F.col("_text")), statistics()
     results = [c for c in [*steps, *stats] if not c.startswith("_")] + ["base_failed", "kept"]
     keep = [c for c in docs.columns if c not in results]
-    df = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("_text"))
+    aside, back = set_aside(keep)
+    df = docs.select(*aside, F.col(f"`{text_col}`").alias("_text"))
     for name, col in steps.items():
         df = df.withColumn(name, col)
     df = df.withColumns(stats)
     df = df.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     df = df.withColumn("kept", ~F.col("base_failed") & compile_thresholds(thresholds))
-    return df.select(*[F.col(f"`{c}`") for c in keep], *results)
+    return df.select(*back, *results)
 
 
 SQL_KEPT = rf"""

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .columns import set_aside
 from .scratch import Scratch, released, small_batches
 from .textops import U64, text_buffers, text_slices, window_hashes, word_hashes, word_spans
 
@@ -222,9 +223,9 @@ def _match_shards(strings: DataFrame) -> DataFrame:
     return strings.repartition("shard").sortWithinPartitions("shard", "id").mapInArrow(released(run), "m bigint, sh bigint, bits bigint")
 
 
-def _cut(docs: DataFrame, columns: list[str], text_col: str) -> DataFrame:
-    """Add n_words, n_removed, kept_text; each row has _marks, an array of
-    (start, bits), and _copy, true if all of its windows are repeats."""
+def _cut(docs: DataFrame, back: list) -> DataFrame:
+    """``back`` of every row, and n_words, n_removed, kept_text; each row has _text, _marks, an
+    array of (start, bits), and _copy, true if all of its windows are repeats."""
     def run(batches):
         for text, marks, copy in batches:
             out = []
@@ -253,8 +254,8 @@ def _cut(docs: DataFrame, columns: list[str], text_col: str) -> DataFrame:
 
     run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array, pa.Array]], "return": Iterator[pa.Array]}
     udf = F.arrow_udf(released(run), "struct<n_words:bigint,n_removed:bigint,kept_text:string>")
-    cut = docs.withColumn("_cut", udf(F.col(f"`{text_col}`"), F.col("_marks"), F.col("_copy")))
-    return cut.select(*[F.col(f"`{c}`") for c in columns], "_cut.n_words", "_cut.n_removed", "_cut.kept_text")
+    cut = docs.withColumn("_cut", udf(F.col("_text"), F.col("_marks"), F.col("_copy")))
+    return cut.select(*back, "_cut.n_words", "_cut.n_removed", "_cut.kept_text")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -308,8 +309,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marks = marks.where("bits <> 0").groupBy("id", "h").agg(F.collect_set(F.struct("start", "bits")).alias("_marks"))  # bounded by the document
     marks = marks.union(copies.select("id", "h", F.lit(None).cast("array<struct<start:int,bits:bigint>>"))).withColumn("_copy", F.col("_marks").isNull())
     marks = tmp.write(marks, "marks")
-    rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{id_col}`").alias("_i"), F.xxhash64(text).alias("_h"))
+    # the text travels once: as a column of the row, if it stays
+    aside, back = set_aside(columns)
+    held = F.col(f"c{columns.index(text_col)}") if text_col in columns else F.col("_gone")
+    gone = [] if text_col in columns else [F.col(f"`{text_col}`").alias("_gone")]
+    rows = docs.select(*aside, *gone, F.col(f"`{id_col}`").alias("_i"), F.xxhash64(text).alias("_h"))
     joined = rows.join(marks.withColumnsRenamed({"id": "_mi", "h": "_mh"}), (F.col("_i") == F.col("_mi")) & (F.col("_h") == F.col("_mh")), "left")
-    joined = joined.withColumn("_copy", F.coalesce("_copy", F.lit(False)))
+    joined = joined.withColumns({"_copy": F.coalesce("_copy", F.lit(False)), "_text": held})
     tmp.drop(ids, copies, lists, segs, strings, varied, judged)
-    return _cut(joined, columns, text_col)
+    return _cut(joined, back)

@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .columns import set_aside
 from .textops import text_buffers
 
 U64 = np.uint64
@@ -183,9 +184,10 @@ def url_filter(pages: DataFrame, url_col: str = "url", host_rules=HOST_RULES, bl
 
     url = F.col(f"`{url_col}`")
     keep = [c for c in pages.columns if c not in {"host", "path", "rule", "verdict", "block_glob"}]
-    staged = pages.select(*[F.col(f"`{c}`") for c in keep], host_column(url).alias("host"), path_column(url).alias("path"))
+    aside, back = set_aside(keep)
+    staged = pages.select(*aside, host_column(url).alias("host"), path_column(url).alias("path"))
     judged = staged.withColumn("_judged", judge(F.concat(F.lit("."), "host", "path")))
-    return judged.select(*[F.col(f"`{c}`") for c in keep], "host", "path", "_judged.rule", "_judged.verdict", "_judged.block_glob")
+    return judged.select(*back, "host", "path", "_judged.rule", "_judged.verdict", "_judged.block_glob")
 
 
 SQL = r"""

@@ -12,7 +12,7 @@ import pyarrow as pa
 U64 = np.uint64
 #: Bytes of text handled at once by the numpy code (a longer single text is
 #: still handled whole, as one slice of its own).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 #: Texts handled at once, however short.
 SLICE_ROWS = 512
 
@@ -91,14 +91,22 @@ def word_spans(data: np.ndarray, off: np.ndarray, between: np.ndarray = _IS_WS)
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
-    """64-bit hash of every word's bytes (A-Z lower-cased when ``lower``)."""
-    if not len(start):
-        return np.zeros(0, U64)
+    """64-bit hash of every word's bytes (A-Z lower-cased when ``lower``), some
+    ``SLICE_BYTES`` of words at a time: a very long text takes no more memory."""
+    upto = np.cumsum(end - start)
+    out, i = np.empty(len(start), U64), 0
+    while i < len(out):
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + SLICE_BYTES, side="right")))
+        out[i:j] = _hash_words(data, start[i:j], end[i:j] - start[i:j], _BYTE_LOWER if lower else _BYTE)
+        i = j
+    return out
+
+
+def _hash_words(data: np.ndarray, start: np.ndarray, lens: np.ndarray, code: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        lens = end - start
         total = int(lens.sum())
         pos = np.arange(total) - np.repeat(np.cumsum(lens) - lens, lens)
-        v = (_BYTE_LOWER if lower else _BYTE)[data[np.repeat(start, lens) + pos]]
+        v = code[data[np.repeat(start, lens) + pos]]
         v *= _POS[pos & (_POS_N - 1)]
         if int(lens.max()) > _POS_N:
             v *= (pos // _POS_N).astype(U64) * U64(2) + U64(1)

@@ -175,7 +175,7 @@ def q_rule_penalty_path(spark, sf_dir) -> DataFrame:
     the rules left in the fit by screening, those taken in after the check of
     the optimality conditions, and those with a coefficient."""
     from .registry import training_cases
-    matrix = est.rule_matrix(training_cases(spark, sf_dir), THOUSANDS)
+    matrix = est.counted_rule_matrix(training_cases(spark, sf_dir), THOUSANDS)
     steps = penalty_path(matrix, len(THOUSANDS), PATH_PENALTIES)
     return spark.createDataFrame([(s.reg_param, s.fitted, s.taken_in, s.kept) for s in steps],
                                  "reg_param double, n_fitted int, n_taken_in int, n_rules int")
